@@ -70,12 +70,25 @@ def portable_bucket(key_cols: Sequence[str], k: int, seed: int = 0) -> Column:
     return F.pmod(acc, F.lit(k).cast("bigint"))
 
 
-def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
+def round_half_up(col, digits: int = 6) -> Column:
+    """``floor(x·10^d + 0.5) / 10^d`` on the binary value.
+
+    Built from IEEE basic operations only, so any engine returns the same
+    double (``round`` implementations differ on decimal ties). NULL, NaN,
+    ±inf and magnitudes beyond 1e12 pass through unchanged.
+    """
+    c = _c(col).cast("double")
+    scale = float(10 ** digits)
+    return (F.when(c.isNull() | F.isnan(c) | (F.abs(c) >= F.lit(1e12)), c)
+             .otherwise(F.floor(c * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)))
+
+
+def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every float/double column (stable cross-engine comparison)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            cols.append(round_half_up(f.name, digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

@@ -9,6 +9,23 @@ FOLD_EXPR = "(l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 1299709 + l_l
 
 ORACLE: dict[str, str] = {}
 
+
+def nunique(c: str) -> str:
+    return f"CAST(count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT)"
+
+
+def rnd(expr: str) -> str:
+    """Same rounding as ``round_half_up`` (floor(x*1e6 + 0.5) / 1e6)."""
+    x = f"CAST(({expr}) AS DOUBLE)"
+    return (f"(CASE WHEN {x} IS NULL OR isnan({x}) OR abs({x}) >= CAST(1e12 AS DOUBLE) THEN {x} "
+            f"ELSE CAST(floor({x} * CAST(1000000.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS DOUBLE) / CAST(1000000.0 AS DOUBLE) END)")
+
+
+def r4(expr: str, alias: str) -> str:
+    return f"{rnd(expr)} AS {alias}"
+
+
+
 ORACLE["route_features"] = with_market_extra("""
 rs AS (
   SELECT ODPairID,
@@ -21,9 +38,105 @@ rs AS (
   FROM market GROUP BY ODPairID
 )""", f"""
 SELECT {KEY}, m.ODPairID,
-  round(route_avg_fare, 4) AS route_avg_fare, round(route_std_fare, 4) AS route_std_fare,
+  {r4('route_avg_fare', 'route_avg_fare')}, {r4('route_std_fare', 'route_std_fare')},
   route_carrier_count, route_total_pax,
-  round(route_avg_market_share, 4) AS route_avg_market_share, round(route_hhi, 4) AS route_hhi,
+  {r4('route_avg_market_share', 'route_avg_market_share')}, {r4('route_hhi', 'route_hhi')},
   CASE WHEN route_carrier_count = 1 THEN 0 WHEN route_carrier_count <= 3 THEN 1 ELSE 2 END AS route_competition_level
 FROM market m LEFT JOIN rs ON m.ODPairID = rs.ODPairID
 """)
+
+
+CARRIER_CTE = f"""
+cs AS (
+  SELECT Carrier, avg(Average_Fare) AS carrier_avg_fare, {nunique('ODPairID')} AS carrier_route_count,
+    avg(NonStopMiles) AS carrier_avg_distance,
+    CAST(sum(CarrierPax) AS DOUBLE) / (SELECT CAST(sum(Pax) AS DOUBLE) FROM market) AS carrier_pax_share
+  FROM market GROUP BY Carrier
+)"""
+
+ORACLE["carrier_features"] = with_market_extra(CARRIER_CTE, f"""
+SELECT {KEY}, m.Carrier, {r4('carrier_avg_fare', 'carrier_avg_fare')}, carrier_route_count,
+  {r4('carrier_avg_distance', 'carrier_avg_distance')}, {r4('carrier_pax_share', 'carrier_pax_share')}
+FROM market m LEFT JOIN cs ON m.Carrier = cs.Carrier""")
+
+
+def hub_cte(col: str, tag: str, src: str = "market") -> str:
+    return f"""
+f{tag} AS (SELECT {col} AS v, count(*) AS cnt FROM {src} GROUP BY {col}),
+t{tag} AS (
+  SELECT min(cnt) AS thr FROM (
+    SELECT cnt, sum(m) OVER (ORDER BY cnt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+    FROM (SELECT cnt, count(*) AS m FROM f{tag} GROUP BY cnt))
+  WHERE cum > (SELECT floor(CAST(0.95 AS DOUBLE) * (count(*) - 1) + CAST(0.5 AS DOUBLE)) FROM f{tag})
+),
+h{tag} AS (SELECT v FROM f{tag}, t{tag} WHERE cnt >= thr)"""
+
+
+def hub_flag(col: str, tag: str, alias: str) -> str:
+    return (f"CAST(CASE WHEN m.{col} IS NULL THEN NULL WHEN h{tag}.v IS NOT NULL THEN 1 ELSE 0 END AS TINYINT) AS {alias}")
+
+
+HUB_CTES = hub_cte("OriginAirportID", "org") + "," + hub_cte("DestAirportID", "dst")
+HUB_JOINS = ("LEFT JOIN horg ON m.OriginAirportID = horg.v LEFT JOIN hdst ON m.DestAirportID = hdst.v")
+
+ORACLE["market_features"] = with_market_extra(HUB_CTES, f"""
+SELECT {KEY},
+  {r4('Average_Fare / CASE WHEN NonStopMiles IS NULL THEN NULL ELSE greatest(NonStopMiles, CAST(1.0 AS DOUBLE)) END', 'fare_per_mile')},
+  {r4('CASE WHEN Circuity IS NULL THEN NULL ELSE greatest(Circuity - CAST(1.0 AS DOUBLE), CAST(0.0 AS DOUBLE)) END', 'circuity_premium')},
+  {hub_flag('OriginAirportID', 'org', 'is_hub_origin')}, {hub_flag('DestAirportID', 'dst', 'is_hub_dest')}
+FROM market m {HUB_JOINS}""")
+
+ORACLE["hub_flags"] = with_market_extra(HUB_CTES, f"""
+SELECT is_hub_origin, is_hub_dest, CAST(count(*) AS BIGINT) AS n_rows,
+  CAST(count(DISTINCT OriginAirportID) AS BIGINT) AS n_origins, CAST(count(DISTINCT DestAirportID) AS BIGINT) AS n_dests
+FROM (SELECT m.OriginAirportID, m.DestAirportID, {hub_flag('OriginAirportID', 'org', 'is_hub_origin')},
+        {hub_flag('DestAirportID', 'dst', 'is_hub_dest')} FROM market m {HUB_JOINS})
+GROUP BY is_hub_origin, is_hub_dest""")
+
+ID_COLS = ["OriginCityMarketID", "DestCityMarketID", "OriginAirportID", "DestAirportID", "ODPairID"]
+
+
+def freq_ctes(src: str = "market") -> str:
+    return ",".join(f"""
+fq_{c} AS (SELECT {c} AS v, CAST(count(*) AS DOUBLE) / (SELECT CAST(count(*) AS DOUBLE) FROM {src}) AS e
+           FROM {src} GROUP BY {c})""" for c in ID_COLS)
+
+
+FREQ_JOINS = " ".join(f"LEFT JOIN fq_{c} ON m.{c} = fq_{c}.v" for c in ID_COLS)
+
+ORACLE["frequency_encode"] = with_market_extra(freq_ctes(), f"""
+SELECT {KEY}, {', '.join(r4(f'fq_{c}.e', f'{c}_freq_enc') for c in ID_COLS)}
+FROM market m {FREQ_JOINS}""")
+
+
+def target_enc_ctes(smoothing: float, src: str = "market", col: str = "Carrier") -> str:
+    fold = FOLD_EXPR.format(seed=42, k=5)
+    return f"""
+tb AS (SELECT *, CAST({fold} AS INTEGER) AS fold FROM {src}),
+tg AS (SELECT avg(Average_Fare) AS g FROM {src}),
+tcf AS (SELECT {col} AS cat, fold, sum(Average_Fare) AS S, CAST(count(Average_Fare) AS BIGINT) AS n FROM tb GROUP BY {col}, fold),
+tct AS (SELECT cat, sum(S) AS St, CAST(sum(n) AS BIGINT) AS nt FROM tcf GROUP BY cat),
+tenc AS (
+  SELECT tcf.cat, tcf.fold,
+    CASE WHEN nt - n > 0 THEN (coalesce(St, 0) - coalesce(S, 0) + CAST({smoothing} AS DOUBLE) * g)
+                                / (CAST(nt - n AS DOUBLE) + CAST({smoothing} AS DOUBLE)) END AS e
+  FROM tcf JOIN tct ON tcf.cat = tct.cat, tg
+)"""
+
+
+TENC_SELECT = f"""
+SELECT {KEY}, tb.Carrier, {r4('coalesce(tenc.e, tg.g)', 'Carrier_target_enc')}
+FROM tb LEFT JOIN tenc ON tb.Carrier = tenc.cat AND tb.fold = tenc.fold, tg"""
+
+ORACLE["target_encode"] = with_market_extra(target_enc_ctes(10.0), TENC_SELECT)
+ORACLE["target_encode_unsmoothed"] = with_market_extra(target_enc_ctes(0.0), TENC_SELECT)
+
+ORACLE["route_mean_std"] = with_market_extra("""
+rs AS (SELECT ODPairID, avg(Average_Fare) AS a, coalesce(stddev_samp(Average_Fare), 0) AS s FROM market GROUP BY ODPairID)""",
+f"""SELECT {KEY}, m.ODPairID, {r4('a', 'route_avg_fare')}, {r4('s', 'route_std_fare')}
+FROM market m LEFT JOIN rs ON m.ODPairID = rs.ODPairID""")
+
+ORACLE["fare_per_mile_safe"] = with_dirty(f"""
+SELECT {KEY}, {r4('Average_Fare', 'Average_Fare')}, {r4('NonStopMiles', 'NonStopMiles')},
+  {r4("CASE WHEN NonStopMiles = 0 THEN (CASE WHEN Average_Fare = 0 THEN CAST('nan' AS DOUBLE) ELSE 0.0 END) ELSE Average_Fare / NonStopMiles END", 'fare_per_mile')}
+FROM market_dirty""")

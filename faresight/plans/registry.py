@@ -1,7 +1,7 @@
 """Registered queries: ``name -> (spark, sf_dir) -> DataFrame``.
 
 Each query reads the driver's tables (through the market view) and runs one
-operator or job over all of it. Results are rounded to 4 decimals only here,
+operator or job over all of it. Results are rounded to 6 decimals only here,
 at the presentation edge, so that cross-engine comparison is stable; the
 operators themselves keep full precision.
 """
@@ -26,7 +26,7 @@ def register(name: str, rounded: bool = True):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(spark, sf_dir)
-            return round_doubles(df, 4) if rounded else df
+            return round_doubles(df, 6) if rounded else df
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -43,3 +43,65 @@ def q_route_features(spark, sf):
     return out.select(*ROW_KEY, "ODPairID", "route_avg_fare", "route_std_fare",
                       "route_carrier_count", "route_total_pax", "route_avg_market_share",
                       "route_hhi", "route_competition_level")
+
+
+@register("carrier_features")
+def q_carrier_features(spark, sf):
+    """G2 + J2: carrier aggregates (share of all passengers) on every row."""
+    out = FE.build_carrier_features(market(spark, sf))
+    return out.select(*ROW_KEY, "Carrier", "carrier_avg_fare", "carrier_route_count",
+                      "carrier_avg_distance", "carrier_pax_share")
+
+
+@register("market_features")
+def q_market_features(spark, sf):
+    """G3 + C9 + G4: fare per mile, circuity premium and hub flags."""
+    out = FE.build_market_features(market(spark, sf))
+    return out.select(*ROW_KEY, "fare_per_mile", "circuity_premium", "is_hub_origin", "is_hub_dest")
+
+
+@register("hub_flags")
+def q_hub_flags(spark, sf):
+    """G4 + J5: airports at/above the 95th percentile of airport frequency."""
+    m = market(spark, sf)
+    out = FE.hub_flags(m)
+    return out.groupBy("is_hub_origin", "is_hub_dest").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("OriginAirportID").alias("n_origins"),
+        F.count_distinct("DestAirportID").alias("n_dests"))
+
+
+@register("frequency_encode")
+def q_frequency_encode(spark, sf):
+    """G5 + J3: frequency encoding of the five id columns."""
+    from faresight.schema import ID_COLUMNS
+    out = FE.frequency_encode(market(spark, sf), ID_COLUMNS)
+    return out.select(*ROW_KEY, *[f"{c}_freq_enc" for c in ID_COLUMNS])
+
+
+@register("target_encode")
+def q_target_encode(spark, sf):
+    """G6 + J4 + S10: 5-fold out-of-fold smoothed target encoding of Carrier."""
+    out = FE.target_encode_cv(market(spark, sf), "Carrier")
+    return out.select(*ROW_KEY, "Carrier", "Carrier_target_enc")
+
+
+@register("target_encode_unsmoothed")
+def q_target_encode_unsmoothed(spark, sf):
+    """The unsmoothed variant (plain other-fold mean, global-mean fallback)."""
+    out = FE.target_encode_cv(market(spark, sf), "Carrier", smoothing=0.0)
+    return out.select(*ROW_KEY, "Carrier", "Carrier_target_enc")
+
+
+@register("route_mean_std")
+def q_route_mean_std(spark, sf):
+    """Route mean / std (single-row routes get std 0), joined back."""
+    out = FE.route_mean_std(market(spark, sf))
+    return out.select(*ROW_KEY, "ODPairID", "route_avg_fare", "route_std_fare")
+
+
+@register("fare_per_mile_safe")
+def q_fare_per_mile_safe(spark, sf):
+    """Fare / miles with ±inf -> 0, on the damaged table (negative miles)."""
+    out = FE.fare_per_mile_safe(market_dirty(spark, sf))
+    return out.select(*ROW_KEY, "Average_Fare", "NonStopMiles", "fare_per_mile")
