@@ -36,7 +36,10 @@ def route_stats(df: DataFrame, route: str = ROUTE, target: str = TARGET,
                 carrier: str = CARRIER, demand: str = "Pax",
                 share: str = "Market_share", hhi: str = "Market_HHI",
                 order_cols: Sequence[str] | None = None) -> DataFrame:
+    """One row per route (``_s``/``_n``: target sum and count, for the
+    leave-one-out option; dropped on attach)."""
     return df.groupBy(route).agg(
+        F.sum(target).alias("_s"), F.count(target).alias("_n"),
         F.avg(target).alias("route_avg_fare"),
         F.stddev_samp(target).alias("route_std_fare"),
         n_unique(carrier).alias("route_carrier_count"),
@@ -58,17 +61,21 @@ def build_route_features(df: DataFrame, route: str = ROUTE, target: str = TARGET
     *other* rows of the route, which keeps the row's own target out.
     """
     stats = route_stats(df, route, target, carrier, demand, share, hhi, order_cols)
-    if leave_one_out:
-        loo = df.groupBy(route).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
-        stats = stats.join(loo, route)
+    return attach_route_features(df, stats, route, target, leave_one_out)
+
+
+def attach_route_features(df: DataFrame, stats: DataFrame, route: str = ROUTE,
+                          target: str = TARGET, leave_one_out: bool = False) -> DataFrame:
+    """Join route stats (from ``route_stats``, with ``_s``/``_n`` target
+    sums when ``leave_one_out``) onto ``df`` and add the competition bin."""
     out = df.join(stats, route, "left")
     if leave_one_out:
         own = F.col(target)
         out = out.withColumn(
             "route_avg_fare",
             F.when(own.isNull(), F.col("route_avg_fare"))
-             .otherwise(safe_div(F.col("_s") - own, F.col("_n") - F.lit(1)))).drop("_s", "_n")
-    return out.withColumn("route_competition_level",
+             .otherwise(safe_div(F.col("_s") - own, F.col("_n") - F.lit(1))))
+    return out.drop("_s", "_n").withColumn("route_competition_level",
                           competition_level("route_carrier_count"))
 
 
@@ -77,15 +84,21 @@ def build_carrier_features(df: DataFrame, carrier: str = CARRIER, target: str =
                            demand: str = "Pax", carrier_demand: str = "CarrierPax") -> DataFrame:
     """Per-carrier mean fare, distinct routes, mean distance and passenger
     share (Σ carrier demand / Σ all demand), attached to every row."""
+    return df.join(carrier_stats(df, carrier, target, route, miles, demand, carrier_demand),
+                   carrier, "left")
+
+
+def carrier_stats(df: DataFrame, carrier: str = CARRIER, target: str = TARGET,
+                  route: str = ROUTE, miles: str = "NonStopMiles",
+                  demand: str = "Pax", carrier_demand: str = "CarrierPax") -> DataFrame:
     total = df.select(F.sum(demand)).scalar()
-    stats = df.groupBy(carrier).agg(
+    return df.groupBy(carrier).agg(
         F.avg(target).alias("carrier_avg_fare"),
         n_unique(route).alias("carrier_route_count"),
         F.avg(miles).alias("carrier_avg_distance"),
         F.sum(carrier_demand).alias("_cpax"),
     ).select(carrier, "carrier_avg_fare", "carrier_route_count", "carrier_avg_distance",
              safe_div(F.col("_cpax").cast("double"), total.cast("double")).alias("carrier_pax_share"))
-    return df.join(stats, carrier, "left")
 
 
 def nearest_rank_threshold(counts: DataFrame, count_col: str, q: float) -> F.Column:
@@ -111,17 +124,24 @@ def hub_flags(df: DataFrame, columns: Sequence[tuple[str, str]] = (
         q: float = HUB_QUANTILE) -> DataFrame:
     """Flag values whose row frequency is at or above the ``q`` quantile of
     all value frequencies (nearest rank). Flag is tinyint 0/1, NULL for NULL."""
-    out = df
+    return attach_hub_flags(df, df, columns, q)
+
+
+def hub_table(df: DataFrame, col: str, alias: str, q: float = HUB_QUANTILE) -> DataFrame:
+    """``(value, flag)`` for every non-NULL value of ``col``."""
+    freq = df.groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
+    thr = nearest_rank_threshold(freq, "_cnt", q)
+    return (freq.filter(F.col(col).isNotNull())
+                .select(col, (F.col("_cnt") >= thr).cast("tinyint").alias(alias)))
+
+
+def attach_hub_flags(out: DataFrame, base: DataFrame, columns: Sequence[tuple[str, str]] = (
+        ("OriginAirportID", "is_hub_origin"), ("DestAirportID", "is_hub_dest")),
+        q: float = HUB_QUANTILE) -> DataFrame:
+    """Hub flags computed on ``base`` joined onto ``out`` (NULL value -> NULL)."""
     for col, alias in columns:
-        if col not in df.columns:
-            continue
-        freq = df.groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
-        thr = nearest_rank_threshold(freq, "_cnt", q)
-        hubs = freq.filter(F.col("_cnt") >= thr).select(F.col(col), F.lit(1).alias("_hub"))
-        out = (out.join(hubs, col, "left")
-                  .withColumn(alias, F.when(F.col(col).isNull(), F.lit(None))
-                                      .otherwise(F.coalesce(F.col("_hub"), F.lit(0))).cast("tinyint"))
-                  .drop("_hub"))
+        if col in base.columns:
+            out = out.join(hub_table(base, col, alias, q), col, "left")
     return out
 
 
@@ -129,11 +149,16 @@ def build_market_features(df: DataFrame, target: str = TARGET, miles: str = "Non
                           circuity: str = "Circuity", hubs: bool = True) -> DataFrame:
     """``fare_per_mile = fare / max(miles, 1)``, ``circuity_premium =
     max(circuity - 1, 0)`` (NULL-preserving) and the two hub flags."""
-    out = df.withColumns({
+    out = add_market_ratios(df, target, miles, circuity)
+    return attach_hub_flags(out, df) if hubs else out
+
+
+def add_market_ratios(df: DataFrame, target: str = TARGET, miles: str = "NonStopMiles",
+                      circuity: str = "Circuity") -> DataFrame:
+    return df.withColumns({
         "fare_per_mile": safe_div(F.col(target), clip_lower(miles, 1.0)),
         "circuity_premium": clip_lower(F.col(circuity) - F.lit(1.0), 0.0),
     })
-    return hub_flags(out) if hubs else out
 
 
 def fare_per_mile_safe(df: DataFrame, target: str = TARGET, miles: str = "NonStopMiles",
@@ -149,12 +174,16 @@ def fare_per_mile_safe(df: DataFrame, target: str = TARGET, miles: str = "NonSto
 def frequency_encode(df: DataFrame, columns: Sequence[str], suffix: str = "_freq_enc") -> DataFrame:
     """``value count / row count`` per listed column, attached by left join.
     NULL values get NULL (a NULL key never matches)."""
-    n = df.select(F.count(F.lit(1))).scalar()
-    out = df
+    return attach_frequency_encoding(df, df, columns, suffix)
+
+
+def attach_frequency_encoding(out: DataFrame, base: DataFrame, columns: Sequence[str],
+                              suffix: str = "_freq_enc") -> DataFrame:
+    n = base.select(F.count(F.lit(1))).scalar()
     for col in columns:
-        if col not in df.columns:
+        if col not in base.columns:
             continue
-        freq = df.groupBy(col).agg(
+        freq = base.groupBy(col).agg(
             (F.count(F.lit(1)).cast("double") / n.cast("double")).alias(f"{col}{suffix}"))
         out = out.join(freq.filter(F.col(col).isNotNull()), col, "left")
     return out
@@ -178,6 +207,15 @@ def target_encode_cv(df: DataFrame, column: str = CARRIER, target: str = TARGET,
     other-fold sums are category total minus own fold, so the k filtered
     passes of a loop collapse into one shuffle of partial aggregates.
     """
+    return attach_target_encoding(df, df, column, target, n_folds, smoothing, seed, suffix, key_cols)
+
+
+def attach_target_encoding(out: DataFrame, df: DataFrame, column: str = CARRIER,
+                           target: str = TARGET, n_folds: int = TARGET_ENC_FOLDS,
+                           smoothing: float = TARGET_ENC_SMOOTHING, seed: int = SEED,
+                           suffix: str = "_target_enc",
+                           key_cols: Sequence[str] = FOLD_KEY) -> DataFrame:
+    """Encoding table computed on ``df``, attached to ``out`` (same rows, more columns)."""
     fold = "_fold"
     g = df.select(F.avg(target)).scalar()
     base = df.withColumn(fold, fold_column(key_cols, n_folds, seed))
@@ -188,7 +226,8 @@ def target_encode_cv(df: DataFrame, column: str = CARRIER, target: str = TARGET,
     enc = F.when(n_other > 0,
                  (s_other + F.lit(smoothing) * g) / (n_other.cast("double") + F.lit(smoothing)))
     table = cf.join(ct, column).select(column, fold, enc.alias("_enc"))
-    out = base.join(table.filter(F.col(column).isNotNull()), [column, fold], "left")
+    out = out.withColumn(fold, fold_column(key_cols, n_folds, seed))
+    out = out.join(table.filter(F.col(column).isNotNull()), [column, fold], "left")
     return out.withColumn(f"{column}{suffix}", F.coalesce(F.col("_enc"), g.cast("double"))) \
               .drop("_enc", fold)
 

@@ -140,3 +140,91 @@ ORACLE["fare_per_mile_safe"] = with_dirty(f"""
 SELECT {KEY}, {r4('Average_Fare', 'Average_Fare')}, {r4('NonStopMiles', 'NonStopMiles')},
   {r4("CASE WHEN NonStopMiles = 0 THEN (CASE WHEN Average_Fare = 0 THEN CAST('nan' AS DOUBLE) ELSE 0.0 END) ELSE Average_Fare / NonStopMiles END", 'fare_per_mile')}
 FROM market_dirty""")
+
+MARKET_COLS = ["MktCoupons", "OriginCityMarketID", "DestCityMarketID", "OriginAirportID",
+               "DestAirportID", "Carrier", "NonStopMiles", "RoundTrip", "ODPairID", "Pax",
+               "CarrierPax", "Average_Fare", "Market_share", "Market_HHI", "LCC_Comp",
+               "Multi_Airport", "Circuity", "Slot", "Non_Stop", "MktMilesFlown"]
+DOUBLE_COLS = {"NonStopMiles", "Average_Fare", "Market_share", "Market_HHI", "Circuity", "MktMilesFlown"}
+DIRTY_COLS = MARKET_COLS + ["Carrier_freq", "ODPairID_freq"]
+
+
+def rounded_cols(cols, prefix: str = "") -> str:
+    return ", ".join(r4(prefix + c, c) if c in DOUBLE_COLS or c.endswith("_freq") else prefix + c
+                     for c in cols)
+
+
+ORACLE["validate_market"] = with_dirty("""
+SELECT total_rows, negative_fares, zero_fares, missing_target, negative_distances, impossible_circuity,
+  duplicate_rows,
+  concat_ws('; ',
+    CASE WHEN negative_fares > 0 THEN CAST(negative_fares AS VARCHAR) || ' rows with negative Average_Fare' END,
+    CASE WHEN zero_fares > 0 THEN CAST(zero_fares AS VARCHAR) || ' rows with zero Average_Fare' END,
+    CASE WHEN missing_target > 0 THEN CAST(missing_target AS VARCHAR) || ' rows with missing Average_Fare' END,
+    CASE WHEN neg_a > 0 THEN CAST(neg_a AS VARCHAR) || ' rows with negative NonStopMiles' END,
+    CASE WHEN neg_b > 0 THEN CAST(neg_b AS VARCHAR) || ' rows with negative MktMilesFlown' END,
+    CASE WHEN impossible_circuity > 0 THEN CAST(impossible_circuity AS VARCHAR) || ' rows with impossibly low Circuity' END,
+    CASE WHEN duplicate_rows > 0 THEN CAST(duplicate_rows AS VARCHAR) || ' duplicate rows' END) AS issues,
+  (negative_fares + zero_fares + missing_target + negative_distances + impossible_circuity + duplicate_rows) = 0 AS is_clean
+FROM (
+  SELECT CAST(count(*) AS BIGINT) AS total_rows,
+    CAST(sum(CASE WHEN Average_Fare < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative_fares,
+    CAST(sum(CASE WHEN Average_Fare = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zero_fares,
+    CAST(sum(CASE WHEN Average_Fare IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_target,
+    CAST(sum(CASE WHEN NonStopMiles < 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg_a,
+    CAST(sum(CASE WHEN MktMilesFlown < 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg_b,
+    CAST(sum(CASE WHEN NonStopMiles < 0 THEN 1 ELSE 0 END) + sum(CASE WHEN MktMilesFlown < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative_distances,
+    CAST(sum(CASE WHEN Circuity < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS impossible_circuity,
+    CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT """ + ", ".join(DIRTY_COLS) + """ FROM market_dirty)) AS BIGINT) AS duplicate_rows
+  FROM market_dirty)""")
+
+_clean_casts = ", ".join(
+    f"CAST({c} AS FLOAT) AS {c}" if c in DOUBLE_COLS else (c if c == "Carrier" else f"CAST({c} AS INTEGER) AS {c}")
+    for c in MARKET_COLS)
+ORACLE["clean_market"] = with_dirty(f"""
+SELECT {_clean_casts} FROM (
+  SELECT DISTINCT {', '.join(MARKET_COLS)} FROM market_dirty
+  WHERE Average_Fare IS NOT NULL AND Average_Fare > 0 AND NonStopMiles >= 0 AND MktMilesFlown >= 0)""")
+
+ORACLE["downcast"] = with_market(f"SELECT {_clean_casts} FROM market")
+
+ORACLE["clean_strict"] = with_dirty(f"""
+SELECT {rounded_cols(DIRTY_COLS)} FROM (
+  SELECT DISTINCT {', '.join(DIRTY_COLS)} FROM market_dirty
+  WHERE Average_Fare IS NOT NULL AND Average_Fare >= 1.0 AND NonStopMiles > 0)""")
+
+ORACLE["dedup"] = with_dirty(f"""
+SELECT {rounded_cols(DIRTY_COLS)} FROM (SELECT DISTINCT {', '.join(DIRTY_COLS)} FROM market_dirty)""")
+
+_ROUTE_STATS = f"""
+rs AS (
+  SELECT ODPairID, avg(Average_Fare) AS route_avg_fare, stddev_samp(Average_Fare) AS route_std_fare,
+    {nunique('Carrier')} AS route_carrier_count, CAST(coalesce(sum(Pax), 0) AS BIGINT) AS route_total_pax,
+    avg(Market_share) AS route_avg_market_share,
+    arg_min(Market_HHI, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_suppkey, e := l_shipdate)) AS route_hhi
+  FROM market GROUP BY ODPairID
+)"""
+
+ORACLE["build_features"] = with_market_extra(
+    _ROUTE_STATS + "," + CARRIER_CTE + "," + HUB_CTES + "," + freq_ctes() + "," + target_enc_ctes(10.0),
+    f"""
+SELECT {KEY}, {rounded_cols(MARKET_COLS, 'm.')},
+  {r4('rs.route_avg_fare', 'route_avg_fare')}, {r4('rs.route_std_fare', 'route_std_fare')},
+  rs.route_carrier_count, rs.route_total_pax, {r4('rs.route_avg_market_share', 'route_avg_market_share')},
+  {r4('rs.route_hhi', 'route_hhi')},
+  CASE WHEN rs.route_carrier_count = 1 THEN 0 WHEN rs.route_carrier_count <= 3 THEN 1 ELSE 2 END AS route_competition_level,
+  {r4('carrier_avg_fare', 'carrier_avg_fare')}, carrier_route_count,
+  {r4('carrier_avg_distance', 'carrier_avg_distance')}, {r4('carrier_pax_share', 'carrier_pax_share')},
+  {r4('m.Average_Fare / CASE WHEN m.NonStopMiles IS NULL THEN NULL ELSE greatest(m.NonStopMiles, CAST(1.0 AS DOUBLE)) END', 'fare_per_mile')},
+  {r4('CASE WHEN m.Circuity IS NULL THEN NULL ELSE greatest(m.Circuity - CAST(1.0 AS DOUBLE), CAST(0.0 AS DOUBLE)) END', 'circuity_premium')},
+  {hub_flag('OriginAirportID', 'org', 'is_hub_origin')}, {hub_flag('DestAirportID', 'dst', 'is_hub_dest')},
+  {', '.join(r4(f'fq_{c}.e', f'{c}_freq_enc') for c in ID_COLS)},
+  {r4('coalesce(tenc.e, tg.g)', 'Carrier_target_enc')}
+FROM market m
+LEFT JOIN rs ON m.ODPairID = rs.ODPairID
+LEFT JOIN cs ON m.Carrier = cs.Carrier
+{HUB_JOINS} {FREQ_JOINS}
+JOIN tb ON tb.l_orderkey = m.l_orderkey AND tb.l_linenumber = m.l_linenumber AND tb.l_partkey = m.l_partkey
+   AND tb.l_suppkey = m.l_suppkey AND tb.l_shipdate = m.l_shipdate
+LEFT JOIN tenc ON m.Carrier = tenc.cat AND tb.fold = tenc.fold
+CROSS JOIN tg""".replace(f"SELECT {KEY},", "SELECT " + ", ".join("m." + k.strip() for k in KEY.split(",")) + ",", 1))

@@ -105,3 +105,47 @@ def q_fare_per_mile_safe(spark, sf):
     """Fare / miles with ±inf -> 0, on the damaged table (negative miles)."""
     out = FE.fare_per_mile_safe(market_dirty(spark, sf))
     return out.select(*ROW_KEY, "Average_Fare", "NonStopMiles", "fare_per_mile")
+
+
+# ---------------------------------------------------------------- cleaning
+def _dirty_table(spark, sf):
+    """Damaged market rows without the row key (as raw files would hold)."""
+    return market_dirty(spark, sf).drop(*ROW_KEY)
+
+
+@register("validate_market")
+def q_validate_market(spark, sf):
+    """Validation counters and issue list on the damaged table."""
+    v = C.validate(_dirty_table(spark, sf))
+    return v.withColumn("issues", F.concat_ws("; ", "issues"))
+
+
+@register("clean_market", rounded=False)
+def q_clean_market(spark, sf):
+    """Drop encodings, drop bad targets/distances, de-dup, narrow types."""
+    return C.clean(_dirty_table(spark, sf))
+
+
+@register("clean_strict")
+def q_clean_strict(spark, sf):
+    """Strict cleaning (fare >= 1, miles > 0, no NULL target, de-dup)."""
+    return C.clean_strict(_dirty_table(spark, sf))
+
+
+@register("downcast", rounded=False)
+def q_downcast(spark, sf):
+    """float64 -> float32, int64 -> int32 where the range fits."""
+    return C.downcast(market(spark, sf, with_key=False))
+
+
+@register("dedup")
+def q_dedup(spark, sf):
+    """Exact duplicate removal over all columns."""
+    return _dirty_table(spark, sf).distinct()
+
+
+@register("build_features")
+def q_build_features(spark, sf):
+    """The full feature chain on the market table (flagship)."""
+    from faresight.plans.jobs import build_features
+    return build_features(market(spark, sf), order_cols=ROW_KEY)

@@ -93,9 +93,37 @@ def with_market_shares(base: DataFrame, route: str = "ODPairID", carrier: str =
     return base.join(shares, [route, carrier], "left")
 
 
-def market(spark: SparkSession, sf_dir: str, with_key: bool = True) -> DataFrame:
-    """The 20-column market table (plus the row key unless ``with_key=False``)."""
-    df = with_market_shares(market_base(spark, sf_dir))
+def market_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market table as one lazy plan over the source tables."""
+    return with_market_shares(market_base(spark, sf_dir)).select(*ROW_KEY, *MARKET_COLUMNS)
+
+
+_MATERIALIZED: dict[tuple[str, str], str] = {}
+
+
+def market(spark: SparkSession, sf_dir: str, with_key: bool = True,
+           materialize: bool = True) -> DataFrame:
+    """The 20-column market table (plus the row key unless ``with_key=False``).
+
+    By default the derived table is written once per session as Parquet
+    under the shared checkpoint folder (the "build the table, then query it"
+    flow) and every query scans that file, with column pruning and filter
+    pushdown. The write is an ordinary job, so lost executors only cost
+    their tasks; the written table also cuts the lineage.
+    """
+    import os
+
+    from faresight.session import scratch_path
+    if materialize:
+        key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+        path = _MATERIALIZED.get(key)
+        if path is None:
+            path = scratch_path(spark, "market")
+            market_view(spark, sf_dir).write.mode("overwrite").parquet(path)
+            _MATERIALIZED[key] = path
+        df = spark.read.parquet(path)
+    else:
+        df = market_view(spark, sf_dir)
     cols = (ROW_KEY if with_key else []) + MARKET_COLUMNS
     return df.select(*cols)
 
