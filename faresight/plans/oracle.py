@@ -228,3 +228,153 @@ JOIN tb ON tb.l_orderkey = m.l_orderkey AND tb.l_linenumber = m.l_linenumber AND
    AND tb.l_suppkey = m.l_suppkey AND tb.l_shipdate = m.l_shipdate
 LEFT JOIN tenc ON m.Carrier = tenc.cat AND tb.fold = tenc.fold
 CROSS JOIN tg""".replace(f"SELECT {KEY},", "SELECT " + ", ".join("m." + k.strip() for k in KEY.split(",")) + ",", 1))
+
+# ---------------------------------------------------------------- profiling
+DIRTY_TYPES = [(c, "string" if c == "Carrier" else ("double" if (c in DOUBLE_COLS or c.endswith("_freq")) else "bigint"))
+               for c in DIRTY_COLS]
+
+
+def _profile_sql() -> str:
+    parts = []
+    for i, (c, t) in enumerate(DIRTY_TYPES):
+        if t == "string":
+            stats = ", ".join(f"CAST(NULL AS DOUBLE) AS {a}" for a in ["mean", "std", "min", "p25", "p50", "p75", "max"])
+        else:
+            x = f"CAST({c} AS DOUBLE)"
+            stats = ", ".join([r4(f"avg({x})", "mean"), r4(f"stddev_samp({x})", "std"), r4(f"min({x})", "min"),
+                               r4(f"quantile_cont({x}, 0.25)", "p25"), r4(f"quantile_cont({x}, 0.5)", "p50"),
+                               r4(f"quantile_cont({x}, 0.75)", "p75"), r4(f"max({x})", "max")])
+        parts.append(f"SELECT {i} AS position, '{c}' AS column, '{t}' AS dtype, CAST(count(*) AS BIGINT) AS row_count, "
+                     f"CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_count, {stats} FROM market_dirty")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["profile_columns"] = with_dirty(_profile_sql())
+
+ORACLE["null_counts"] = with_dirty("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column, CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_count FROM market_dirty"
+    for c in DIRTY_COLS))
+
+_KEY_COLS = [k.strip() for k in KEY.split(",")]
+ORACLE["null_counts_head"] = with_dirty("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column, CAST(coalesce(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS null_count FROM h"
+    for c in _KEY_COLS + DIRTY_COLS), ctes=f"h AS (SELECT * FROM market_dirty ORDER BY {KEY} LIMIT 1000)")
+
+ORACLE["missing_pct"] = with_dirty('SELECT "column", ' + r4("CAST(nc AS DOUBLE) * 100.0 / CAST(n AS DOUBLE)", "missing_pct")
+                                   + " FROM (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column, sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS nc, count(*) AS n FROM market_dirty"
+    for c in DIRTY_COLS) + ") WHERE nc > 0")
+
+NUMERIC_MARKET = [c for c in MARKET_COLS if c != "Carrier"]
+
+
+def _describe_sql() -> str:
+    stats = [("count", "count({c})"), ("null_count", "sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)"),
+             ("mean", "avg({c})"), ("std", "stddev_samp({c})"), ("min", "min({c})"),
+             ("25%", "quantile_cont({c}, 0.25)"), ("50%", "quantile_cont({c}, 0.5)"),
+             ("75%", "quantile_cont({c}, 0.75)"), ("max", "max({c})")]
+    parts = []
+    for label, f in stats:
+        cols = ", ".join(r4(f.format(c=f"CAST({c} AS DOUBLE)"), c) for c in NUMERIC_MARKET)
+        parts.append(f"SELECT '{label}' AS statistic, {cols} FROM market")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["describe_numeric"] = with_market(_describe_sql())
+
+ORACLE["cardinality_top"] = with_market(
+    'SELECT "column", n_unique, position FROM (' + "\nUNION ALL\n".join(
+        f"SELECT {i} AS position, '{c}' AS column, {nunique(c)} AS n_unique FROM market"
+        for i, c in enumerate(MARKET_COLS)) + ") ORDER BY n_unique DESC, position ASC LIMIT 20")
+
+CORR_COLS = ["MktCoupons", "NonStopMiles", "Pax", "CarrierPax", "Market_share", "Market_HHI", "Circuity",
+             "MktMilesFlown", "Average_Fare"]
+
+
+def _corr_sql() -> str:
+    parts = []
+    for i, a in enumerate(CORR_COLS):
+        for j in range(i, len(CORR_COLS)):
+            b = CORR_COLS[j]
+            x = f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN CAST({a} AS DOUBLE) END"
+            y = f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN CAST({b} AS DOUBLE) END"
+            r = f"covar_samp({x}, {y}) / nullif(stddev_samp({x}) * stddev_samp({y}), 0)"
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {r4(r, 'corr')} FROM market")
+            if i != j:
+                parts.append(f"SELECT '{b}' AS col_a, '{a}' AS col_b, {r4(r, 'corr')} FROM market")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["correlation_matrix"] = with_market(_corr_sql())
+
+
+def _hist_sql(expr: str, bins: int) -> str:
+    nb = f"CAST({bins}.0 AS DOUBLE)"
+    return with_market_extra(f"""
+hv AS (SELECT CAST({expr} AS DOUBLE) AS v FROM market),
+hv2 AS (SELECT v FROM hv WHERE v IS NOT NULL AND NOT isnan(v)),
+hr AS (SELECT min(v) AS lo, max(v) AS hi FROM hv2),
+hc AS (SELECT CAST(CASE WHEN hi - lo = 0 THEN 1 ELSE least(floor((v - lo) * {nb} / (hi - lo)) + 1, {bins}) END AS INTEGER) AS bin,
+              count(*) AS cnt FROM hv2, hr GROUP BY 1),
+hg AS (SELECT CAST(range AS INTEGER) AS bin FROM range(1, {bins + 1}))""", f"""
+SELECT hg.bin, {r4(f'lo + (hi - lo) * CAST(hg.bin - 1 AS DOUBLE) / {nb}', 'bin_lo')},
+  {r4(f'lo + (hi - lo) * CAST(hg.bin AS DOUBLE) / {nb}', 'bin_hi')}, CAST(coalesce(cnt, 0) AS BIGINT) AS count
+FROM hg CROSS JOIN hr LEFT JOIN hc ON hg.bin = hc.bin WHERE lo IS NOT NULL""")
+
+
+ORACLE["fare_histogram"] = _hist_sql("Average_Fare", 100)
+ORACLE["log_histogram"] = _hist_sql("ln(1 + Average_Fare)", 100)
+ORACLE["hhi_histogram"] = _hist_sql("Market_HHI", 50)
+
+ORACLE["hhi_concentration"] = with_market(f"""
+SELECT n_rows, concentrated_rows, n_routes, concentrated_routes,
+  {r4('CAST(concentrated_rows AS DOUBLE) / CAST(n_rows AS DOUBLE)', 'concentrated_share')}
+FROM (SELECT CAST(count(*) AS BIGINT) AS n_rows,
+        CAST(sum(CASE WHEN Market_HHI > 2500 THEN 1 ELSE 0 END) AS BIGINT) AS concentrated_rows,
+        CAST(count(DISTINCT ODPairID) AS BIGINT) AS n_routes,
+        CAST(count(DISTINCT CASE WHEN Market_HHI > 2500 THEN ODPairID END) AS BIGINT) AS concentrated_routes
+      FROM market)""")
+
+
+def _box_sql(src_cte: str, group_cols: list[str]) -> str:
+    g = ", ".join(group_cols)
+    gq = ", ".join(f"bq.{c}" for c in group_cols)
+    on = " AND ".join(f"bq.{c} = bv.{c}" for c in group_cols)
+    return with_market_extra(src_cte + f""",
+bq AS (SELECT {g}, CAST(count(*) AS BIGINT) AS n, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+              quantile_cont(x, 0.75) AS q3 FROM bv GROUP BY {g})""", f"""
+SELECT {gq}, bq.n, {r4('bq.q1', 'q1')}, {r4('bq.median', 'median')}, {r4('bq.q3', 'q3')},
+  {r4('min(CASE WHEN x >= bq.q1 - 1.5 * (bq.q3 - bq.q1) THEN x END)', 'whisker_lo')},
+  {r4('max(CASE WHEN x <= bq.q3 + 1.5 * (bq.q3 - bq.q1) THEN x END)', 'whisker_hi')}
+FROM bq JOIN bv ON {on}
+GROUP BY {gq}, bq.n, bq.q1, bq.median, bq.q3""")
+
+
+ORACLE["carrier_fare_box"] = _box_sql("""
+btop AS (SELECT Carrier FROM market GROUP BY Carrier ORDER BY count(*) DESC, Carrier ASC LIMIT 15),
+bv AS (SELECT Carrier, CAST(Average_Fare AS DOUBLE) AS x FROM market
+       WHERE Carrier IN (SELECT Carrier FROM btop) AND Average_Fare IS NOT NULL AND NOT isnan(Average_Fare))""",
+                                      ["Carrier"])
+
+BIN_COLS = ["RoundTrip", "LCC_Comp", "Multi_Airport", "Slot", "Non_Stop"]
+ORACLE["binary_fare_box"] = _box_sql("bv AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS BIGINT) AS flag_value, CAST(Average_Fare AS DOUBLE) AS x FROM market "
+    f"WHERE Average_Fare IS NOT NULL AND NOT isnan(Average_Fare)" for c in BIN_COLS) + ")", ["feature", "flag_value"])
+
+ORACLE["overview_metrics"] = with_market(f"""
+SELECT CAST(count(*) AS BIGINT) AS n_rows, {r4('avg(Average_Fare)', 'avg_fare')},
+  CAST(coalesce(sum(Pax), 0) AS BIGINT) AS total_pax, {nunique('ODPairID')} AS n_routes, {nunique('Carrier')} AS n_carriers
+FROM market""")
+
+ORACLE["top_routes"] = with_market(f"""
+SELECT ODPairID, {r4('avg_fare', 'avg_fare')}, n_records FROM (
+  SELECT ODPairID, avg(Average_Fare) AS avg_fare, CAST(count(Average_Fare) AS BIGINT) AS n_records
+  FROM market GROUP BY ODPairID HAVING count(Average_Fare) >= 10
+  ORDER BY avg_fare DESC, ODPairID ASC LIMIT 20)""")
+
+ORACLE["top_carriers"] = with_market("""
+SELECT Carrier, CAST(count(*) AS BIGINT) AS n_rows FROM market GROUP BY Carrier
+ORDER BY n_rows DESC, Carrier ASC LIMIT 15""")
+
+ORACLE["preview"] = with_market(f"""
+SELECT {KEY}, {rounded_cols(MARKET_COLS)} FROM market ORDER BY {KEY} LIMIT 100""")

@@ -149,3 +149,115 @@ def q_build_features(spark, sf):
     """The full feature chain on the market table (flagship)."""
     from faresight.plans.jobs import build_features
     return build_features(market(spark, sf), order_cols=ROW_KEY)
+
+
+# ---------------------------------------------------------------- profiling / EDA
+from faresight.operators import profile as P  # noqa: E402
+
+
+@register("profile_columns")
+def q_profile_columns(spark, sf):
+    """B1: per-column dtype, counts and numeric stats of the raw (damaged) table."""
+    return P.profile_columns(_dirty_table(spark, sf))
+
+
+@register("null_counts")
+def q_null_counts(spark, sf):
+    """B2: full-scan null count per column."""
+    return P.null_counts(_dirty_table(spark, sf))
+
+
+@register("null_counts_head")
+def q_null_counts_head(spark, sf):
+    """Null counts over the first 1000 rows in row-key order."""
+    return P.null_counts_head(market_dirty(spark, sf), ROW_KEY, 1000)
+
+
+@register("missing_pct")
+def q_missing_pct(spark, sf):
+    """Percent missing for the columns that have NULLs."""
+    return P.missing_pct(_dirty_table(spark, sf))
+
+
+@register("describe_numeric")
+def q_describe_numeric(spark, sf):
+    """describe() of every numeric market column."""
+    return P.describe(market(spark, sf, with_key=False))
+
+
+@register("cardinality_top")
+def q_cardinality_top(spark, sf):
+    """20 columns with the most distinct values (NULL counts as one)."""
+    return P.cardinality(market(spark, sf, with_key=False), top=20)
+
+
+@register("cardinality_approx")
+def q_cardinality_approx(spark, sf):
+    """B6 (bounded-memory variant): HyperLogLog distinct counts."""
+    return P.cardinality(market(spark, sf, with_key=False), top=20, approx=True)
+
+
+@register("correlation_matrix")
+def q_correlation_matrix(spark, sf):
+    """Pearson matrix of the 8 numeric features and the target."""
+    return P.correlation_matrix(market(spark, sf))
+
+
+@register("fare_histogram")
+def q_fare_histogram(spark, sf):
+    """100-bin fare histogram."""
+    return P.histogram(market(spark, sf), "Average_Fare", 100)
+
+
+@register("log_histogram")
+def q_log_histogram(spark, sf):
+    """G11 + C13: 100-bin histogram of log1p(fare)."""
+    return P.histogram(market(spark, sf), P.log_target(), 100)
+
+
+@register("hhi_histogram")
+def q_hhi_histogram(spark, sf):
+    """50-bin HHI histogram."""
+    return P.histogram(market(spark, sf), "Market_HHI", 50)
+
+
+@register("hhi_concentration")
+def q_hhi_concentration(spark, sf):
+    """Rows and routes above the HHI 2500 marker."""
+    return P.hhi_concentration(market(spark, sf))
+
+
+@register("carrier_fare_box")
+def q_carrier_fare_box(spark, sf):
+    """G13 + S2 + J6: fare box stats of the 15 most frequent carriers."""
+    return P.carrier_fare_box(market(spark, sf))
+
+
+@register("binary_fare_box")
+def q_binary_fare_box(spark, sf):
+    """Fare box stats by each binary flag."""
+    return P.binary_fare_box(market(spark, sf))
+
+
+@register("overview_metrics")
+def q_overview_metrics(spark, sf):
+    """Headline metric cards."""
+    return P.overview_metrics(market(spark, sf))
+
+
+@register("top_routes")
+def q_top_routes(spark, sf):
+    """Top 20 routes by mean fare with at least 10 records."""
+    return P.top_routes(market(spark, sf))
+
+
+@register("top_carriers")
+def q_top_carriers(spark, sf):
+    """15 most frequent carriers."""
+    return P.top_by_count(market(spark, sf), "Carrier", 15)
+
+
+@register("preview")
+def q_preview(spark, sf):
+    """First 100 rows in row-key order."""
+    return P.preview(market(spark, sf), ROW_KEY, 100)
