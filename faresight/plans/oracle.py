@@ -378,3 +378,129 @@ ORDER BY n_rows DESC, Carrier ASC LIMIT 15""")
 
 ORACLE["preview"] = with_market(f"""
 SELECT {KEY}, {rounded_cols(MARKET_COLS)} FROM market ORDER BY {KEY} LIMIT 100""")
+
+# ---------------------------------------------------------------- sampling / splits
+HASH_EXPR = "(l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 1299709 + l_linenumber * 15485863 + 42) % 2147483647"
+BUCKET100 = FOLD_EXPR.format(seed=42, k=100)
+
+ORACLE["hash_sample"] = with_market(f"""
+SELECT {KEY}, {rounded_cols(MARKET_COLS)} FROM market ORDER BY {HASH_EXPR}, {KEY} LIMIT 10000""")
+
+ORACLE["fraction_sample"] = with_market(f"""
+SELECT {KEY}, {rounded_cols(MARKET_COLS)} FROM market WHERE {BUCKET100} < 20""")
+
+SPLIT_EXPR = f"CASE WHEN {BUCKET100} < 70 THEN 'train' WHEN {BUCKET100} < 85 THEN 'val' ELSE 'test' END"
+ORACLE["train_val_test_split"] = with_market(f"SELECT {KEY}, {SPLIT_EXPR} AS split FROM market")
+ORACLE["fold_assignment"] = with_market(f"SELECT {KEY}, CAST({FOLD_EXPR.format(seed=42, k=5)} AS INTEGER) AS fold FROM market")
+
+# ---------------------------------------------------------------- scenarios
+SCEN_BASE = """
+rb AS (SELECT ODPairID, avg(Average_Fare) AS base_fare, CAST(coalesce(sum(Pax), 0) AS DOUBLE) AS base_demand
+       FROM market GROUP BY ODPairID)"""
+
+
+def _scen_cte(values_sql: str, e: float = -1.2) -> str:
+    return SCEN_BASE + f""",
+rp AS (SELECT p FROM ({values_sql}) t(p)),
+rsc AS (
+  SELECT ODPairID, p AS price_change, printf('%+.0f%%', p * CAST(100.0 AS DOUBLE)) AS scenario,
+    base_fare, base_demand, base_fare * base_demand AS base_revenue,
+    base_fare * (CAST(1.0 AS DOUBLE) + p) AS new_fare,
+    CASE WHEN base_demand * (CAST(1.0 AS DOUBLE) + CAST({e} AS DOUBLE) * p) IS NULL THEN NULL
+         ELSE greatest(base_demand * (CAST(1.0 AS DOUBLE) + CAST({e} AS DOUBLE) * p), CAST(0.0 AS DOUBLE)) END AS new_demand
+  FROM rb CROSS JOIN rp
+),
+rsv AS (SELECT *, new_fare * new_demand AS new_revenue, new_fare * new_demand - base_revenue AS revenue_change FROM rsc)"""
+
+
+SCEN_VALUES = "VALUES " + ", ".join(f"(CAST({v} AS DOUBLE))" for v in [-0.2, -0.1, -0.05, 0.0, 0.05, 0.1, 0.2])
+GRID_VALUES = "SELECT CAST(range AS DOUBLE) / CAST(20.0 AS DOUBLE) FROM range(-4, 5)"
+SCEN_OUT = ("ODPairID, " + r4("price_change", "price_change") + ", scenario, " +
+            ", ".join(r4(c, c) for c in ["base_fare", "base_demand", "base_revenue", "new_fare", "new_demand",
+                                         "new_revenue", "revenue_change"]))
+
+ORACLE["revenue_scenarios"] = with_market_extra(_scen_cte(SCEN_VALUES), f"SELECT {SCEN_OUT} FROM rsv")
+ORACLE["price_grid"] = with_market_extra(_scen_cte(GRID_VALUES), f"SELECT {SCEN_OUT} FROM rsv")
+ORACLE["route_scenarios"] = with_market_extra(_scen_cte(SCEN_VALUES), f"""
+SELECT {SCEN_OUT} FROM rsv WHERE ODPairID = (
+  SELECT ODPairID FROM rb ORDER BY base_demand DESC, ODPairID ASC LIMIT 1)""")
+ORACLE["revenue_ranking"] = with_market_extra(_scen_cte(SCEN_VALUES) + """,
+rbest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ODPairID ORDER BY new_revenue DESC, abs(price_change) ASC) AS rn
+                 FROM rsv) WHERE rn = 1)""", f"""
+SELECT ODPairID, {r4('price_change', 'best_price_change')}, {r4('new_fare', 'best_fare')}, {r4('new_demand', 'best_demand')},
+  {r4('new_revenue', 'best_revenue')}, {r4('base_revenue', 'base_revenue')}, {r4('new_revenue - base_revenue', 'uplift')}
+FROM rbest ORDER BY new_revenue - base_revenue DESC, ODPairID ASC LIMIT 20""")
+
+ORACLE["route_summary"] = with_market(f"""
+SELECT ODPairID, {r4('avg(Average_Fare)', 'avg_fare')}, {r4('stddev_samp(Average_Fare)', 'std_fare')},
+  {r4('quantile_cont(Average_Fare, 0.5)', 'median_fare')}, CAST(coalesce(sum(Pax), 0) AS BIGINT) AS total_pax,
+  {nunique('Carrier')} AS n_carriers,
+  {r4("arg_min(NonStopMiles, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_suppkey, e := l_shipdate))", 'distance')},
+  {r4("arg_min(Market_HHI, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_suppkey, e := l_shipdate))", 'hhi')},
+  CAST(count(*) AS BIGINT) AS n_records
+FROM market GROUP BY ODPairID""")
+
+# ---------------------------------------------------------------- sequences
+SEQ_FEATURES = ["MktCoupons", "NonStopMiles", "RoundTrip", "Pax", "CarrierPax", "Market_share", "Market_HHI",
+                "LCC_Comp", "Multi_Airport", "Circuity", "Slot", "Non_Stop", "MktMilesFlown"]
+
+
+def _f32(c: str) -> str:
+    x = f"CAST({c} AS FLOAT)"
+    return f"CASE WHEN {x} IS NULL OR isnan({x}) OR isinf({x}) THEN CAST(0.0 AS FLOAT) ELSE {x} END"
+
+
+ORACLE["route_sequences"] = with_market_extra(f"""
+sq AS (SELECT ODPairID, row_number() OVER (PARTITION BY ODPairID ORDER BY {KEY}) AS pos,
+              {', '.join(_f32(c) + ' AS ' + c for c in SEQ_FEATURES)} FROM market),
+st AS (SELECT ODPairID, avg(Average_Fare) AS target FROM market GROUP BY ODPairID HAVING avg(Average_Fare) IS NOT NULL),
+sg AS (SELECT st.ODPairID, st.target, CAST(g.range AS INTEGER) AS pos FROM st CROSS JOIN range(1, 11) g)""", f"""
+SELECT sg.ODPairID, sg.pos, {r4('sg.target', 'target')},
+  {r4('CASE WHEN sq.pos IS NULL THEN 0.0 ELSE 1.0 END', 'mask')},
+  {', '.join(r4(f'coalesce(sq.{c}, CAST(0.0 AS FLOAT))', 'f_' + c) for c in SEQ_FEATURES)}
+FROM sg LEFT JOIN sq ON sg.ODPairID = sq.ODPairID AND sg.pos = sq.pos""")
+
+# ---------------------------------------------------------------- baselines / metrics
+_SPLIT_CTE = f"""
+sp AS (SELECT *, {SPLIT_EXPR} AS split FROM market),
+trn AS (SELECT * FROM sp WHERE split = 'train'),
+tst AS (SELECT * FROM sp WHERE split = 'test'),
+gm AS (SELECT avg(Average_Fare) AS g FROM trn),
+cm AS (SELECT Carrier, avg(Average_Fare) AS m FROM trn WHERE Carrier IS NOT NULL GROUP BY Carrier),
+rm AS (SELECT ODPairID, avg(Average_Fare) AS m FROM trn WHERE ODPairID IS NOT NULL GROUP BY ODPairID),
+preds AS (
+  SELECT 'global_mean' AS model, {KEY}, Average_Fare AS y, g AS prediction FROM tst, gm
+  UNION ALL
+  SELECT 'carrier_mean', {', '.join('t.' + k for k in _KEY_COLS)}, t.Average_Fare, coalesce(cm.m, gm.g)
+  FROM tst t LEFT JOIN cm ON t.Carrier = cm.Carrier CROSS JOIN gm
+  UNION ALL
+  SELECT 'route_mean', {', '.join('t.' + k for k in _KEY_COLS)}, t.Average_Fare, coalesce(rm.m, gm.g)
+  FROM tst t LEFT JOIN rm ON t.ODPairID = rm.ODPairID CROSS JOIN gm
+)"""
+
+for _name, _model in [("baseline_global_mean", "global_mean"), ("baseline_carrier_mean", "carrier_mean"),
+                      ("baseline_route_mean", "route_mean")]:
+    ORACLE[_name] = with_market_extra(_SPLIT_CTE, f"""
+SELECT {KEY}, {r4('y', 'y')}, {r4('prediction', 'prediction')} FROM preds WHERE model = '{_model}'""")
+
+_METRICS_CTE = _SPLIT_CTE + """,
+mets AS (
+  SELECT model, CAST(count(y - prediction) AS BIGINT) AS n,
+    avg(abs(y - prediction)) AS mae,
+    sqrt(avg((y - prediction) * (y - prediction))) AS rmse,
+    100.0 * avg(CASE WHEN y IS NOT NULL AND prediction IS NOT NULL AND y <> 0 THEN abs(y - prediction) / abs(y) END) AS mape,
+    100.0 * avg(CASE WHEN y IS NOT NULL AND prediction IS NOT NULL THEN
+                  (CASE WHEN abs(y) + abs(prediction) = 0 THEN 0.0 ELSE 2.0 * abs(y - prediction) / (abs(y) + abs(prediction)) END) END) AS smape,
+    CASE WHEN var_pop(CASE WHEN prediction IS NOT NULL THEN y END) * count(y - prediction) > 0
+         THEN 1.0 - sum((y - prediction) * (y - prediction))
+                    / (var_pop(CASE WHEN prediction IS NOT NULL THEN y END) * count(y - prediction)) END AS r2
+  FROM preds GROUP BY model
+)"""
+_MET_OUT = "model, n, " + ", ".join(r4(m, m) for m in ["mae", "rmse", "mape", "smape", "r2"])
+ORACLE["regression_metrics"] = with_market_extra(_METRICS_CTE, f"SELECT {_MET_OUT} FROM mets")
+ORACLE["model_comparison"] = with_market_extra(_METRICS_CTE, f"""
+SELECT {_MET_OUT}, CAST(row_number() OVER (ORDER BY rmse ASC NULLS LAST, model ASC) AS INTEGER) AS rank_rmse,
+  mae = min(mae) OVER () AS best_mae, rmse = min(rmse) OVER () AS best_rmse, mape = min(mape) OVER () AS best_mape,
+  smape = min(smape) OVER () AS best_smape, r2 = max(r2) OVER () AS best_r2
+FROM mets""")

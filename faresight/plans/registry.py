@@ -261,3 +261,144 @@ def q_top_carriers(spark, sf):
 def q_preview(spark, sf):
     """First 100 rows in row-key order."""
     return P.preview(market(spark, sf), ROW_KEY, 100)
+
+
+# ---------------------------------------------------------------- sampling / splits
+from faresight.operators import sampling as S  # noqa: E402
+
+
+@register("hash_sample")
+def q_hash_sample(spark, sf):
+    """Seeded uniform sample of exactly 10,000 rows (hash order)."""
+    return S.hash_sample(market(spark, sf), 10_000, order_cols=ROW_KEY)
+
+
+@register("fraction_sample")
+def q_fraction_sample(spark, sf):
+    """Seeded 20 % sample by hash bucket."""
+    return S.fraction_sample(market(spark, sf), 0.2)
+
+
+@register("train_val_test_split")
+def q_train_val_test_split(spark, sf):
+    """70/15/15 split label per row."""
+    return S.train_val_test_split(market(spark, sf)).select(*ROW_KEY, "split")
+
+
+@register("fold_assignment")
+def q_fold_assignment(spark, sf):
+    """5-fold id per row."""
+    return S.assign_folds(market(spark, sf)).select(*ROW_KEY, "fold")
+
+
+# ---------------------------------------------------------------- scenarios / exports
+from faresight.operators import scenarios as R  # noqa: E402
+
+
+@register("revenue_scenarios")
+def q_revenue_scenarios(spark, sf):
+    """Seven price scenarios per route at elasticity -1.2."""
+    return R.revenue_scenarios(market(spark, sf))
+
+
+@register("revenue_ranking")
+def q_revenue_ranking(spark, sf):
+    """Top 20 routes by uplift of their best scenario."""
+    return R.revenue_ranking(R.revenue_scenarios(market(spark, sf)), 20)
+
+
+@register("price_grid")
+def q_price_grid(spark, sf):
+    """-20 %..+20 % grid in 5 % steps for every route."""
+    return R.price_grid(market(spark, sf))
+
+
+@register("route_scenarios")
+def q_route_scenarios(spark, sf):
+    """Scenarios of the route with the largest demand."""
+    return R.route_scenarios(R.revenue_scenarios(market(spark, sf)))
+
+
+@register("route_summary")
+def q_route_summary(spark, sf):
+    """G9 + S4: per-route summary export, sorted by total passengers."""
+    from faresight.operators.exports import route_summary
+    return route_summary(market(spark, sf), order_cols=ROW_KEY)
+
+
+# ---------------------------------------------------------------- sequences
+from faresight.operators import sequences as L  # noqa: E402
+from faresight.schema import MODEL_FEATURES  # noqa: E402
+
+
+@register("route_sequences")
+def q_route_sequences(spark, sf):
+    """L1: per-route padded sequences (seq_len 10), flattened per position."""
+    seqs = L.route_sequences(market(spark, sf), MODEL_FEATURES, ROW_KEY, seq_len=10)
+    return L.flatten_sequences(seqs, MODEL_FEATURES)
+
+
+@register("route_sequences_nested", rounded=False)
+def q_route_sequences_nested(spark, sf):
+    """L1 in its model-input shape: features (seq_len x 13), mask, target."""
+    return L.route_sequences(market(spark, sf), MODEL_FEATURES, ROW_KEY, seq_len=10)
+
+
+# ---------------------------------------------------------------- baselines / metrics
+from faresight.operators import metrics as MT  # noqa: E402
+from faresight.operators import models as MD  # noqa: E402
+
+
+def _split(spark, sf):
+    return S.train_val_test_split(market(spark, sf))
+
+
+def _baseline_preds(spark, sf, kind: str):
+    df = _split(spark, sf)
+    train = df.filter(F.col("split") == "train")
+    test = df.filter(F.col("split") == "test")
+    if kind == "global_mean":
+        p = MD.predict_global_mean(train, test)
+    else:
+        p = MD.predict_group_mean(train, test, kind)
+    return p.select(*ROW_KEY, F.col("Average_Fare").alias("y"), "prediction")
+
+
+@register("baseline_global_mean")
+def q_baseline_global_mean(spark, sf):
+    """M1: train-split mean fare predicted for every test row."""
+    return _baseline_preds(spark, sf, "global_mean")
+
+
+@register("baseline_carrier_mean")
+def q_baseline_carrier_mean(spark, sf):
+    """M2: per-carrier train mean, global-mean fallback."""
+    return _baseline_preds(spark, sf, "Carrier")
+
+
+@register("baseline_route_mean")
+def q_baseline_route_mean(spark, sf):
+    """M2: per-route train mean, global-mean fallback."""
+    return _baseline_preds(spark, sf, "ODPairID")
+
+
+def _baseline_long(spark, sf):
+    parts = []
+    for name, kind in [("global_mean", "global_mean"), ("carrier_mean", "Carrier"), ("route_mean", "ODPairID")]:
+        parts.append(_baseline_preds(spark, sf, kind).withColumn("model", F.lit(name)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("regression_metrics")
+def q_regression_metrics(spark, sf):
+    """M5: MAE, RMSE, MAPE, SMAPE, R² per baseline on the test split."""
+    return MT.regression_metrics(_baseline_long(spark, sf), "y", "prediction", ["model"])
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    """M6: metrics ranked by RMSE with best-per-metric flags."""
+    return MT.compare_models(MT.regression_metrics(_baseline_long(spark, sf), "y", "prediction", ["model"]))
