@@ -145,10 +145,12 @@ def permutation_importance(model: PipelineModel, sample: DataFrame, features: Se
         F.when(F.col("_f") == F.lit(f), F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features])
     scored = model.transform(permuted).select("_f", "_r", F.col(target).alias("y"), "prediction")
     per = regression_metrics(scored, "y", "prediction", ["_f", "_r"]).select("_f", "_r", "r2")
+    # the unpermuted score is a single number (one small aggregate job)
     base_r2 = regression_metrics(model.transform(s).select(F.col(target).alias("y"), "prediction"),
-                                 "y", "prediction", []).select("r2").scalar()
-    return (per.groupBy("_f").agg(F.avg(base_r2 - F.col("r2")).alias("importance"),
-                                  F.stddev_samp(base_r2 - F.col("r2")).alias("importance_std"))
+                                 "y", "prediction", []).first()["r2"]
+    drop = F.lit(base_r2).cast("double") - F.col("r2")
+    return (per.groupBy("_f").agg(F.avg(drop).alias("importance"),
+                                  F.stddev_samp(drop).alias("importance_std"))
                .withColumnRenamed("_f", "feature"))
 
 

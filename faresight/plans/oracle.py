@@ -504,3 +504,15 @@ SELECT {_MET_OUT}, CAST(row_number() OVER (ORDER BY rmse ASC NULLS LAST, model A
   mae = min(mae) OVER () AS best_mae, rmse = min(rmse) OVER () AS best_rmse, mape = min(mape) OVER () AS best_mape,
   smape = min(smape) OVER () AS best_smape, r2 = max(r2) OVER () AS best_r2
 FROM mets""")
+
+# ---------------------------------------------------------------- sources / sinks
+_MARKET_KEYED = f"SELECT {KEY}, {rounded_cols(MARKET_COLS)} FROM market"
+ORACLE["scan_csv"] = with_market(_MARKET_KEYED)
+ORACLE["concat_files"] = with_market(_MARKET_KEYED)
+ORACLE["incremental_ingest"] = with_market(_MARKET_KEYED)
+ORACLE["row_count"] = with_market("SELECT CAST(count(*) AS BIGINT) AS row_count FROM market")
+ORACLE["parquet_roundtrip"] = with_dirty(f"""
+SELECT {rounded_cols(MARKET_COLS)} FROM (
+  SELECT DISTINCT {', '.join(MARKET_COLS)} FROM market_dirty
+  WHERE Average_Fare IS NOT NULL AND Average_Fare > 0 AND NonStopMiles >= 0 AND MktMilesFlown >= 0)""")
+ORACLE["csv_export"] = ORACLE["revenue_scenarios"]

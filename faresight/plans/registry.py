@@ -402,3 +402,183 @@ def q_regression_metrics(spark, sf):
 def q_model_comparison(spark, sf):
     """M6: metrics ranked by RMSE with best-per-metric flags."""
     return MT.compare_models(MT.regression_metrics(_baseline_long(spark, sf), "y", "prediction", ["model"]))
+
+
+# ---------------------------------------------------------------- pyspark.ml models
+from faresight.schema import BoostParams  # noqa: E402
+
+# Registered-query settings for the boosted trees: depth / learning rate /
+# subsampling are the library defaults; 20 rounds with validation-based
+# stopping keep the per-round check short (the library default is 1000).
+QUERY_BOOST = BoostParams(max_iter=20)
+_MODELS: dict[tuple, object] = {}
+
+
+def _fitted(spark, sf, name: str):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MODELS:
+        df = _split(spark, sf)
+        if name == "ridge":
+            train = df.filter(F.col("split") == "train")
+            _MODELS[key] = MD.fit_ridge(train, MODEL_FEATURES)
+        else:
+            tv = df.filter(F.col("split") != "test").withColumn("_is_val", F.col("split") == "val")
+            _MODELS[key] = MD.fit_gbt(tv, MODEL_FEATURES, params=QUERY_BOOST, validation_col="_is_val")
+    return _MODELS[key]
+
+
+def _model_preds(spark, sf, name: str):
+    test = _split(spark, sf).filter(F.col("split") == "test")
+    return (_fitted(spark, sf, name).transform(test)
+            .select(*ROW_KEY, F.col("Average_Fare").alias("y"), "prediction"))
+
+
+@register("ridge")
+def q_ridge(spark, sf):
+    """M3: ridge regression (alpha 1) on the 13 features; test predictions."""
+    return _model_preds(spark, sf, "ridge")
+
+
+@register("gbt")
+def q_gbt(spark, sf):
+    """M4: boosted regression trees (depth 6, lr 0.05, subsample 0.8); test predictions."""
+    return _model_preds(spark, sf, "gbt")
+
+
+@register("model_metrics")
+def q_model_metrics(spark, sf):
+    """M5 + M6 over all five models (three baselines, ridge, trees) on the test split."""
+    preds = _baseline_long(spark, sf)
+    for name in ["ridge", "gbt"]:
+        preds = preds.unionByName(_model_preds(spark, sf, name).withColumn("model", F.lit(name)))
+    return MT.compare_models(MT.regression_metrics(preds, "y", "prediction", ["model"]))
+
+
+def _importances(spark, sf):
+    train = _split(spark, sf).filter(F.col("split") == "train")
+    imp = MD.importances(_fitted(spark, sf, "gbt"), MODEL_FEATURES, train, "gbt")
+    return imp.unionByName(MD.importances(_fitted(spark, sf, "ridge"), MODEL_FEATURES, train, "ridge"))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    """M8: tree impurity importances and ridge standardized |coefficients|."""
+    return _importances(spark, sf)
+
+
+@register("top_features")
+def q_top_features(spark, sf):
+    """S3: top 5 features per model."""
+    return MD.top_features(_importances(spark, sf), 5)
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf):
+    """M9: permutation importance of the trees on a 10,000-row test sample, 5 repeats."""
+    test = _split(spark, sf).filter(F.col("split") == "test")
+    sample = S.hash_sample(test, 10_000, order_cols=ROW_KEY)
+    return MD.permutation_importance(_fitted(spark, sf, "gbt"), sample, MODEL_FEATURES)
+
+
+@register("linear_attributions")
+def q_linear_attributions(spark, sf):
+    """Closed-form additive attributions of the ridge model on the test split."""
+    test = _split(spark, sf).filter(F.col("split") == "test")
+    return MD.linear_attributions(_fitted(spark, sf, "ridge"), test, MODEL_FEATURES)
+
+
+# ---------------------------------------------------------------- sources / sinks
+from faresight.schema import MARKET_SCHEMA  # noqa: E402
+from faresight.session import scratch_path  # noqa: E402
+from faresight.sources import files as FS  # noqa: E402
+
+KEYED_SCHEMA = None
+
+
+def _keyed_schema():
+    from pyspark.sql import types as T
+    key = [T.StructField("l_orderkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()),
+           T.StructField("l_partkey", T.LongType()), T.StructField("l_suppkey", T.LongType()),
+           T.StructField("l_shipdate", T.TimestampNTZType())]
+    return T.StructType(key + MARKET_SCHEMA.fields)
+
+
+@register("scan_csv")
+def q_scan_csv(spark, sf):
+    """A1: the market table written as CSV, scanned back with a declared schema."""
+    path = scratch_path(spark, "market-csv")
+    FS.write_csv(market(spark, sf), path)
+    return FS.read_csv(spark, path, _keyed_schema())
+
+
+@register("concat_files")
+def q_concat_files(spark, sf):
+    """A2 + U1: two CSV inputs (round-trip / one-way rows) concatenated by name."""
+    m = market(spark, sf)
+    a, b = scratch_path(spark, "part-rt"), scratch_path(spark, "part-ow")
+    FS.write_csv(m.filter(F.col("RoundTrip") == 1), a)
+    FS.write_csv(m.filter(F.col("RoundTrip") != 1), b)
+    return FS.concat_files(spark, [a, b]).select(*[F.col(f.name).cast(f.dataType) for f in _keyed_schema().fields])
+
+
+@register("row_count")
+def q_row_count(spark, sf):
+    """A5: row count of the market table."""
+    return FS.row_count(market(spark, sf))
+
+
+@register("parquet_roundtrip")
+def q_parquet_roundtrip(spark, sf):
+    """A6 + A7: snappy Parquet write of the cleaned table, read back."""
+    path = scratch_path(spark, "clean-parquet")
+    FS.write_parquet(C.clean(_dirty_table(spark, sf), narrow=False), path)
+    return spark.read.parquet(path)
+
+
+@register("csv_export")
+def q_csv_export(spark, sf):
+    """A8 + R6: revenue scenarios exported as CSV and read back."""
+    path = scratch_path(spark, "scenarios-csv")
+    scen = R.revenue_scenarios(market(spark, sf))
+    FS.write_csv(scen, path)
+    return FS.read_csv(spark, path, scen.schema)
+
+
+@register("incremental_ingest")
+def q_incremental_ingest(spark, sf):
+    """A4: CSV files ingested as bounded micro-batches (availableNow), read back."""
+    from faresight.streaming.ingest import ingest_csv_stream
+    src = scratch_path(spark, "ingest-src")
+    FS.write_csv(market(spark, sf).repartition(6), src)
+    out = ingest_csv_stream(spark, src, _keyed_schema(), scratch_path(spark, "ingest-table"),
+                            scratch_path(spark, "ingest-ckpt"), max_files_per_trigger=2)
+    return spark.read.parquet(out["table"]).drop("batch_id")
+
+
+@register("json_metrics_union")
+def q_json_metrics_union(spark, sf):
+    """A10 + A11: per-model metric JSON files written and unioned back."""
+    mets = MT.regression_metrics(_baseline_long(spark, sf), "y", "prediction", ["model"])
+    long = mets.select("model", F.explode(F.map_from_arrays(
+        F.array(*[F.lit(m) for m in MT.METRIC_NAMES]),
+        F.array(*[F.col(m).cast("double") for m in MT.METRIC_NAMES]))).alias("metric", "value"))
+    path = scratch_path(spark, "metrics-json")
+    FS.write_json_maps(long, path, "model", "metric", "value")
+    return FS.read_json_maps(spark, path, "model", "metric", "value")
+
+
+@register("importance_export")
+def q_importance_export(spark, sf):
+    """Importances written as one JSON map per model, read back and exported as CSV."""
+    path = scratch_path(spark, "importance-json")
+    FS.write_json_maps(_importances(spark, sf), path, "model", "feature", "importance")
+    back = FS.read_json_maps(spark, path)
+    out = scratch_path(spark, "importance-csv")
+    FS.write_csv(back, out, single_file=True)
+    return FS.read_csv(spark, out, back.schema)
+
+
+@register("file_manifest")
+def q_file_manifest(spark, sf):
+    """Manifest of the input folder from file metadata."""
+    return FS.file_manifest(spark, sf, "market-source")
