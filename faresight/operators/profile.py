@@ -39,12 +39,23 @@ def _finite(c: F.Column) -> F.Column:
 
 
 # ------------------------------------------------------------------ B1-B5
+COLUMNS_PER_PASS = 8
+
+
 def profile_columns(df: DataFrame, method: str = "exact") -> DataFrame:
     """Long-form profile: one row per column with dtype, row/null counts and,
-    for numeric columns, mean, std, min, quartiles and max (all double)."""
+    for numeric columns, mean, std, min, quartiles and max (all double).
+    Wide tables are profiled in codegen-sized column groups, unioned."""
+    fields = list(enumerate(df.schema.fields))
+    frames = [_profile_group(df, grp, method) for grp in _chunks(fields, COLUMNS_PER_PASS)]
+    return _union_all(frames)
+
+
+def _profile_group(df: DataFrame, fields: list, method: str) -> DataFrame:
     num = set(numeric_columns(df))
     aggs = [F.count(F.lit(1)).alias("_rows")]
-    for c in df.columns:
+    for _, f in fields:
+        c = f.name
         aggs.append(F.sum(F.col(c).isNull().cast("bigint")).alias(f"{c}__nulls"))
         if c in num:
             d = F.col(c).cast("double")
@@ -54,7 +65,7 @@ def profile_columns(df: DataFrame, method: str = "exact") -> DataFrame:
     row = df.agg(*aggs)
     none = F.lit(None).cast("double")
     structs = []
-    for i, f in enumerate(df.schema.fields):
+    for i, f in fields:
         c = f.name
         isnum = c in num
         structs.append(F.struct(
@@ -99,6 +110,13 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, method: str =
     """Wide describe: a ``statistic`` column (count, null_count, mean, std,
     min, 25%, 50%, 75%, max) and one double column per numeric column."""
     cols = list(columns) if columns else numeric_columns(df)
+    if len(cols) > COLUMNS_PER_PASS:
+        # wide tables: one pass per column group, stitched back by statistic
+        parts = [describe(df, chunk, method) for chunk in _chunks(cols, COLUMNS_PER_PASS)]
+        out = parts[0]
+        for p_ in parts[1:]:
+            out = out.join(p_, "statistic")
+        return out.select("statistic", *cols)
     aggs = []
     for i, c in enumerate(cols):
         d = F.col(c).cast("double")
@@ -148,32 +166,74 @@ def cardinality(df: DataFrame, top: int | None = 20, approx: bool = False) -> Da
 
 
 # ------------------------------------------------------------------ G10
+def _chunks(items: list, size: int) -> list[list]:
+    return [items[i:i + size] for i in range(0, len(items), size)] or [[]]
+
+
+def _union_all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _gram_partials(cols: list[str], shifts: list[float]):
+    """Per Arrow batch: masked moment matrices as long rows (a, b, ...)."""
+    import numpy as np
+    import pandas as pd
+
+    k = len(cols)
+    shift = np.asarray(shifts, dtype="float64")
+
+    def run(batches):
+        acc = None
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype="float64", na_value=np.nan)
+            valid = ~np.isnan(x)
+            m = valid.astype("float64")
+            xz = np.where(valid, x - shift, 0.0)
+            parts = (m.T @ m, xz.T @ m, (xz * xz).T @ m, xz.T @ xz)
+            acc = parts if acc is None else tuple(a + b for a, b in zip(acc, parts))
+        if acc is None:
+            return
+        n, sx, sxx, sxy = acc
+        ia, ib = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
+        yield pd.DataFrame({
+            "a": ia.ravel().astype("int32"), "b": ib.ravel().astype("int32"),
+            "n": n.ravel(), "sx": sx.ravel(), "sy": sx.T.ravel(),
+            "sxx": sxx.ravel(), "syy": sxx.T.ravel(), "sxy": sxy.ravel()})
+    return run
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every column pair (pairwise-complete rows),
-    long form ``(col_a, col_b, corr)``. Built from covariance and standard
-    deviations with a guarded division: NULL where a column is constant."""
+    """Pearson correlation of every column pair over pairwise-complete rows,
+    long form ``(col_a, col_b, corr)``; NULL where a column is constant.
+
+    A very wide one-row aggregate (six moments for each of k² pairs) falls
+    out of whole-stage codegen, so the moments are computed as matrices:
+    each task turns its Arrow batches into numpy arrays and accumulates
+    ``MᵀM``, ``XᵀM``, ``(X²)ᵀM`` and ``XᵀX`` (M = validity mask, X = values
+    shifted by the column mean, NULL/NaN -> 0), emitting k² partial rows per
+    task; one small ``groupBy(a, b).sum`` combines them. Work and data stay
+    distributed; only k² numbers per task are shuffled.
+    """
     cols = list(columns) if columns else (
         [c for c in NUMERIC_FEATURE_COLUMNS if c in df.columns] + ([TARGET] if TARGET in df.columns else []))
-    aggs = []
-    pairs = []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            x = F.when(both, F.col(a).cast("double"))
-            y = F.when(both, F.col(b).cast("double"))
-            aggs += [F.covar_samp(x, y).alias(f"cv_{i}_{j}"), F.stddev_samp(x).alias(f"sa_{i}_{j}"),
-                     F.stddev_samp(y).alias(f"sb_{i}_{j}")]
-            pairs.append((i, j))
-    row = df.agg(*aggs)
-    structs = []
-    for i, j in pairs:
-        r = F.try_divide(F.col(f"cv_{i}_{j}"), F.col(f"sa_{i}_{j}") * F.col(f"sb_{i}_{j}"))
-        r = F.when(F.col(f"sa_{i}_{j}") * F.col(f"sb_{i}_{j}") == 0, F.lit(None).cast("double")).otherwise(r)
-        structs.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), r.alias("corr")))
-        if i != j:
-            structs.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"), r.alias("corr")))
-    return row.select(F.inline(F.array(*structs)))
+    mean_row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    shifts = [float(mean_row[c]) if mean_row[c] is not None else 0.0 for c in cols]
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    schema = "a int, b int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    parts = x.mapInPandas(_gram_partials(cols, shifts), schema)
+    tot = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ["n", "sx", "sy", "sxx", "syy", "sxy"]])
+    n = F.col("n")
+    cxy = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    cxx = F.col("sxx") - F.col("sx") * F.col("sx") / n
+    cyy = F.col("syy") - F.col("sy") * F.col("sy") / n
+    r = F.when((n < 2) | (cxx <= 0) | (cyy <= 0), F.lit(None).cast("double")).otherwise(
+        F.try_divide(cxy, F.sqrt(cxx) * F.sqrt(cyy)))
+    names = F.array(*[F.lit(c) for c in cols])
+    return tot.select(F.element_at(names, F.col("a") + 1).alias("col_a"),
+                      F.element_at(names, F.col("b") + 1).alias("col_b"), r.alias("corr"))
 
 
 # ------------------------------------------------------------------ G11-G12
