@@ -76,7 +76,7 @@ def read_json_maps(spark: SparkSession, path: str, name_col: str = "model", key_
                    value_col: str = "importance") -> DataFrame:
     """Read flat ``{key: number}`` JSON files back to long form
     ``(name, key, value)``; the name comes from the file's folder or stem."""
-    raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("_p"))
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_p"))
     name = F.coalesce(F.nullif(F.regexp_extract("_p", rf"{name_col}=([^/]+)/", 1), F.lit("")),
                       F.regexp_extract("_p", r"([^/]+?)(_feature_importance|_metrics)?\.json$", 1))
     m = F.from_json("value", T.MapType(T.StringType(), T.DoubleType()))
