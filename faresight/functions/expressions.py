@@ -45,9 +45,11 @@ def n_unique(col) -> Column:
 
 
 def first_by_key(col, order_cols: Sequence[str] | None) -> Column:
-    """Deterministic "first" of a group: the value at the smallest row key.
+    """Deterministic "first" of a group.
 
-    Without a row key the group minimum is used (still deterministic).
+    Default (no ``order_cols``): the group minimum — a hash-aggregatable
+    buffer. With ``order_cols``: the value at the smallest row key
+    (``min_by`` over a struct, which Spark runs as a sort-based aggregate).
     """
     c = _c(col)
     if not order_cols:

@@ -119,30 +119,62 @@ def nearest_rank_threshold(counts: DataFrame, count_col: str, q: float) -> F.Col
     return cum.filter(F.col("_cum") > target_idx).select(F.min(count_col)).scalar()
 
 
-def hub_flags(df: DataFrame, columns: Sequence[tuple[str, str]] = (
-        ("OriginAirportID", "is_hub_origin"), ("DestAirportID", "is_hub_dest")),
-        q: float = HUB_QUANTILE) -> DataFrame:
-    """Flag values whose row frequency is at or above the ``q`` quantile of
-    all value frequencies (nearest rank). Flag is tinyint 0/1, NULL for NULL."""
-    return attach_hub_flags(df, df, columns, q)
+def value_counts_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Row count of every value of several columns in ONE pass:
+    ``(_i, _v, _cnt)`` with ``_i`` the column's position in ``columns``.
+
+    The columns are stacked into long form (one ``explode`` per row) and
+    counted by one partial-aggregated group-by, instead of one scan and one
+    shuffle per column. Values keep their type when all columns share it,
+    else they are compared as strings. NULL values form their own group.
+    """
+    types = {df.schema[c].dataType for c in columns}
+    common = types.pop() if len(types) == 1 else None
+    val = (lambda c: F.col(c)) if common is not None else (lambda c: F.col(c).cast("string"))
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_i"), val(c).alias("_v")) for i, c in enumerate(columns)])).alias("_s"))
+    return stacked.groupBy("_s._i", "_s._v").agg(F.count(F.lit(1)).alias("_cnt"))
+
+
+def attach_value_encodings(out: DataFrame, base: DataFrame, freq_columns: Sequence[str] = (),
+                           hub_columns: dict[str, str] | None = None, suffix: str = "_freq_enc",
+                           q: float = HUB_QUANTILE) -> DataFrame:
+    """Frequency encodings (``count / rows``) and hub flags (``count >=``
+    the ``q`` nearest-rank quantile of the column's value counts) computed
+    on ``base`` from one shared value-count table and joined onto ``out``,
+    one left join per column. NULL values get NULL."""
+    hub_columns = dict(hub_columns or {})
+    cols = [c for c in dict.fromkeys(list(freq_columns) + list(hub_columns)) if c in base.columns]
+    if not cols:
+        return out
+    counts = value_counts_long(base, cols)
+    n = base.select(F.count(F.lit(1))).scalar()
+    for i, c in enumerate(cols):
+        t = counts.filter(F.col("_i") == i)
+        sel = [F.col("_v").cast(base.schema[c].dataType).alias(c)]
+        if c in freq_columns:
+            sel.append((F.col("_cnt").cast("double") / n.cast("double")).alias(f"{c}{suffix}"))
+        if c in hub_columns:
+            thr = nearest_rank_threshold(t, "_cnt", q)
+            sel.append((F.col("_cnt") >= thr).cast("tinyint").alias(hub_columns[c]))
+        out = out.join(t.filter(F.col("_v").isNotNull()).select(*sel), c, "left")
+    return out
 
 
-def hub_table(df: DataFrame, col: str, alias: str, q: float = HUB_QUANTILE) -> DataFrame:
-    """``(value, flag)`` for every non-NULL value of ``col``."""
-    freq = df.groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
-    thr = nearest_rank_threshold(freq, "_cnt", q)
-    return (freq.filter(F.col(col).isNotNull())
-                .select(col, (F.col("_cnt") >= thr).cast("tinyint").alias(alias)))
+HUB_COLUMNS = {"OriginAirportID": "is_hub_origin", "DestAirportID": "is_hub_dest"}
 
 
-def attach_hub_flags(out: DataFrame, base: DataFrame, columns: Sequence[tuple[str, str]] = (
-        ("OriginAirportID", "is_hub_origin"), ("DestAirportID", "is_hub_dest")),
-        q: float = HUB_QUANTILE) -> DataFrame:
-    """Hub flags computed on ``base`` joined onto ``out`` (NULL value -> NULL)."""
-    for col, alias in columns:
-        if col in base.columns:
-            out = out.join(hub_table(base, col, alias, q), col, "left")
-    return out
+def hub_flags(df: DataFrame, columns: Sequence[tuple[str, str]] = tuple(HUB_COLUMNS.items()),
+              q: float = HUB_QUANTILE) -> DataFrame:
+    """Flag values whose row frequency is at or above the ``q`` quantile of
+    all value frequencies (nearest rank). Flag is tinyint 0/1, NULL for NULL."""
+    return attach_value_encodings(df, df, (), dict(columns), q=q)
+
+
+def attach_hub_flags(out: DataFrame, base: DataFrame, columns: Sequence[tuple[str, str]] = tuple(
+        HUB_COLUMNS.items()), q: float = HUB_QUANTILE) -> DataFrame:
+    """Hub flags computed on ``base`` joined onto ``out``."""
+    return attach_value_encodings(out, base, (), dict(columns), q=q)
 
 
 def build_market_features(df: DataFrame, target: str = TARGET, miles: str = "NonStopMiles",
@@ -174,19 +206,12 @@ def fare_per_mile_safe(df: DataFrame, target: str = TARGET, miles: str = "NonSto
 def frequency_encode(df: DataFrame, columns: Sequence[str], suffix: str = "_freq_enc") -> DataFrame:
     """``value count / row count`` per listed column, attached by left join.
     NULL values get NULL (a NULL key never matches)."""
-    return attach_frequency_encoding(df, df, columns, suffix)
+    return attach_value_encodings(df, df, [c for c in columns if c in df.columns], None, suffix)
 
 
 def attach_frequency_encoding(out: DataFrame, base: DataFrame, columns: Sequence[str],
                               suffix: str = "_freq_enc") -> DataFrame:
-    n = base.select(F.count(F.lit(1))).scalar()
-    for col in columns:
-        if col not in base.columns:
-            continue
-        freq = base.groupBy(col).agg(
-            (F.count(F.lit(1)).cast("double") / n.cast("double")).alias(f"{col}{suffix}"))
-        out = out.join(freq.filter(F.col(col).isNotNull()), col, "left")
-    return out
+    return attach_value_encodings(out, base, [c for c in columns if c in base.columns], None, suffix)
 
 
 def fold_column(key_cols: Sequence[str] = FOLD_KEY, n_folds: int = TARGET_ENC_FOLDS,

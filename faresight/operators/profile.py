@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faresight.functions.expressions import n_unique
+from faresight.operators.quantiles import quantile_table
 from faresight.schema import BINARY_COLUMNS, CARRIER, HHI_CONCENTRATED, NUMERIC_FEATURE_COLUMNS, ROUTE, TARGET
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -25,13 +26,22 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
 
 
-def quantile_expr(col, qs: Sequence[float], method: str = "exact", accuracy: int = 10000) -> F.Column:
-    """Array of quantiles of ``col``: exact linear interpolation or approximate."""
-    c = F.col(col) if isinstance(col, str) else col
-    arr = F.array(*[F.lit(float(q)) for q in qs])
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float] = QUARTILES,
+              group_cols: Sequence[str] = (), names: Sequence[str] = ("p25", "p50", "p75"),
+              method: str = "exact", accuracy: int = 10000) -> DataFrame:
+    """``(*group_cols, column, <names>)``: exact (bounded-memory, see
+    ``quantiles.exact_quantiles``) or approximate (``percentile_approx``)."""
     if method == "approx":
-        return F.percentile_approx(c.cast("double"), arr, accuracy)
-    return F.percentile(c.cast("double"), arr)
+        long = df.select(*group_cols, F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_x")) for c in columns])).alias("_s")
+        ).select(*group_cols, "_s.column", "_s._x").where(~F.isnan("_x"))
+        arr = F.percentile_approx("_x", [float(q) for q in qs], accuracy)
+        return long.groupBy(*group_cols, "column").agg(arr.alias("_p")).select(
+            *group_cols, "column", *[F.col("_p")[j].alias(n) for j, n in enumerate(names)])
+    return quantile_table(df, columns, qs, group_cols, names, accuracy)
 
 
 def _finite(c: F.Column) -> F.Column:
@@ -45,13 +55,21 @@ COLUMNS_PER_PASS = 8
 def profile_columns(df: DataFrame, method: str = "exact") -> DataFrame:
     """Long-form profile: one row per column with dtype, row/null counts and,
     for numeric columns, mean, std, min, quartiles and max (all double).
-    Wide tables are profiled in codegen-sized column groups, unioned."""
+    Moments run in codegen-sized column groups; quartiles come from one
+    bounded-memory quantile job over all numeric columns."""
     fields = list(enumerate(df.schema.fields))
-    frames = [_profile_group(df, grp, method) for grp in _chunks(fields, COLUMNS_PER_PASS)]
-    return _union_all(frames)
-
-
-def _profile_group(df: DataFrame, fields: list, method: str) -> DataFrame:
+    num = numeric_columns(df)
+    stats = _union_all([_profile_group(df, grp) for grp in _chunks(fields, COLUMNS_PER_PASS)])
+    if not num:
+        return stats.select("position", "column", "dtype", "row_count", "null_count", "mean", "std", "min",
+                            *[F.lit(None).cast("double").alias(n) for n in ("p25", "p50", "p75")], "max")
+    q = quantiles(df, num, method=method)
+    return (stats.join(q, "column", "left")
+                 .select("position", "column", "dtype", "row_count", "null_count", "mean", "std", "min",
+                         "p25", "p50", "p75", "max"))
+
+
+def _profile_group(df: DataFrame, fields: list) -> DataFrame:
     num = set(numeric_columns(df))
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for _, f in fields:
@@ -60,8 +78,7 @@ def _profile_group(df: DataFrame, fields: list, method: str) -> DataFrame:
         if c in num:
             d = F.col(c).cast("double")
             aggs += [F.avg(d).alias(f"{c}__mean"), F.stddev_samp(d).alias(f"{c}__std"),
-                     F.min(d).alias(f"{c}__min"), F.max(d).alias(f"{c}__max"),
-                     quantile_expr(c, [0.25, 0.5, 0.75], method).alias(f"{c}__q")]
+                     F.min(d).alias(f"{c}__min"), F.max(d).alias(f"{c}__max")]
     row = df.agg(*aggs)
     none = F.lit(None).cast("double")
     structs = []
@@ -76,9 +93,6 @@ def _profile_group(df: DataFrame, fields: list, method: str) -> DataFrame:
             (F.col(f"{c}__mean") if isnum else none).alias("mean"),
             (F.col(f"{c}__std") if isnum else none).alias("std"),
             (F.col(f"{c}__min") if isnum else none).alias("min"),
-            (F.col(f"{c}__q")[0] if isnum else none).alias("p25"),
-            (F.col(f"{c}__q")[1] if isnum else none).alias("p50"),
-            (F.col(f"{c}__q")[2] if isnum else none).alias("p75"),
             (F.col(f"{c}__max") if isnum else none).alias("max")))
     return row.select(F.inline(F.array(*structs)))
 
@@ -106,36 +120,38 @@ def missing_pct(df: DataFrame) -> DataFrame:
                     .alias("missing_pct")))
 
 
+DESCRIBE_STATS = ["count", "null_count", "mean", "std", "min", "25%", "50%", "75%", "max"]
+
+
 def describe(df: DataFrame, columns: Sequence[str] | None = None, method: str = "exact") -> DataFrame:
     """Wide describe: a ``statistic`` column (count, null_count, mean, std,
-    min, 25%, 50%, 75%, max) and one double column per numeric column."""
+    min, 25%, 50%, 75%, max) and one double column per numeric column.
+
+    Built as a long per-column table (moments + quartiles), then reshaped:
+    stacked to ``(column, statistic, value)`` and pivoted on the known
+    column list, so the result is 9 rows whatever the data size."""
     cols = list(columns) if columns else numeric_columns(df)
-    if len(cols) > COLUMNS_PER_PASS:
-        # wide tables: one pass per column group, stitched back by statistic
-        parts = [describe(df, chunk, method) for chunk in _chunks(cols, COLUMNS_PER_PASS)]
-        out = parts[0]
-        for p_ in parts[1:]:
-            out = out.join(p_, "statistic")
-        return out.select("statistic", *cols)
-    aggs = []
-    for i, c in enumerate(cols):
-        d = F.col(c).cast("double")
-        aggs += [F.count(F.col(c)).cast("double").alias(f"c{i}_count"),
-                 F.sum(F.col(c).isNull().cast("bigint")).cast("double").alias(f"c{i}_null_count"),
-                 F.avg(d).alias(f"c{i}_mean"), F.stddev_samp(d).alias(f"c{i}_std"),
-                 F.min(d).alias(f"c{i}_min"), F.max(d).alias(f"c{i}_max"),
-                 quantile_expr(c, [0.25, 0.5, 0.75], method).alias(f"c{i}_q")]
-    row = df.agg(*aggs)
-    stats = [("count", "count"), ("null_count", "null_count"), ("mean", "mean"), ("std", "std"),
-             ("min", "min"), ("25%", 0), ("50%", 1), ("75%", 2), ("max", "max")]
-    structs = []
-    for label, src in stats:
-        fields = [F.lit(label).alias("statistic")]
-        for i, c in enumerate(cols):
-            v = F.col(f"c{i}_q")[src] if isinstance(src, int) else F.col(f"c{i}_{src}")
-            fields.append(v.cast("double").alias(c))
-        structs.append(F.struct(*fields))
-    return row.select(F.inline(F.array(*structs)))
+    moments = []
+    for chunk in _chunks(cols, COLUMNS_PER_PASS):
+        aggs = []
+        for c in chunk:
+            d = F.col(c).cast("double")
+            aggs += [F.count(F.col(c)).cast("double").alias(f"{c}__count"),
+                     F.sum(F.col(c).isNull().cast("bigint")).cast("double").alias(f"{c}__null_count"),
+                     F.avg(d).alias(f"{c}__mean"), F.stddev_samp(d).alias(f"{c}__std"),
+                     F.min(d).alias(f"{c}__min"), F.max(d).alias(f"{c}__max")]
+        row = df.agg(*aggs)
+        moments.append(row.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{k}").alias(k) for k in
+                                                 ["count", "null_count", "mean", "std", "min", "max"]])
+            for c in chunk]))))
+    long = _union_all(moments).join(quantiles(df, cols, method=method), "column", "left")
+    names = {"25%": "p25", "50%": "p50", "75%": "p75"}
+    stacked = long.select("column", F.explode(F.array(*[
+        F.struct(F.lit(st).alias("statistic"), F.lit(i).alias("_o"), F.col(names.get(st, st)).alias("value"))
+        for i, st in enumerate(DESCRIBE_STATS)])).alias("_s")).select("column", "_s.*")
+    wide = stacked.groupBy("statistic", "_o").pivot("column", cols).agg(F.first("value"))
+    return wide.orderBy("_o").select("statistic", *cols)
 
 
 # ------------------------------------------------------------------ B6
@@ -286,10 +302,9 @@ def box_stats(df: DataFrame, group_cols: Sequence[str], value: str = TARGET,
     conditional min/max aggregate finishes the job."""
     g = list(group_cols)
     v = df.where(_finite(F.col(value)))
-    q = v.groupBy(*g).agg(F.count(F.lit(1)).alias("n"),
-                          quantile_expr(value, [0.25, 0.5, 0.75], method).alias("_q"))
-    q = q.select(*g, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    counts = v.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
+    q = (quantiles(v, [value], QUARTILES, g, ("q1", "median", "q3"), method).drop("column")
+         .join(counts, g))
     iqr = F.col("q3") - F.col("q1")
     lo_f = F.col("q1") - F.lit(1.5) * iqr
     hi_f = F.col("q3") + F.lit(1.5) * iqr

@@ -34,7 +34,7 @@ rs AS (
     CAST(count(DISTINCT Carrier) + max(CASE WHEN Carrier IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS route_carrier_count,
     CAST(coalesce(sum(Pax), 0) AS BIGINT) AS route_total_pax,
     avg(Market_share) AS route_avg_market_share,
-    arg_min(Market_HHI, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_suppkey, e := l_shipdate)) AS route_hhi
+    min(Market_HHI) AS route_hhi
   FROM market GROUP BY ODPairID
 )""", f"""
 SELECT {KEY}, m.ODPairID,
@@ -201,7 +201,7 @@ rs AS (
   SELECT ODPairID, avg(Average_Fare) AS route_avg_fare, stddev_samp(Average_Fare) AS route_std_fare,
     {nunique('Carrier')} AS route_carrier_count, CAST(coalesce(sum(Pax), 0) AS BIGINT) AS route_total_pax,
     avg(Market_share) AS route_avg_market_share,
-    arg_min(Market_HHI, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_suppkey, e := l_shipdate)) AS route_hhi
+    min(Market_HHI) AS route_hhi
   FROM market GROUP BY ODPairID
 )"""
 
@@ -436,8 +436,8 @@ ORACLE["route_summary"] = with_market(f"""
 SELECT ODPairID, {r4('avg(Average_Fare)', 'avg_fare')}, {r4('stddev_samp(Average_Fare)', 'std_fare')},
   {r4('quantile_cont(Average_Fare, 0.5)', 'median_fare')}, CAST(coalesce(sum(Pax), 0) AS BIGINT) AS total_pax,
   {nunique('Carrier')} AS n_carriers,
-  {r4("arg_min(NonStopMiles, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_suppkey, e := l_shipdate))", 'distance')},
-  {r4("arg_min(Market_HHI, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_suppkey, e := l_shipdate))", 'hhi')},
+  {r4("min(NonStopMiles)", 'distance')},
+  {r4("min(Market_HHI)", 'hhi')},
   CAST(count(*) AS BIGINT) AS n_records
 FROM market GROUP BY ODPairID""")
 

@@ -39,7 +39,7 @@ def register(name: str, rounded: bool = True):
 def q_route_features(spark, sf):
     """G1 + J1 + C11: route aggregates attached to every market row."""
     m = market(spark, sf)
-    out = FE.build_route_features(m, order_cols=ROW_KEY)
+    out = FE.build_route_features(m)
     return out.select(*ROW_KEY, "ODPairID", "route_avg_fare", "route_std_fare",
                       "route_carrier_count", "route_total_pax", "route_avg_market_share",
                       "route_hhi", "route_competition_level")
@@ -148,7 +148,7 @@ def q_dedup(spark, sf):
 def q_build_features(spark, sf):
     """The full feature chain on the market table (flagship)."""
     from faresight.plans.jobs import build_features
-    return build_features(market(spark, sf), order_cols=ROW_KEY)
+    return build_features(market(spark, sf))
 
 
 # ---------------------------------------------------------------- profiling / EDA
@@ -323,7 +323,7 @@ def q_route_scenarios(spark, sf):
 def q_route_summary(spark, sf):
     """G9 + S4: per-route summary export, sorted by total passengers."""
     from faresight.operators.exports import route_summary
-    return route_summary(market(spark, sf), order_cols=ROW_KEY)
+    return route_summary(market(spark, sf))
 
 
 # ---------------------------------------------------------------- sequences
