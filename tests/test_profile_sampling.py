@@ -67,3 +67,18 @@ def test_splits_and_folds(spark):
     assert sorted(r.fold for r in folds) == [0, 1, 2, 3, 4]
     frac = S.fraction_sample(df, 0.2, ["k"]).count()
     assert 3000 < frac < 5000
+
+
+def test_exact_quantiles_bracket_path_matches_percentile(spark, monkeypatch):
+    from faresight.operators import quantiles as Q
+    monkeypatch.setattr(Q, "MAP_LIMIT", 0)          # force the approx-bracket path
+    rows = [(i % 7, float((i * 37) % 1001) / 7.0, float(i % 13)) for i in range(3000)] + [(0, None, float("nan"))]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    ref = df.agg(F.percentile("x", [0.1, 0.5, 0.9]).alias("x"),
+                 F.percentile(F.when(~F.isnan("y"), F.col("y")), [0.1, 0.5, 0.9]).alias("y")).first()
+    got = {r.column: (r.q0, r.q1, r.q2) for r in Q.quantile_table(df, ["x", "y"], [0.1, 0.5, 0.9], accuracy=50).collect()}
+    for c in ["x", "y"]:
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[c], ref[c]))
+    gref = {r.g: tuple(r.p) for r in df.groupBy("g").agg(F.percentile("x", [0.1, 0.5, 0.9]).alias("p")).collect()}
+    gg = {r.g: (r.q0, r.q1, r.q2) for r in Q.quantile_table(df, ["x"], [0.1, 0.5, 0.9], ["g"], accuracy=50).collect()}
+    assert all(all(abs(a - b) < 1e-9 for a, b in zip(gg[k], gref[k])) for k in gref)
