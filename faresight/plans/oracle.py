@@ -516,3 +516,4 @@ SELECT {rounded_cols(MARKET_COLS)} FROM (
   SELECT DISTINCT {', '.join(MARKET_COLS)} FROM market_dirty
   WHERE Average_Fare IS NOT NULL AND Average_Fare > 0 AND NonStopMiles >= 0 AND MktMilesFlown >= 0)""")
 ORACLE["csv_export"] = ORACLE["revenue_scenarios"]
+ORACLE["export_bundle"] = ORACLE["route_summary"]

@@ -582,3 +582,27 @@ def q_importance_export(spark, sf):
 def q_file_manifest(spark, sf):
     """Manifest of the input folder from file metadata."""
     return FS.file_manifest(spark, sf, "market-source")
+
+
+@register("eda_bundle")
+def q_eda_bundle(spark, sf):
+    """All EDA reports written as CSV; returns their file manifest per report."""
+    from faresight.plans.jobs import run_eda
+    out = scratch_path(spark, "eda")
+    run_eda(market(spark, sf), out)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(out)
+                  .where(F.col("path").endswith(".csv")).select("path", "length"))
+    return files.groupBy(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("report")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"))
+
+
+@register("export_bundle")
+def q_export_bundle(spark, sf):
+    """Route summary, importances and scenarios exported; the route
+    summary export read back."""
+    from faresight.plans.jobs import export_all
+    out = scratch_path(spark, "exports")
+    m = market(spark, sf)
+    export_all(m, out, _importances(spark, sf), R.revenue_scenarios(m))
+    from faresight.operators.exports import route_summary
+    return FS.read_csv(spark, f"{out}/tableau_route_summary", route_summary(m).schema)
