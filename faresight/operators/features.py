@@ -143,12 +143,24 @@ def attach_value_encodings(out: DataFrame, base: DataFrame, freq_columns: Sequen
     the ``q`` nearest-rank quantile of the column's value counts) computed
     on ``base`` from one shared value-count table and joined onto ``out``,
     one left join per column. NULL values get NULL."""
+    for c, table in value_encoding_tables(base, freq_columns, hub_columns, suffix, q).items():
+        out = out.join(table, c, "left")
+    return out
+
+
+def value_encoding_tables(base: DataFrame, freq_columns: Sequence[str] = (),
+                          hub_columns: dict[str, str] | None = None, suffix: str = "_freq_enc",
+                          q: float = HUB_QUANTILE) -> dict[str, DataFrame]:
+    """Per column, a keyed table ``(value, [freq], [hub flag])`` built from
+    one shared value-count aggregate; callers join them (or first merge
+    tables that share a key, so the row side is shuffled once per key)."""
     hub_columns = dict(hub_columns or {})
     cols = [c for c in dict.fromkeys(list(freq_columns) + list(hub_columns)) if c in base.columns]
     if not cols:
-        return out
+        return {}
     counts = value_counts_long(base, cols)
     n = base.select(F.count(F.lit(1))).scalar()
+    tables = {}
     for i, c in enumerate(cols):
         t = counts.filter(F.col("_i") == i)
         sel = [F.col("_v").cast(base.schema[c].dataType).alias(c)]
@@ -157,8 +169,8 @@ def attach_value_encodings(out: DataFrame, base: DataFrame, freq_columns: Sequen
         if c in hub_columns:
             thr = nearest_rank_threshold(t, "_cnt", q)
             sel.append((F.col("_cnt") >= thr).cast("tinyint").alias(hub_columns[c]))
-        out = out.join(t.filter(F.col("_v").isNotNull()).select(*sel), c, "left")
-    return out
+        tables[c] = t.filter(F.col("_v").isNotNull()).select(*sel)
+    return tables
 
 
 HUB_COLUMNS = {"OriginAirportID": "is_hub_origin", "DestAirportID": "is_hub_dest"}
