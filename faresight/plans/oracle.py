@@ -517,3 +517,5 @@ SELECT {rounded_cols(MARKET_COLS)} FROM (
   WHERE Average_Fare IS NOT NULL AND Average_Fare > 0 AND NonStopMiles >= 0 AND MktMilesFlown >= 0)""")
 ORACLE["csv_export"] = ORACLE["revenue_scenarios"]
 ORACLE["export_bundle"] = ORACLE["route_summary"]
+ORACLE["json_metrics_union"] = with_market_extra(_METRICS_CTE, "\nUNION ALL\n".join(
+    f"SELECT model, '{m}' AS metric, {rnd(m)} AS value FROM mets" for m in ["mae", "rmse", "mape", "smape", "r2"]))
