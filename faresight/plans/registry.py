@@ -605,4 +605,4 @@ def q_export_bundle(spark, sf):
     m = market(spark, sf)
     export_all(m, out, _importances(spark, sf), R.revenue_scenarios(m))
     from faresight.operators.exports import route_summary
-    return FS.read_csv(spark, f"{out}/tableau_route_summary", route_summary(m).schema)
+    return FS.read_csv(spark, f"{out}/route_summary", route_summary(m).schema)
