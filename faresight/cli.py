@@ -44,8 +44,10 @@ def split_frame(df: DataFrame, seed: int = SEED, ratios=SPLIT_RATIOS) -> DataFra
 
 def cmd_inspect(a, spark):
     from faresight.operators.profile import profile_columns
-    from faresight.sources.files import read_csv
+    from faresight.sources.files import file_summary, read_csv
     df = read_csv(spark, a.input, None, recursive=True)
+    for r in file_summary(df, a.input).orderBy("file_name").collect():
+        print(r.file_name, r.size_mb, "MB", r.row_count, "rows", r.column_count, "columns")
     prof = profile_columns(df)
     prof.coalesce(1).write.mode("overwrite").json(a.output)
     for r in prof.select("column", "dtype", "row_count", "null_count").collect():

@@ -606,3 +606,12 @@ def q_export_bundle(spark, sf):
     export_all(m, out, _importances(spark, sf), R.revenue_scenarios(m))
     from faresight.operators.exports import route_summary
     return FS.read_csv(spark, f"{out}/route_summary", route_summary(m).schema)
+
+
+@register("file_profile", rounded=False)
+def q_file_profile(spark, sf):
+    """B1 (per-file part): the market table as several CSV files; per file
+    its name, size, rows and columns."""
+    path = scratch_path(spark, "market-files")
+    FS.write_csv(market(spark, sf).repartition(4), path)
+    return FS.file_summary(FS.read_csv(spark, path, _keyed_schema()), path)

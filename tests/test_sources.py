@@ -56,3 +56,13 @@ def test_json_maps_roundtrip_and_manifest(spark):
     assert {r.model for r in stem} == {"xgb"} and len(stem) == 2
     man = FS.file_manifest(spark, d + "/imp").first()
     assert man.total_files >= 2 and man.total_size_bytes > 0
+
+
+def test_recursive_discovery_and_file_summary(spark):
+    d = tempfile.mkdtemp(prefix="faresight-rec-")
+    spark.createDataFrame([(1, 2.0, "x")], SCHEMA).write.option("header", True).csv(d + "/a/b")
+    spark.createDataFrame([(2, 3.0, "y"), (3, 4.0, "z")], SCHEMA).write.option("header", True).csv(d + "/c")
+    df = FS.read_csv(spark, d, SCHEMA, recursive=True)
+    assert df.count() == 3
+    summ = FS.file_summary(df, d).collect()
+    assert sum(r.row_count for r in summ) == 3 and all(r.size_bytes > 0 and r.column_count == 3 for r in summ)
