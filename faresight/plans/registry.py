@@ -492,9 +492,6 @@ from faresight.schema import MARKET_SCHEMA  # noqa: E402
 from faresight.session import scratch_path  # noqa: E402
 from faresight.sources import files as FS  # noqa: E402
 
-KEYED_SCHEMA = None
-
-
 def _keyed_schema():
     from pyspark.sql import types as T
     key = [T.StructField("l_orderkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()),
