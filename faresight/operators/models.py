@@ -158,7 +158,9 @@ def linear_attributions(model: PipelineModel, df: DataFrame, features: Sequence[
     """Closed-form additive attributions of a linear model,
     ``φ_j = β_j·(x_j − mean x_j)``, summarised as mean |φ_j| per feature."""
     coefs = [float(c) for c in model.stages[-1].coefficients.toArray()]
-    means = {f: df.select(F.avg(f)).scalar() for f in features}
+    # one aggregate row: the k feature means
+    mrow = df.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).first()
+    means = {f: F.lit(mrow[f] if mrow[f] is not None else 0.0) for f in features}
     phi = df.select(*[(F.lit(c) * (F.col(f).cast("double") - means[f])).alias(f)
                       for f, c in zip(features, coefs)])
     row = phi.agg(*[F.avg(F.abs(f)).alias(f) for f in features])

@@ -257,25 +257,28 @@ def histogram(df: DataFrame, value, bins: int = 100) -> DataFrame:
     """Equi-width histogram of a column or expression, NULL/NaN dropped.
 
     ``(bin, bin_lo, bin_hi, count)`` for all ``bins`` bins (empty ones too);
-    the last bin is closed. Range comes from scalar subqueries, bucketing is
-    a per-row projection and the counts a partial-aggregated group-by.
+    the last bin is closed. The range is one scalar subquery pair (min, max
+    of the same aggregate, merged by the optimizer) projected once into
+    columns; bucketing is a per-row projection and the counts a
+    partial-aggregated group-by.
     """
     spark = df.sparkSession
     v0 = F.col(value) if isinstance(value, str) else value
     v = df.select(v0.cast("double").alias("_v")).where(_finite(F.col("_v")))
-    lo = v.select(F.min("_v")).scalar()
-    hi = v.select(F.max("_v")).scalar()
-    width = hi - lo
+    rng = v.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    lo, hi = rng.select("lo").scalar(), rng.select("hi").scalar()
+    nb = F.lit(float(bins))
+    width = F.col("_hi") - F.col("_lo")
     b = F.when(width == 0, F.lit(1)).otherwise(
-        F.least(F.floor((F.col("_v") - lo) * F.lit(float(bins)) / width) + F.lit(1), F.lit(bins)))
-    counts = v.groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    return (grid.join(counts, "bin", "left")
+        F.least(F.floor((F.col("_v") - F.col("_lo")) * nb / width) + F.lit(1), F.lit(bins)))
+    counts = (v.select("_v", lo.alias("_lo"), hi.alias("_hi"))
+               .groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count")))
+    grid = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"), lo.alias("_lo"), hi.alias("_hi"))
+    return (grid.where(F.col("_lo").isNotNull()).join(counts, "bin", "left")
                 .select("bin",
-                        (lo + width * (F.col("bin") - 1).cast("double") / F.lit(float(bins))).alias("bin_lo"),
-                        (lo + width * F.col("bin").cast("double") / F.lit(float(bins))).alias("bin_hi"),
-                        F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
-                .where(lo.isNotNull()))
+                        (F.col("_lo") + width * (F.col("bin") - 1).cast("double") / nb).alias("bin_lo"),
+                        (F.col("_lo") + width * F.col("bin").cast("double") / nb).alias("bin_hi"),
+                        F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
 
 
 def hhi_concentration(df: DataFrame, hhi: str = "Market_HHI", route: str = ROUTE,
