@@ -68,3 +68,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def sizing_conf(input_bytes: int, total_cores: int, target_shuffle_bytes: int = 128 * 1024 * 1024,
+                scan_split_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Partition sizing for a given input size and cluster.
+
+    Shuffle partitions are sized so that a full shuffle of the input lands
+    near ``target_shuffle_bytes`` per partition (and at least two waves of
+    the cluster's cores); AQE then coalesces small ones and splits skewed
+    ones at runtime. Scans split files at ``scan_split_bytes``. Example:
+    100 TB on 1000 executors x 8 cores -> ~800k shuffle partitions, 256 MB
+    scan splits.
+    """
+    parts = max(2 * total_cores, -(-int(input_bytes) // int(target_shuffle_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_shuffle_bytes),
+        "spark.sql.files.maxPartitionBytes": str(scan_split_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_shuffle_bytes),
+    }

@@ -17,3 +17,10 @@ def test_entry_and_registry(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "Carrier_target_enc" in df.columns
+
+
+def test_sizing_conf():
+    from faresight.session import sizing_conf
+    c = sizing_conf(100 * 1024 ** 4, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 819200
+    assert sizing_conf(10 * 1024 ** 2, 8)["spark.sql.shuffle.partitions"] == "16"
