@@ -49,17 +49,40 @@ def _finite(c: F.Column) -> F.Column:
 
 
 # ------------------------------------------------------------------ B1-B5
-COLUMNS_PER_PASS = 8
+def column_moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Per column, in ONE pass: ``position, column, dtype, row_count,
+    null_count, count`` (non-NULL) and, for numeric columns, ``mean, std,
+    min, max`` (doubles; NULL for other types).
+
+    The columns are stacked into long form ``(position, x, is_null)`` and
+    aggregated by a narrow keyed aggregate: every map task emits one
+    partial row per column, and the buffer stays small enough for
+    whole-stage code generation however many columns there are."""
+    fields = [(i, f) for i, f in enumerate(df.schema.fields) if columns is None or f.name in columns]
+    num = set(numeric_columns(df))
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("position"),
+                 (F.col(f.name).cast("double") if f.name in num else F.lit(None).cast("double")).alias("x"),
+                 F.col(f.name).isNull().alias("is_null"))
+        for i, f in fields])).alias("_s")).select("_s.*")
+    agg = stacked.groupBy("position").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(F.col("is_null").cast("bigint")).alias("null_count"),
+        F.count("x").alias("_nx"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"), F.max("x").alias("max"))
+    names = F.create_map(*[a for i, f in fields for a in (F.lit(i), F.lit(f.name))])
+    types = F.create_map(*[a for i, f in fields for a in (F.lit(i), F.lit(f.dataType.simpleString()))])
+    return agg.select("position", names[F.col("position")].alias("column"), types[F.col("position")].alias("dtype"),
+                      "row_count", "null_count", (F.col("row_count") - F.col("null_count")).alias("count"),
+                      "mean", "std", "min", "max")
 
 
 def profile_columns(df: DataFrame, method: str = "exact") -> DataFrame:
     """Long-form profile: one row per column with dtype, row/null counts and,
     for numeric columns, mean, std, min, quartiles and max (all double).
-    Moments run in codegen-sized column groups; quartiles come from one
-    bounded-memory quantile job over all numeric columns."""
-    fields = list(enumerate(df.schema.fields))
+    Moments are one stacked pass; quartiles one bounded-memory quantile job
+    over all numeric columns."""
     num = numeric_columns(df)
-    stats = _union_all([_profile_group(df, grp) for grp in _chunks(fields, COLUMNS_PER_PASS)])
+    stats = column_moments(df)
     if not num:
         return stats.select("position", "column", "dtype", "row_count", "null_count", "mean", "std", "min",
                             *[F.lit(None).cast("double").alias(n) for n in ("p25", "p50", "p75")], "max")
@@ -69,34 +92,6 @@ def profile_columns(df: DataFrame, method: str = "exact") -> DataFrame:
                          "p25", "p50", "p75", "max"))
 
 
-def _profile_group(df: DataFrame, fields: list) -> DataFrame:
-    num = set(numeric_columns(df))
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for _, f in fields:
-        c = f.name
-        aggs.append(F.sum(F.col(c).isNull().cast("bigint")).alias(f"{c}__nulls"))
-        if c in num:
-            d = F.col(c).cast("double")
-            aggs += [F.avg(d).alias(f"{c}__mean"), F.stddev_samp(d).alias(f"{c}__std"),
-                     F.min(d).alias(f"{c}__min"), F.max(d).alias(f"{c}__max")]
-    row = df.agg(*aggs)
-    none = F.lit(None).cast("double")
-    structs = []
-    for i, f in fields:
-        c = f.name
-        isnum = c in num
-        structs.append(F.struct(
-            F.lit(i).alias("position"), F.lit(c).alias("column"),
-            F.lit(f.dataType.simpleString()).alias("dtype"),
-            F.col("_rows").cast("bigint").alias("row_count"),
-            F.col(f"{c}__nulls").cast("bigint").alias("null_count"),
-            (F.col(f"{c}__mean") if isnum else none).alias("mean"),
-            (F.col(f"{c}__std") if isnum else none).alias("std"),
-            (F.col(f"{c}__min") if isnum else none).alias("min"),
-            (F.col(f"{c}__max") if isnum else none).alias("max")))
-    return row.select(F.inline(F.array(*structs)))
-
-
 def null_counts(df: DataFrame) -> DataFrame:
     """``(column, null_count)`` for every column, one scan."""
     row = df.agg(*[F.sum(F.col(c).isNull().cast("bigint")).alias(f"n{i}")
@@ -127,28 +122,16 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, method: str =
     """Wide describe: a ``statistic`` column (count, null_count, mean, std,
     min, 25%, 50%, 75%, max) and one double column per numeric column.
 
-    Built as a long per-column table (moments + quartiles), then reshaped:
-    stacked to ``(column, statistic, value)`` and pivoted on the known
-    column list, so the result is 9 rows whatever the data size."""
+    Built as a long per-column table (one stacked moments pass + quartiles),
+    then reshaped: stacked to ``(column, statistic, value)`` and pivoted on
+    the known column list, so the result is 9 rows whatever the data size."""
     cols = list(columns) if columns else numeric_columns(df)
-    moments = []
-    for chunk in _chunks(cols, COLUMNS_PER_PASS):
-        aggs = []
-        for c in chunk:
-            d = F.col(c).cast("double")
-            aggs += [F.count(F.col(c)).cast("double").alias(f"{c}__count"),
-                     F.sum(F.col(c).isNull().cast("bigint")).cast("double").alias(f"{c}__null_count"),
-                     F.avg(d).alias(f"{c}__mean"), F.stddev_samp(d).alias(f"{c}__std"),
-                     F.min(d).alias(f"{c}__min"), F.max(d).alias(f"{c}__max")]
-        row = df.agg(*aggs)
-        moments.append(row.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{k}").alias(k) for k in
-                                                 ["count", "null_count", "mean", "std", "min", "max"]])
-            for c in chunk]))))
-    long = _union_all(moments).join(quantiles(df, cols, method=method), "column", "left")
+    moments = column_moments(df.select(*cols))
+    long = moments.join(quantiles(df, cols, method=method), "column", "left")
     names = {"25%": "p25", "50%": "p50", "75%": "p75"}
     stacked = long.select("column", F.explode(F.array(*[
-        F.struct(F.lit(st).alias("statistic"), F.lit(i).alias("_o"), F.col(names.get(st, st)).alias("value"))
+        F.struct(F.lit(st).alias("statistic"), F.lit(i).alias("_o"),
+                 F.col(names.get(st, st)).cast("double").alias("value"))
         for i, st in enumerate(DESCRIBE_STATS)])).alias("_s")).select("column", "_s.*")
     wide = stacked.groupBy("statistic", "_o").pivot("column", cols).agg(F.first("value"))
     return wide.orderBy("_o").select("statistic", *cols)
@@ -182,17 +165,6 @@ def cardinality(df: DataFrame, top: int | None = 20, approx: bool = False) -> Da
 
 
 # ------------------------------------------------------------------ G10
-def _chunks(items: list, size: int) -> list[list]:
-    return [items[i:i + size] for i in range(0, len(items), size)] or [[]]
-
-
-def _union_all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def _gram_partials(cols: list[str], shifts: list[float]):
     """Per Arrow batch: masked moment matrices as long rows (a, b, ...)."""
     import numpy as np
