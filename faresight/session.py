@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings every job relies on. AQE re-plans joins at runtime: a side is
@@ -30,13 +31,16 @@ def build_session(master: str = "local[8]", app: str = "faresight",
                   shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
     """Create (or fetch) a session with the defaults above.
 
-    On a cluster the master and the checkpoint folder come from the
-    cluster's own configuration; this helper only fills what is unset.
+    On a cluster the master, the partition counts and the checkpoint folder
+    come from ``spark-submit`` or the cluster's own configuration; this helper
+    only fills what is unset (``extra`` is the caller's explicit choice).
     """
-    b = SparkSession.builder.master(master).appName(app)
-    conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    submitted = _submitted_conf()
+    conf = {"spark.master": master, **DEFAULT_CONF,
+            "spark.sql.shuffle.partitions": str(shuffle_partitions)}
+    conf = {k: v for k, v in conf.items() if k not in submitted}
     conf.update(extra or {})
+    b = SparkSession.builder.appName(app)
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -45,16 +49,30 @@ def build_session(master: str = "local[8]", app: str = "faresight",
     return spark
 
 
+def _submitted_conf() -> set[str]:
+    """Settings already given by the launcher (spark-submit, spark-defaults) or a live session."""
+    live = SparkSession.getActiveSession()
+    if live is not None:
+        return {k for k, _ in live.sparkContext.getConf().getAll()}
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # launched by spark-submit: its JVM holds the settings
+        return {k for k, _ in SparkConf().getAll()}
+    return set()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a folder every executor can
-    reach (HDFS / object store); it is used as-is. Only a session that has
-    none (tests, local runs) gets a fresh scratch folder.
+    reach (HDFS / object store); it is used as-is. Only a local session that
+    has none (tests, local runs) gets a fresh scratch folder; a cluster
+    session without one is refused, as executors could not share it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = sc.master or ""
+        if not (master.startswith("local[") or master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="faresight-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():
@@ -63,11 +81,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
+    """A fresh, unique path (URI scheme kept) under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def sizing_conf(input_bytes: int, total_cores: int, target_shuffle_bytes: int = 128 * 1024 * 1024,
