@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faresight.llm import language_id
+from faresight.llm import language_id, ngram_join
 from faresight.llm.common import documents
 
 QUERIES: dict = {}
@@ -16,6 +16,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
