@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faresight.llm import fingerprints, hilbert, language_id, mixing, ngram_join, packing, quality, secret_scan
+from faresight.llm (fingerprints, hilbert, language_id, licenses, mixing, ngram_join, packing, quality, secret_scan,
+                           suffix_dedup)
 from faresight.llm.common import documents
 
 QUERIES: dict = {}
@@ -31,6 +32,11 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 @query
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
@@ -39,6 +45,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op5_mix_sources"] = mixing.MIX_SQL
 
 
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 @query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
