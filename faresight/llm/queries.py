@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faresight.llm (fingerprints, hilbert, language_id, licenses, mixing, ngram_join, packing, quality, secret_scan,
+from faresight.llm import (fingerprints, hilbert, language_id, licenses, mixing, ngram_join, packing, quality, secret_scan,
                            suffix_dedup)
 from faresight.llm.common import documents
 
