@@ -20,7 +20,7 @@ corpus is not built in one place; equal windows of SPAN bytes are brought togeth
 
 Groups are only ever counted by partial aggregation; copies collapse to
 (content, count) before anything is compared. Defined cases: null text is empty; texts under SPAN
-bytes keep everything; rows that repeat an id are told apart by a digest of their text,
+bytes keep everything; a null id is kept; rows that repeat an id are told apart by a digest of their text,
 and rows equal in both count as two places; an empty table gives an empty result.
 """
 
@@ -38,6 +38,7 @@ from faresight.llm.common import U64, byte_slices, materialize, mix64, text_buff
 SPAN = 200
 GRAM = 40
 CROWD = 1_000
+NO_ID = -(1 << 63)  # stands for a null id inside
 
 _BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _BASES = (0x5851F42D4C957F2D, 0x14057B7EF767814F)  # odd: invertible modulo 2^64
@@ -84,21 +85,28 @@ def _window_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1:w - 1 + n])
 
 
-def runs(data: np.ndarray, span: int = SPAN, gram: int = GRAM):
-    """Stretches of windows with one minimizer in a text: (first start, last start, gram hash, content hash, place).
+def runs(data: np.ndarray, off: np.ndarray, span: int = SPAN, gram: int = GRAM):
+    """Stretches of windows with one minimizer in several texts laid end to end.
 
-    Content is the stretch's bytes, last window included, and the minimizer's place in it.
+    Returns (text, first start in it, windows, gram hash, content hash, the gram's place in the content); content
+    is the stretch's bytes, last window included.
     """
+    lens = np.diff(off)
+    count = np.maximum(0, lens - span + 1)
+    text = np.repeat(np.arange(len(lens)), count)
+    if not len(text):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2 + (np.zeros(0, np.int64),)
+    start = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + off[text]
     h = _Hash(data, 2)
     g = h.spans(np.arange(len(data) - gram + 1), gram)
     key = ((g >> U64(33)).astype(np.int64) << 32) | np.arange(len(g))  # 31 bits of hash, then leftmost
-    best = _window_min(key, span - gram + 1) & 0xFFFFFFFF
-    cut = np.flatnonzero(best[1:] != best[:-1]) + 1
-    lo = np.concatenate([np.zeros(1, np.int64), cut])
-    hi = np.concatenate([cut, [len(best)]]) - 1
-    at = best[lo]
-    content = h.spans(lo, hi - lo + span) ^ mix64(h.spans(lo, hi - lo + span, 1) + (hi - lo).astype(U64) * U64(977) + (at - lo).astype(U64))
-    return lo, hi, g[at], content, at - lo
+    best = (_window_min(key, span - gram + 1) & 0xFFFFFFFF)[start]
+    cut = np.flatnonzero((best[1:] != best[:-1]) | (text[1:] != text[:-1])) + 1
+    first = np.concatenate([np.zeros(1, np.int64), cut])
+    n = np.diff(np.append(first, len(text)))
+    lo, at = start[first], best[first]
+    c = h.spans(lo, n - 1 + span) ^ mix64(h.spans(lo, n - 1 + span, 1) + n.astype(U64) * U64(977) + (at - lo).astype(U64))
+    return text[first], lo - off[text[first]], n, g[at], c, at - lo
 
 
 def _files(docs: DataFrame, span: int, gram: int) -> DataFrame:
@@ -108,51 +116,45 @@ def _files(docs: DataFrame, span: int, gram: int) -> DataFrame:
     def run(batches):
         for b in batches:
             data, off = text_buffers(b.column(2))
-            out, who, held = [], [], 0
-            for k in range(b.num_rows):
-                if off[k + 1] - off[k] >= span:
-                    r = runs(data[off[k]:off[k + 1]], span, gram)
-                    out.append(r)
-                    who.append(np.full(len(r[0]), k))
-                    held += len(r[0])
-                if out and (held > 100_000 or k == b.num_rows - 1):
-                    lo, hi, g, c, at = (np.concatenate(x) for x in zip(*out))
-                    rows = pa.array(np.concatenate(who))
+            for i, j in byte_slices(off, 1 << 19):
+                text, lo, n, g, c, at = runs(data[off[i]:off[j]], off[i:j + 1] - off[i], span, gram)
+                if len(text):
+                    rows = pa.array(text + i)
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).take(rows), b.column(1).take(rows), pa.array(lo.astype(np.int32)),
-                         pa.array((hi - lo + 1).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64)),
+                         pa.array(n.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64)),
                          pa.array(at.astype(np.int16))], names=names)
-                    out, who, held = [], [], 0
 
     return docs.mapInArrow(run, "doc_id bigint, digest bigint, lo int, n int, g bigint, c bigint, at smallint")
 
 
-def factor_flags(contents: list[bytes], places: list[int], span: int = SPAN) -> tuple[list, list]:
+def factor_flags(contents: list[bytes], places: list[int], groups: list[int], span: int = SPAN) -> tuple[list, list]:
     """Per content, for each window start: (an earlier equal window, a later equal one), by suffix order.
 
     Suffixes are sorted to a depth of ``span`` bytes, ties by position, so the previous smaller position
     with which a suffix shares at least ``span`` bytes is its neighbour before it in that order, and the next
-    smaller position the one after it. ``places`` group contents: only windows at the same distance
-    from the shared gram can be equal, which the sort key starts with.
+    smaller position the one after it. Only contents of one group (one gram) are compared, and only windows at
+    the same distance from the gram can be equal; the sort key starts with both.
     """
-    starts = [max(0, len(c) - span + 1) for c in contents]
-    total = sum(starts)
-    width = span + 4
+    starts = np.array([max(0, len(c) - span + 1) for c in contents])
+    begin = np.cumsum(starts) - starts
+    total = int(starts.sum())
+    width = span + 8
     keys = np.zeros((total, width), np.uint8)
-    at = 0
-    for c, n, p in zip(contents, starts, places):
-        raw = np.frombuffer(c, np.uint8)
-        keys[at:at + n, 4:] = np.lib.stride_tricks.sliding_window_view(raw, span)[:n]
-        keys[at:at + n, :4] = (p - np.arange(n) + (1 << 24)).astype(">u4").view(np.uint8).reshape(n, 4)
-        at += n
+    for c, n, at in zip(contents, starts, begin):
+        keys[at:at + n, 8:] = np.lib.stride_tricks.sliding_window_view(np.frombuffer(c, np.uint8), span)[:n]
+    inside = np.arange(total) - np.repeat(begin, starts)
+    head = (np.repeat(np.array(groups, np.int64), starts) << 32) | (np.repeat(np.array(places, np.int64), starts) - inside + (1 << 24))
+    keys[:, :8] = head.astype(">u8").view(np.uint8).reshape(total, 8)
     order = np.argsort(keys.view(f"V{width}").ravel(), kind="stable")
-    sorted_keys = keys[order]
-    same = (sorted_keys[1:] == sorted_keys[:-1]).all(axis=1)
+    same = np.zeros(max(0, total - 1), bool)
+    for k in range(0, total - 1, 100_000):
+        part = keys[order[k:k + 100_001]]
+        same[k:k + 100_000] = (part[1:] == part[:-1]).all(axis=1)
     earlier, later = np.zeros(total, bool), np.zeros(total, bool)
     earlier[order[1:]] = same
     later[order[:-1]] = same
-    cut = np.cumsum(starts)[:-1]
-    return np.split(earlier, cut), np.split(later, cut)
+    return np.split(earlier, begin[1:]), np.split(later, begin[1:])
 
 
 def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -195,15 +197,32 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Dat
     contents = materialize(joined.mapInArrow(read, "g bigint, c bigint, k bigint, v bigint, at bigint, content binary")
                            .dropDuplicates(["g", "c"]), "span-contents")
 
-    def compare(pdf):
-        import pandas as pd
-        pdf = pdf.sort_values("c", kind="stable")
-        earlier, later = factor_flags(list(pdf["content"]), [int(x) for x in pdf["at"]], span)
-        out = [(g, c, a, b) for g, c, e, l in zip(pdf["g"], pdf["c"], earlier, later) for a, b in _stretches(e | l)]
-        return pd.DataFrame(out, columns=["g", "c", "a", "b"])
+    def compare(batches):
+        # sorted by gram: chunks of many grams are compared at once, each gram whole in one chunk
+        held, size = [], 0
+
+        def flush():
+            g, c, at, raw = (list(x) for x in zip(*held))
+            number = np.cumsum(np.concatenate([[0], np.array(g[1:]) != np.array(g[:-1])])).tolist()
+            earlier, later = factor_flags(raw, at, number, span)
+            rows = [(x, y, a, b) for x, y, e, l in zip(g, c, earlier, later) for a, b in _stretches(e | l)]
+            cols = list(zip(*rows)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in cols[:2]),
+                                               *(pa.array(k, pa.int32()) for k in cols[2:])], names=["g", "c", "a", "b"])
+
+        for b in batches:
+            for row in zip(*(x.to_pylist() for x in b.columns)):
+                if size > 150_000 and held[-1][0] != row[0]:
+                    yield flush()
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3]) - span + 1
+        if held:
+            yield flush()
 
     part = "g bigint, c bigint, a int, b int"
-    small = contents.where(F.col("v") <= CROWD).where("k = 1 or v > 1").groupBy("g").applyInPandas(compare, part)
+    small = (contents.where(F.col("v") <= CROWD).select("g", "c", "at", "content")
+             .repartition("g").sortWithinPartitions("g", "c").mapInArrow(compare, part))
 
     def windows(batches):
         for b in batches:
@@ -245,7 +264,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_tex
     ``kept`` holds the remaining bytes (they need not be valid UTF-8).
     """
     t = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", t.alias("text")).select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    d = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint").alias("doc_id"), t.alias("text"))
+    d = d.select("doc_id", F.xxhash64("text").alias("digest"), "text")
     hits = repeated_windows(d, span, gram).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("a", "b")).alias("hits"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     schema += ", kept binary" if with_text else ""
@@ -271,6 +291,5 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_tex
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    null_safe = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("digest") == F.col("h_digest"))
-    hits = hits.select(F.col("doc_id").alias("h_id"), F.col("digest").alias("h_digest"), "hits")
-    return d.join(hits.hint("shuffle_hash"), null_safe, "left").select("doc_id", "text", "hits").mapInArrow(cut, schema)
+    both = d.join(hits.hint("shuffle_hash"), ["doc_id", "digest"], "left").select("doc_id", "text", "hits")
+    return both.mapInArrow(cut, schema).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
