@@ -230,5 +230,7 @@ MIN_SCORE = 0.25  # a decided text gets 0.5 x 0.5 at least, so beyond `und` only
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Rows of ``docs`` whose language is recognised; ``und`` and near toss-ups go. Columns stay."""
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    slim = predict(docs, model)
-    return slim.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names that cannot clash with the added ones
+    slim = predict(plain, model, f"c{docs.columns.index('text')}")
+    kept = slim.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return kept.select(*plain.columns).toDF(*docs.columns)

@@ -101,7 +101,7 @@ def repeat_by_plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """``docs`` with each row as often as the mix takes it: whole repetitions, then the fractional one.
 
     A document cut by the fraction comes with its first words (joined by
-    blanks) and its own n_chars. Columns stay. Texts are not shuffled: whole
+    blanks) and its own n_chars. Columns stay (names that start with an underscore are reserved). Texts are not shuffled: whole
     repetitions and buckets clear of the cut follow from the source alone; only the bucket at
     each source's cut (about 1 row in 4,096) is ranked.
     """
@@ -130,10 +130,10 @@ def repeat_by_plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     parts = _parts(base.join(cut, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("c_bucket")))
                    .select("doc_id", "source", "size", "h", "bucket"), at_cut).where("part > 0")
     rank = Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("part"))
-    parts = parts.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"),
-                         F.col("part").alias("_part"), F.row_number().over(rank).alias("p_n"))
-    got = near.join(parts, F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source"))
-                    & (F.col("_size") == F.col("p_size")) & (F.col("_n") == F.col("p_n")))
+    parts = parts.select(F.col("doc_id").alias("_p_id"), F.col("source").alias("_p_source"), F.col("size").alias("_p_size"),
+                         F.col("part").alias("_part"), F.row_number().over(rank).alias("_p_n"))
+    got = near.join(parts, F.col("doc_id").eqNullSafe(F.col("_p_id")) & F.col("source").eqNullSafe(F.col("_p_source"))
+                    & (F.col("_size") == F.col("_p_size")) & (F.col("_n") == F.col("_p_n")))
     short = F.col("_part") < F.col("_size")
     got = got.withColumn("text", F.when(short, F.array_join(F.slice("_words", F.lit(1), F.col("_part").cast("int")), " "))
                          .otherwise(F.col("text")))
