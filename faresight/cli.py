@@ -31,10 +31,15 @@ def _session() -> SparkSession:
     return build_session(master="local[*]")
 
 
+def row_hash_column(columns, seed: int = SEED) -> F.Column:
+    """63 bits of a seeded hash over all columns, non-negative."""
+    return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]).bitwiseAND(F.lit((1 << 63) - 1))
+
+
 def with_row_hash(df: DataFrame, seed: int = SEED) -> DataFrame:
     """A deterministic per-row hash over all columns, for tables that carry
     no row key (splits and folds need one)."""
-    return df.withColumn(ROW_HASH, F.abs(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]) % 1000003))
+    return df.withColumn(ROW_HASH, row_hash_column(df.columns, seed))
 
 
 def split_frame(df: DataFrame, seed: int = SEED, ratios=SPLIT_RATIOS) -> DataFrame:
@@ -46,11 +51,11 @@ def cmd_inspect(a, spark):
     from faresight.operators.profile import profile_columns
     from faresight.sources.files import file_summary, read_csv
     df = read_csv(spark, a.input, None, recursive=True)
-    for r in file_summary(df, a.input).orderBy("file_name").collect():
+    for r in file_summary(df, a.input).orderBy("path").collect():
         print(r.file_name, r.size_mb, "MB", r.row_count, "rows", r.column_count, "columns")
     prof = profile_columns(df)
     prof.coalesce(1).write.mode("overwrite").json(a.output)
-    for r in prof.select("column", "dtype", "row_count", "null_count").collect():
+    for r in spark.read.json(a.output).select("column", "dtype", "row_count", "null_count").collect():
         print(r.column, r.dtype, r.row_count, r.null_count)
 
 

@@ -2,5 +2,5 @@
 
 from faresight.functions.expressions import (  # noqa: F401
     clip_lower, first_by_key, n_unique, portable_bucket, round_doubles,
-    safe_div, nan_to_zero, inf_to_zero,
+    safe_div,
 )

@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed multipliers of the portable row hash used for folds, samples and
-# splits. Plain integer arithmetic, so any SQL engine computes the same bucket.
-BUCKET_WEIGHTS = (7919, 104729, 1299709, 15485863)
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -28,48 +23,39 @@ def safe_div(a, b) -> Column:
     return F.try_divide(_c(a), _c(b))
 
 
-def nan_to_zero(col) -> Column:
-    c = _c(col)
-    return F.when(F.isnan(c), F.lit(0.0)).otherwise(c)
-
-
-def inf_to_zero(col) -> Column:
-    c = _c(col)
-    return F.when(c.isin(float("inf"), float("-inf")), F.lit(0.0)).otherwise(c)
-
-
 def n_unique(col) -> Column:
     """Distinct count where NULL counts as one more value (aggregate)."""
     c = _c(col)
     return (F.count_distinct(c) + F.max(c.isNull().cast("int"))).cast("bigint")
 
 
-def first_by_key(col, order_cols: Sequence[str] | None) -> Column:
+def first_by_key(col, order_cols: Sequence | None) -> Column:
     """Deterministic "first" of a group.
 
-    Default (no ``order_cols``): the group minimum — a hash-aggregatable
-    buffer. With ``order_cols``: the value at the smallest row key
-    (``min_by`` over a struct, which Spark runs as a sort-based aggregate).
+    With ``order_cols`` (names or columns): the value at the smallest row key.
+    A single numeric key keeps the aggregate hash-based; several make a struct,
+    which Spark aggregates by sorting. Without ``order_cols``: the group minimum.
     """
     c = _c(col)
     if not order_cols:
         return F.min(c)
-    key = F.struct(*[F.col(k) for k in order_cols]) if len(order_cols) > 1 else F.col(order_cols[0])
+    key = F.struct(*[_c(k) for k in order_cols]) if len(order_cols) > 1 else _c(order_cols[0])
     return F.min_by(c, key)
 
 
-def portable_bucket(key_cols: Sequence[str], k: int, seed: int = 0) -> Column:
-    """``(Σ key_i · w_i + seed) mod k`` over integer key columns.
+def row_hash(key_cols: Sequence[str], seed: int = 0) -> Column:
+    """60 well-mixed bits of the row key and a seed, as a non-negative bigint.
 
-    Deterministic, engine-independent (no hash function involved) and
-    cheap: a per-row projection, no shuffle. Key columns must be integral.
+    The first 15 hex digits of the MD5 of the joined key: the same in any SQL
+    engine, no arithmetic that could overflow, every key bit reaches every hash bit.
     """
-    if len(key_cols) > len(BUCKET_WEIGHTS):
-        raise ValueError("at most %d key columns" % len(BUCKET_WEIGHTS))
-    acc = F.lit(seed).cast("bigint")
-    for name, w in zip(key_cols, BUCKET_WEIGHTS):
-        acc = acc + F.col(name).cast("bigint") * F.lit(w).cast("bigint")
-    return F.pmod(acc, F.lit(k).cast("bigint"))
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in key_cols], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
+def portable_bucket(key_cols: Sequence[str], k: int, seed: int = 0) -> Column:
+    """``row_hash mod k``: deterministic, engine-independent, a per-row projection."""
+    return row_hash(key_cols, seed) % F.lit(k).cast("bigint")
 
 
 def round_half_up(col, digits: int = 6) -> Column:
@@ -77,7 +63,8 @@ def round_half_up(col, digits: int = 6) -> Column:
 
     Built from IEEE basic operations only, so any engine returns the same
     double (``round`` implementations differ on decimal ties). NULL, NaN,
-    ±inf and magnitudes beyond 1e12 pass through unchanged.
+    ±inf pass through unchanged, and so do magnitudes from 1e12 on, where a
+    double holds no six decimals. Presentation only.
     """
     c = _c(col).cast("double")
     scale = float(10 ** digits)

@@ -118,29 +118,12 @@ def nearest_rank_threshold(counts: DataFrame, count_col: str, q: float) -> F.Col
     return cum.filter(F.col("_cum") > target_idx).select(F.min(count_col)).scalar()
 
 
-def value_counts_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Row count of every value of several columns in ONE pass:
-    ``(_i, _v, _cnt)`` with ``_i`` the column's position in ``columns``.
-
-    The columns are stacked into long form (one ``explode`` per row) and
-    counted by one partial-aggregated group-by, instead of one scan and one
-    shuffle per column. Values keep their type when all columns share it,
-    else they are compared as strings. NULL values form their own group.
-    """
-    types = {df.schema[c].dataType for c in columns}
-    common = types.pop() if len(types) == 1 else None
-    val = (lambda c: F.col(c)) if common is not None else (lambda c: F.col(c).cast("string"))
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_i"), val(c).alias("_v")) for i, c in enumerate(columns)])).alias("_s"))
-    return stacked.groupBy("_s._i", "_s._v").agg(F.count(F.lit(1)).alias("_cnt"))
-
-
 def attach_value_encodings(out: DataFrame, base: DataFrame, freq_columns: Sequence[str] = (),
                            hub_columns: dict[str, str] | None = None, suffix: str = "_freq_enc",
                            q: float = HUB_QUANTILE) -> DataFrame:
     """Frequency encodings (``count / rows``) and hub flags (``count >=``
     the ``q`` nearest-rank quantile of the column's value counts) computed
-    on ``base`` from one shared value-count table and joined onto ``out``,
+    on ``base`` from one value count per column and joined onto ``out``,
     one left join per column. NULL values get NULL."""
     for c, table in value_encoding_tables(base, freq_columns, hub_columns, suffix, q).items():
         out = out.join(table, c, "left")
@@ -150,25 +133,25 @@ def attach_value_encodings(out: DataFrame, base: DataFrame, freq_columns: Sequen
 def value_encoding_tables(base: DataFrame, freq_columns: Sequence[str] = (),
                           hub_columns: dict[str, str] | None = None, suffix: str = "_freq_enc",
                           q: float = HUB_QUANTILE) -> dict[str, DataFrame]:
-    """Per column, a keyed table ``(value, [freq], [hub flag])`` built from
-    one shared value-count aggregate; callers join them (or first merge
+    """Per column, a keyed table ``(value, [freq], [hub flag])`` from a scan of
+    that column alone and one partial-aggregated count; the hub threshold
+    reuses that count's exchange. Callers join the tables (or first merge
     tables that share a key, so the row side is shuffled once per key)."""
     hub_columns = dict(hub_columns or {})
     cols = [c for c in dict.fromkeys(list(freq_columns) + list(hub_columns)) if c in base.columns]
     if not cols:
         return {}
-    counts = value_counts_long(base, cols)
     n = base.select(F.count(F.lit(1))).scalar()
     tables = {}
-    for i, c in enumerate(cols):
-        t = counts.filter(F.col("_i") == i)
-        sel = [F.col("_v").cast(base.schema[c].dataType).alias(c)]
+    for c in cols:
+        t = base.groupBy(c).agg(F.count(F.lit(1)).alias("_cnt"))
+        sel = [F.col(c)]
         if c in freq_columns:
             sel.append((F.col("_cnt").cast("double") / n.cast("double")).alias(f"{c}{suffix}"))
         if c in hub_columns:
             thr = nearest_rank_threshold(t, "_cnt", q)
             sel.append((F.col("_cnt") >= thr).cast("tinyint").alias(hub_columns[c]))
-        tables[c] = t.filter(F.col("_v").isNotNull()).select(*sel)
+        tables[c] = t.filter(F.col(c).isNotNull()).select(*sel)
     return tables
 
 

@@ -18,6 +18,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faresight.functions.expressions import portable_bucket
 from faresight.operators.features import FOLD_KEY
 from faresight.operators.metrics import regression_metrics
 from faresight.schema import RIDGE_ALPHA, SEED, TARGET, BoostParams
@@ -118,29 +119,32 @@ def top_features(imp: DataFrame, n: int = 20, model_col: str = "model") -> DataF
     return imp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def permutation_importance(model: PipelineModel, sample: DataFrame, features: Sequence[str],
+def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str],
                            target: str = TARGET, n_repeats: int = 5, seed: int = SEED,
-                           key_cols: Sequence[str] = FOLD_KEY) -> DataFrame:
+                           key_cols: Sequence[str] = FOLD_KEY, block_rows: int = 50_000) -> DataFrame:
     """Mean drop in R² when one feature's values are permuted among rows.
 
-    ``sample`` must be bounded (e.g. ``hash_sample(..., 10_000)``): row
-    positions come from windows over the whole sample. Every (feature,
-    repeat) permutation is built and scored in one batch: rows are replicated
-    per (feature, repeat), each takes the donor row at its position in the
-    repeat's hash order, and one grouped metrics pass gives all R² values.
+    All rows of ``df`` are scored (pass a sample to score fewer). Rows fall
+    into random blocks of about ``block_rows`` by their hash, and values are
+    permuted within a block, so no step orders all rows in one task; a
+    random block has the distribution of the whole. Every (feature, repeat)
+    permutation is scored in one batch: rows are replicated per (feature,
+    repeat), each takes the donor row at its place in the repeat's order.
     """
-    s = sample.filter(F.col(target).isNotNull()).select(*key_cols, target, *features)
+    s = df.filter(F.col(target).isNotNull()).select(*key_cols, target, *features)
     order = [F.col(k) for k in key_cols]
-    base = s.withColumn("_i", F.row_number().over(Window.orderBy(*order)))
-    donors = (base.select(F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("_r"), *key_cols, *features)
+    blocks = max(1, round(s.count() / block_rows))
+    base = s.withColumn("_b", portable_bucket(list(key_cols), blocks, seed))
+    donors = (base.select(F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("_r"), "_b", *key_cols, *features)
                   .withColumn("_i", F.row_number().over(
-                      Window.partitionBy("_r").orderBy(
+                      Window.partitionBy("_r", "_b").orderBy(
                           F.xxhash64(F.col("_r"), F.lit(seed), *order), *order)))
-                  .select("_r", "_i", *[F.col(f).alias(f"_d_{f}") for f in features]))
+                  .select("_r", "_b", "_i", *[F.col(f).alias(f"_d_{f}") for f in features]))
+    base = base.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
     grid = F.explode(F.array(*[F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r"))
                                for f in features for r in range(n_repeats)]))
     rep = base.select("*", grid.alias("_g")).select("*", "_g._f", "_g._r").drop("_g")
-    joined = rep.join(donors, ["_r", "_i"])
+    joined = rep.join(donors, ["_r", "_b", "_i"])
     permuted = joined.select(target, "_f", "_r", *[
         F.when(F.col("_f") == F.lit(f), F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features])
     scored = model.transform(permuted).select("_f", "_r", F.col(target).alias("y"), "prediction")

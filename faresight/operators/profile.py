@@ -292,8 +292,8 @@ def box_stats(df: DataFrame, group_cols: Sequence[str], value: str = TARGET,
 
 
 def top_by_count(df: DataFrame, col: str = CARRIER, n: int = 15) -> DataFrame:
-    """The ``n`` most frequent values (ties by value), with their counts."""
-    return (df.groupBy(col).agg(F.count(F.lit(1)).alias("n_rows"))
+    """The ``n`` most frequent values (ties by value), with their counts. NULL is no value."""
+    return (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n_rows"))
               .orderBy(F.col("n_rows").desc(), F.col(col).asc_nulls_last()).limit(n))
 
 

@@ -1,4 +1,4 @@
-"""Reproducible samples, splits and fold ids from a portable row hash.
+"""Reproducible samples, splits and fold ids from a mixed, portable row hash.
 
 Everything is a per-row projection or filter on ``portable_bucket`` (no
 shuffle) except the fixed-size sample, which first narrows the candidates
@@ -13,16 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faresight.functions.expressions import portable_bucket
+from faresight.functions.expressions import portable_bucket, row_hash
 from faresight.operators.features import FOLD_KEY
 from faresight.schema import SEED, SPLIT_RATIOS, TARGET_ENC_FOLDS
 
-HASH_MOD = 2147483647  # 2^31 - 1, prime
-HASH_BUCKET_WIDTH = 32768  # -> 65536 coarse buckets
-
-
-def row_hash(key_cols: Sequence[str] = FOLD_KEY, seed: int = SEED) -> F.Column:
-    return portable_bucket(key_cols, HASH_MOD, seed)
+HASH_BITS = 60
+BUCKET_BITS = 16  # 65,536 coarse buckets of the hash
 
 
 def hash_sample(df: DataFrame, n: int, key_cols: Sequence[str] = FOLD_KEY, seed: int = SEED,
@@ -36,12 +32,12 @@ def hash_sample(df: DataFrame, n: int, key_cols: Sequence[str] = FOLD_KEY, seed:
     """
     order_cols = list(order_cols or key_cols)
     h = row_hash(key_cols, seed)
-    tagged = df.withColumn("_h", h).withColumn("_hb", F.floor(F.col("_h") / F.lit(HASH_BUCKET_WIDTH)))
+    tagged = df.withColumn("_h", h).withColumn("_hb", F.shiftright("_h", HASH_BITS - BUCKET_BITS))
     hist = tagged.groupBy("_hb").agg(F.count(F.lit(1)).alias("_m"))
     w = Window.orderBy("_hb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = (hist.withColumn("_cum", F.sum("_m").over(w))
                .filter(F.col("_cum") >= F.lit(n)).select(F.min("_hb")).scalar())
-    last = F.lit(HASH_MOD // HASH_BUCKET_WIDTH)
+    last = F.lit((1 << BUCKET_BITS) - 1)
     cand = tagged.filter(F.col("_hb") <= F.coalesce(cut, last))
     return cand.orderBy("_h", *order_cols).limit(n).drop("_h", "_hb")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from faresight.plans.oracle_market import with_dirty, with_market, with_market_extra
 
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate"
-FOLD_EXPR = "(l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 1299709 + l_linenumber * 15485863 + {seed}) % {k}"
+ROW_HASH = ("CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, {seed})), 1, 15) AS BIGINT)")
+FOLD_EXPR = "(" + ROW_HASH + " % {k})"
 
 ORACLE: dict[str, str] = {}
 
@@ -34,7 +35,7 @@ rs AS (
     CAST(count(DISTINCT Carrier) + max(CASE WHEN Carrier IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS route_carrier_count,
     CAST(coalesce(sum(Pax), 0) AS BIGINT) AS route_total_pax,
     avg(Market_share) AS route_avg_market_share,
-    min(Market_HHI) AS route_hhi
+    arg_min(Market_HHI, l_orderkey * 16 + l_linenumber) AS route_hhi
   FROM market GROUP BY ODPairID
 )""", f"""
 SELECT {KEY}, m.ODPairID,
@@ -201,7 +202,7 @@ rs AS (
   SELECT ODPairID, avg(Average_Fare) AS route_avg_fare, stddev_samp(Average_Fare) AS route_std_fare,
     {nunique('Carrier')} AS route_carrier_count, CAST(coalesce(sum(Pax), 0) AS BIGINT) AS route_total_pax,
     avg(Market_share) AS route_avg_market_share,
-    min(Market_HHI) AS route_hhi
+    arg_min(Market_HHI, l_orderkey * 16 + l_linenumber) AS route_hhi
   FROM market GROUP BY ODPairID
 )"""
 
@@ -351,7 +352,7 @@ GROUP BY {gq}, bq.n, bq.q1, bq.median, bq.q3""")
 
 
 ORACLE["carrier_fare_box"] = _box_sql("""
-btop AS (SELECT Carrier FROM market GROUP BY Carrier ORDER BY count(*) DESC, Carrier ASC LIMIT 15),
+btop AS (SELECT Carrier FROM market WHERE Carrier IS NOT NULL GROUP BY Carrier ORDER BY count(*) DESC, Carrier ASC LIMIT 15),
 bv AS (SELECT Carrier, CAST(Average_Fare AS DOUBLE) AS x FROM market
        WHERE Carrier IN (SELECT Carrier FROM btop) AND Average_Fare IS NOT NULL AND NOT isnan(Average_Fare))""",
                                       ["Carrier"])
@@ -373,14 +374,14 @@ SELECT ODPairID, {r4('avg_fare', 'avg_fare')}, n_records FROM (
   ORDER BY avg_fare DESC, ODPairID ASC LIMIT 20)""")
 
 ORACLE["top_carriers"] = with_market("""
-SELECT Carrier, CAST(count(*) AS BIGINT) AS n_rows FROM market GROUP BY Carrier
+SELECT Carrier, CAST(count(*) AS BIGINT) AS n_rows FROM market WHERE Carrier IS NOT NULL GROUP BY Carrier
 ORDER BY n_rows DESC, Carrier ASC LIMIT 15""")
 
 ORACLE["preview"] = with_market(f"""
 SELECT {KEY}, {rounded_cols(MARKET_COLS)} FROM market ORDER BY {KEY} LIMIT 100""")
 
 # ---------------------------------------------------------------- sampling / splits
-HASH_EXPR = "(l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 1299709 + l_linenumber * 15485863 + 42) % 2147483647"
+HASH_EXPR = ROW_HASH.format(seed=42)
 BUCKET100 = FOLD_EXPR.format(seed=42, k=100)
 
 ORACLE["hash_sample"] = with_market(f"""
@@ -430,14 +431,14 @@ rbest AS (
                  FROM rsv) WHERE rn = 1)""", f"""
 SELECT ODPairID, {r4('price_change', 'best_price_change')}, {r4('new_fare', 'best_fare')}, {r4('new_demand', 'best_demand')},
   {r4('new_revenue', 'best_revenue')}, {r4('base_revenue', 'base_revenue')}, {r4('new_revenue - base_revenue', 'uplift')}
-FROM rbest ORDER BY new_revenue - base_revenue DESC, ODPairID ASC LIMIT 20""")
+FROM rbest""")
 
 ORACLE["route_summary"] = with_market(f"""
 SELECT ODPairID, {r4('avg(Average_Fare)', 'avg_fare')}, {r4('stddev_samp(Average_Fare)', 'std_fare')},
   {r4('quantile_cont(Average_Fare, 0.5)', 'median_fare')}, CAST(coalesce(sum(Pax), 0) AS BIGINT) AS total_pax,
   {nunique('Carrier')} AS n_carriers,
-  {r4("min(NonStopMiles)", 'distance')},
-  {r4("min(Market_HHI)", 'hhi')},
+  {r4("arg_min(NonStopMiles, l_orderkey * 16 + l_linenumber)", 'distance')},
+  {r4("arg_min(Market_HHI, l_orderkey * 16 + l_linenumber)", 'hhi')},
   CAST(count(*) AS BIGINT) AS n_records
 FROM market GROUP BY ODPairID""")
 
@@ -519,3 +520,12 @@ ORACLE["csv_export"] = ORACLE["revenue_scenarios"]
 ORACLE["export_bundle"] = ORACLE["route_summary"]
 ORACLE["json_metrics_union"] = with_market_extra(_METRICS_CTE, "\nUNION ALL\n".join(
     f"SELECT model, '{m}' AS metric, {rnd(m)} AS value FROM mets" for m in ["mae", "rmse", "mape", "smape", "r2"]))
+
+
+# ---------------------------------------------------------------- further parameters of the operators above
+ORACLE["split_80_20"] = with_market(f"""
+SELECT {KEY}, CASE WHEN {BUCKET100} < 80 THEN 'train' ELSE 'test' END AS split FROM market""")
+ORACLE["scenarios_carrier_demand"] = with_market_extra(
+    _scen_cte(SCEN_VALUES).replace("sum(Pax)", "sum(CarrierPax)"), f"SELECT {SCEN_OUT} FROM rsv")
+ORACLE["scan_csv_recursive"] = ORACLE["scan_csv"]
+ORACLE["preview_routes"] = with_market("SELECT DISTINCT ODPairID FROM market ORDER BY ODPairID LIMIT 50")

@@ -22,6 +22,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def row_order() -> list:
+    """The row key as one number, for "first" of a group."""
+    return [F.col("l_orderkey") * 16 + F.col("l_linenumber")]
+
+
+
 def register(name: str, rounded: bool = True):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +45,7 @@ def register(name: str, rounded: bool = True):
 def q_route_features(spark, sf):
     """G1 + J1 + C11: route aggregates attached to every market row."""
     m = market(spark, sf)
-    out = FE.build_route_features(m)
+    out = FE.build_route_features(m, order_cols=row_order())
     return out.select(*ROW_KEY, "ODPairID", "route_avg_fare", "route_std_fare",
                       "route_carrier_count", "route_total_pax", "route_avg_market_share",
                       "route_hhi", "route_competition_level")
@@ -148,7 +154,7 @@ def q_dedup(spark, sf):
 def q_build_features(spark, sf):
     """The full feature chain on the market table (flagship)."""
     from faresight.plans.jobs import build_features
-    return build_features(market(spark, sf))
+    return build_features(market(spark, sf), order_cols=row_order())
 
 
 # ---------------------------------------------------------------- profiling / EDA
@@ -303,8 +309,8 @@ def q_revenue_scenarios(spark, sf):
 
 @register("revenue_ranking")
 def q_revenue_ranking(spark, sf):
-    """Top 20 routes by uplift of their best scenario."""
-    return R.revenue_ranking(R.revenue_scenarios(market(spark, sf)), 20)
+    """Every route, ranked by uplift of its best scenario."""
+    return R.revenue_ranking(R.revenue_scenarios(market(spark, sf)))
 
 
 @register("price_grid")
@@ -323,7 +329,7 @@ def q_route_scenarios(spark, sf):
 def q_route_summary(spark, sf):
     """G9 + S4: per-route summary export, sorted by total passengers."""
     from faresight.operators.exports import route_summary
-    return route_summary(market(spark, sf))
+    return route_summary(market(spark, sf), order_cols=row_order())
 
 
 # ---------------------------------------------------------------- sequences
@@ -407,10 +413,9 @@ def q_model_comparison(spark, sf):
 # ---------------------------------------------------------------- pyspark.ml models
 from faresight.schema import BoostParams  # noqa: E402
 
-# Registered-query settings for the boosted trees: depth / learning rate /
-# subsampling are the library defaults; 20 rounds with validation-based
-# stopping keep the per-round check short (the library default is 1000).
-QUERY_BOOST = BoostParams(max_iter=20)
+# The library defaults: up to 1000 rounds; the validation split ends boosting as soon as a round improves its
+# error by less than 1 % of it (the validation tolerance of Spark's GBTRegressor).
+QUERY_BOOST = BoostParams()
 _MODELS: dict[tuple, object] = {}
 
 
@@ -474,10 +479,9 @@ def q_top_features(spark, sf):
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
-    """M9: permutation importance of the trees on a 10,000-row test sample, 5 repeats."""
+    """M9: permutation importance of the trees on all test rows, 5 repeats."""
     test = _split(spark, sf).filter(F.col("split") == "test")
-    sample = S.hash_sample(test, 10_000, order_cols=ROW_KEY)
-    return MD.permutation_importance(_fitted(spark, sf, "gbt"), sample, MODEL_FEATURES)
+    return MD.permutation_importance(_fitted(spark, sf, "gbt"), test, MODEL_FEATURES)
 
 
 @register("linear_attributions")
@@ -600,7 +604,7 @@ def q_export_bundle(spark, sf):
     from faresight.plans.jobs import export_all
     out = scratch_path(spark, "exports")
     m = market(spark, sf)
-    export_all(m, out, _importances(spark, sf), R.revenue_scenarios(m))
+    export_all(m, out, _importances(spark, sf), R.revenue_scenarios(m), order_cols=row_order())
     from faresight.operators.exports import route_summary
     return FS.read_csv(spark, f"{out}/route_summary", route_summary(m).schema)
 
@@ -612,3 +616,33 @@ def q_file_profile(spark, sf):
     path = scratch_path(spark, "market-files")
     FS.write_csv(market(spark, sf).repartition(4), path)
     return FS.file_summary(FS.read_csv(spark, path, _keyed_schema()), path)
+
+
+# ---------------------------------------------------------------- further parameters of the operators above
+@register("split_80_20")
+def q_split_80_20(spark, sf):
+    """80/20 split label per row."""
+    out = S.train_val_test_split(market(spark, sf), ratios=(0.8, 0.0, 0.2))
+    return out.select(*ROW_KEY, "split")
+
+
+@register("scenarios_carrier_demand")
+def q_scenarios_carrier_demand(spark, sf):
+    """R2: the price scenarios with the carrier's passengers as demand."""
+    return R.revenue_scenarios(market(spark, sf), demand="CarrierPax")
+
+
+@register("scan_csv_recursive")
+def q_scan_csv_recursive(spark, sf):
+    """A3: CSV files in nested folders scanned as one table."""
+    path = scratch_path(spark, "market-nested")
+    m = market(spark, sf)
+    FS.write_csv(m.filter(F.col("RoundTrip") == 1), f"{path}/a")
+    FS.write_csv(m.filter(F.col("RoundTrip") != 1), f"{path}/b/c")
+    return FS.read_csv(spark, path, _keyed_schema(), recursive=True)
+
+
+@register("preview_routes")
+def q_preview_routes(spark, sf):
+    """The first 50 distinct routes."""
+    return market(spark, sf).select("ODPairID").distinct().orderBy("ODPairID").limit(50)

@@ -99,16 +99,18 @@ def file_manifest(spark: SparkSession, directory: str, dataset: str | None = Non
 
 
 def file_summary(df: DataFrame, directory: str) -> DataFrame:
-    """Per input file: name, size (bytes, MB), row count and column count.
+    """Per input file: path, name, size (bytes, MB), row count and column count.
 
     Rows come from one aggregate over the scan grouped by the hidden
-    ``_metadata.file_name`` column; sizes from file metadata (content never
-    read). Both are keyed by file name and joined."""
+    ``_metadata.file_path`` column; sizes from file metadata (content never
+    read). Both are keyed by the path (files of one name in several folders
+    stay apart) and joined."""
     spark = df.sparkSession
-    rows = df.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count(F.lit(1)).alias("row_count"))
+    plain = lambda c: F.regexp_replace(F.url_decode(c), "^file:/+", "/")  # noqa: E731  both readers' spelling of a path
+    rows = df.groupBy(plain(F.col("_metadata.file_path")).alias("path")).agg(F.count(F.lit(1)).alias("row_count"))
     sizes = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
-                  .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.col("length").alias("size_bytes")))
-    return (rows.join(sizes, "file_name", "left")
-                .select("file_name", "size_bytes",
+                  .select(plain(F.col("path")).alias("path"), F.col("length").alias("size_bytes")))
+    return (rows.join(sizes, "path", "left")
+                .select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "size_bytes",
                         F.round(F.col("size_bytes") / F.lit(1024.0 * 1024.0), 2).alias("size_mb"),
                         "row_count", F.lit(len(df.columns)).alias("column_count")))

@@ -79,12 +79,12 @@ def with_market_shares(base: DataFrame, route: str = "ODPairID", carrier: str =
     The per-(route, carrier) demand is a partial-aggregated group-by, so a hot
     route costs nothing extra; the route totals are a window over that
     aggregated table, whose partitions are bounded by the number of carriers
-    on a route. HHI uses integer sums and one division so every engine gets
-    the same double: ``10000 * Σ d_c² / (Σ d_c)²``.
+    on a route. HHI uses integer sums (squares as decimals, which billions of
+    passengers cannot overflow) and one division so every engine gets the same double: ``10000 * Σ d_c² / (Σ d_c)²``.
     """
     rc = base.groupBy(route, carrier).agg(F.sum(demand).alias("_rc_d"))
     w = rc.groupBy(route).agg(F.sum("_rc_d").alias("_r_d"),
-                              F.sum(F.col("_rc_d") * F.col("_rc_d")).alias("_r_d2"))
+                              F.sum(F.col("_rc_d").cast("decimal(19,0)") * F.col("_rc_d").cast("decimal(19,0)")).alias("_r_d2"))
     shares = (rc.join(w, route)
                 .select(route, carrier,
                         (F.col("_rc_d").cast("double") / F.col("_r_d").cast("double")).alias("Market_share"),

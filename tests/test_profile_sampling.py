@@ -53,7 +53,7 @@ def test_hash_sample_exact_and_deterministic(spark):
     a = S.hash_sample(df, 123, key_cols=["k"])
     ids = sorted(r.k for r in a.collect())
     assert len(ids) == 123 and ids == sorted(r.k for r in S.hash_sample(df, 123, key_cols=["k"]).collect())
-    h = S.row_hash(["k"])
+    h = S.row_hash(["k"], S.SEED)
     brute = sorted(r.k for r in df.withColumn("h", h).orderBy("h", "k").limit(123).collect())
     assert ids == brute
     assert S.hash_sample(df, 10_000, key_cols=["k"]).count() == 5000
@@ -69,9 +69,8 @@ def test_splits_and_folds(spark):
     assert 3000 < frac < 5000
 
 
-def test_exact_quantiles_bracket_path_matches_percentile(spark, monkeypatch):
+def test_exact_quantiles_match_percentile(spark):
     from faresight.operators import quantiles as Q
-    monkeypatch.setattr(Q, "MAP_LIMIT", 0)          # force the approx-bracket path
     rows = [(i % 7, float((i * 37) % 1001) / 7.0, float(i % 13)) for i in range(3000)] + [(0, None, float("nan"))]
     df = spark.createDataFrame(rows, "g int, x double, y double")
     ref = df.agg(F.percentile("x", [0.1, 0.5, 0.9]).alias("x"),
@@ -82,3 +81,31 @@ def test_exact_quantiles_bracket_path_matches_percentile(spark, monkeypatch):
     gref = {r.g: tuple(r.p) for r in df.groupBy("g").agg(F.percentile("x", [0.1, 0.5, 0.9]).alias("p")).collect()}
     gg = {r.g: (r.q0, r.q1, r.q2) for r in Q.quantile_table(df, ["x"], [0.1, 0.5, 0.9], ["g"], accuracy=50).collect()}
     assert all(all(abs(a - b) < 1e-9 for a, b in zip(gg[k], gref[k])) for k in gref)
+
+
+def test_hash_sample_is_uniform_over_every_key(spark):
+    """The sample's mean of each key column lies within a few standard errors of the population's."""
+    n, m = 20_000, 2_000
+    df = spark.range(n).select(F.col("id").alias("a"), (F.col("id") % 97).alias("b"), (F.col("id") % 7).alias("c"))
+    got = S.hash_sample(df, m, ["a", "b", "c"]).agg(*[F.avg(c).alias(c) for c in "abc"]).first()
+    pop = df.agg(*[F.avg(c).alias(c) for c in "abc"], *[F.stddev_samp(c).alias(f"s{c}") for c in "abc"]).first()
+    for c in "abc":
+        assert abs(got[c] - pop[c]) < 4 * pop[f"s{c}"] / m ** 0.5
+
+
+def test_row_hash_takes_huge_keys(spark):
+    df = spark.createDataFrame([(10 ** 18,), (-10 ** 18,), (None,)], "k bigint")
+    assert all(0 <= r.h < 2 ** 60 for r in df.select(S.row_hash(["k"], 1).alias("h")).collect())
+
+
+def test_null_is_no_carrier(spark):
+    from faresight.operators import profile as P
+    df = spark.createDataFrame([(None, 1.0)] * 5 + [("X", 2.0)] * 3 + [("Y", 4.0)] * 2, "Carrier string, Average_Fare double")
+    assert [r.Carrier for r in P.top_by_count(df, n=2).collect()] == ["X", "Y"]
+    assert sorted(r.Carrier for r in P.carrier_fare_box(df, top=2).collect()) == ["X", "Y"]
+
+
+def test_market_share_squares_do_not_overflow(spark):
+    from faresight.sources.market import with_market_shares
+    df = spark.createDataFrame([(1, "A", 4_000_000_000), (1, "B", 4_000_000_000)], "ODPairID int, Carrier string, Pax bigint")
+    assert {r.Market_HHI for r in with_market_shares(df).collect()} == {5000.0}

@@ -35,9 +35,7 @@ def test_hot_key_target_encoding_and_sequences(skewed):
     assert hot.length == 4 and [v[0] for v in hot.features] == [0.25, 3.25, 6.25, 9.25]
 
 
-def test_hot_group_quantiles_exact(skewed, monkeypatch):
-    from faresight.operators import quantiles as Q
-    monkeypatch.setattr(Q, "MAP_LIMIT", 0)
+def test_hot_group_quantiles_exact(skewed):
     got = {r.ODPairID: r.q0 for r in quantile_table(skewed, ["Average_Fare"], [0.5], ["ODPairID"], accuracy=50)
            .filter("ODPairID = 7").collect()}
     ref = skewed.filter("ODPairID = 7").agg(F.percentile("Average_Fare", 0.5)).first()[0]
