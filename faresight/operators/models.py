@@ -65,13 +65,16 @@ def fit_gbt(train: DataFrame, features: Sequence[str], target: str = TARGET,
             params: BoostParams = BoostParams(), validation_col: str | None = None) -> PipelineModel:
     """Boosted regression trees (depth, learning rate, row subsampling and
     per-node feature sampling from ``params``). With ``validation_col``,
-    boosting stops when the validation error stops improving."""
+    boosting ends with the first round that lowers the validation error by
+    less than ``params.validation_tol`` of it. Spark has no patience of
+    several rounds: one weak round ends it."""
     kw = dict(featuresCol="features", labelCol=target, predictionCol="prediction",
               maxIter=params.max_iter, maxDepth=params.max_depth, stepSize=params.step_size,
               subsamplingRate=params.subsampling_rate, featureSubsetStrategy=params.feature_subset,
               maxBins=params.max_bins, seed=params.seed)
     if validation_col:
         kw["validationIndicatorCol"] = validation_col
+        kw["validationTol"] = params.validation_tol
     gbt = GBTRegressor(**kw)
     return Pipeline(stages=[assembler(features), gbt]).fit(train.filter(F.col(target).isNotNull()))
 

@@ -413,8 +413,8 @@ def q_model_comparison(spark, sf):
 # ---------------------------------------------------------------- pyspark.ml models
 from faresight.schema import BoostParams  # noqa: E402
 
-# The library defaults: up to 1000 rounds; the validation split ends boosting as soon as a round improves its
-# error by less than 1 % of it (the validation tolerance of Spark's GBTRegressor).
+# The library defaults: up to 1000 rounds; the validation split ends boosting with the first round that lowers its
+# error by less than 0.1 % of it.
 QUERY_BOOST = BoostParams()
 _MODELS: dict[tuple, object] = {}
 

@@ -82,6 +82,7 @@ class BoostParams:
     subsampling_rate: float = 0.8
     feature_subset: str = "0.8"
     max_bins: int = 256
+    validation_tol: float = 1e-3
     seed: int = SEED
 
 
