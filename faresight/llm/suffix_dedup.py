@@ -163,7 +163,7 @@ def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(doc_id, digest, a, b): stretches [a, b) of starts of windows that occur more than once.
+    """(doc_id, digest, hits): stretches [a, b) of starts of windows that occur more than once, a list per run.
 
     ``docs``: doc_id, digest (of the text; tells rows of one id apart), text.
     """
@@ -202,13 +202,14 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Dat
         held, size = [], 0
 
         def flush():
-            g, c, at, raw = (list(x) for x in zip(*held))
+            g, c, at, raw, k = (list(x) for x in zip(*held))
             number = np.cumsum(np.concatenate([[0], np.array(g[1:]) != np.array(g[:-1])])).tolist()
             earlier, later = factor_flags(raw, at, number, span)
-            rows = [(x, y, a, b) for x, y, e, l in zip(g, c, earlier, later) for a, b in _stretches(e | l)]
+            # contents that occur more than once repeat as a whole anyway
+            rows = [(x, y, *zip(*s)) for x, y, e, l, n in zip(g, c, earlier, later, k) if n == 1 and (s := _stretches(e | l))]
             cols = list(zip(*rows)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in cols[:2]),
-                                               *(pa.array(k, pa.int32()) for k in cols[2:])], names=["g", "c", "a", "b"])
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:2]),
+                                               *(pa.array(x, pa.list_(pa.int32())) for x in cols[2:])], names=["g", "c", "a", "b"])
 
         for b in batches:
             for row in zip(*(x.to_pylist() for x in b.columns)):
@@ -220,31 +221,34 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Dat
         if held:
             yield flush()
 
-    part = "g bigint, c bigint, a int, b int"
-    small = (contents.where(F.col("v") <= CROWD).select("g", "c", "at", "content")
+    part = "g bigint, c bigint, a array<int>, b array<int>"
+    small = (contents.where(F.col("v") <= CROWD).select("g", "c", "at", "content", "k")
              .repartition("g").sortWithinPartitions("g", "c").mapInArrow(compare, part))
 
     def windows(batches):
         for b in batches:
-            for g, c, at, content in zip(*(b.column(k).to_pylist() for k in range(4))):
+            for g, c, k, content in zip(*(x.to_pylist() for x in b.columns)):
                 raw = np.frombuffer(content, np.uint8)
                 n = len(raw) - span + 1
                 h = _Hash(raw, 2)
                 s = np.arange(n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, g)), pa.array(np.full(n, c)), pa.array(s.astype(np.int32)),
-                     pa.array(h.spans(s, span).view(np.int64)), pa.array(h.spans(s, span, 1).view(np.int64))],
-                    names=["g", "c", "a", "h1", "h2"])
+                     pa.array(h.spans(s, span).view(np.int64)), pa.array(h.spans(s, span, 1).view(np.int64)),
+                     pa.array(np.full(n, k))], names=["g", "c", "a", "h1", "h2", "k"])
 
-    each = contents.where(F.col("v") > CROWD).select("g", "c", "at", "content").mapInArrow(
-        windows, "g bigint, c bigint, a int, h1 bigint, h2 bigint")
+    each = contents.where(F.col("v") > CROWD).select("g", "c", "k", "content").mapInArrow(
+        windows, "g bigint, c bigint, a int, h1 bigint, h2 bigint, k bigint")
     twice = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h1", "h2")
-    large = each.join(twice, ["h1", "h2"], "left_semi").select("g", "c", "a", (F.col("a") + 1).alias("b"))
-    partly = materialize(small.unionByName(large).join(whole, ["g", "c"], "left_anti"), "span-parts")
+    large = (each.where("k = 1").join(twice, ["h1", "h2"], "left_semi").groupBy("g", "c")
+             .agg(F.collect_set("a").alias("a")).select("g", "c", "a", F.transform("a", lambda x: x + 1).alias("b")))
+    partly = materialize(small.unionByName(large), "span-parts")
+    lo = F.col("lo")
     return (cand.join(whole, ["g", "c"], "left_semi")
-            .select("doc_id", "digest", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))
+            .select("doc_id", "digest", F.array(F.struct(lo.alias("a"), (lo + F.col("n")).alias("b"))).alias("hits"))
             .unionByName(cand.join(partly, ["g", "c"]).select(
-                "doc_id", "digest", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))))
+                "doc_id", "digest", F.transform(F.arrays_zip("a", "b"), lambda x: F.struct(
+                    (lo + x["a"]).alias("a"), (lo + x["b"]).alias("b"))).alias("hits"))))
 
 
 def _spans(col: pa.Array, span: int) -> list[tuple[int, int]]:
@@ -266,7 +270,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, with_tex
     t = F.coalesce("text", F.lit(""))
     d = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint").alias("doc_id"), t.alias("text"))
     d = d.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    hits = repeated_windows(d, span, gram).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("a", "b")).alias("hits"))
+    hits = repeated_windows(d, span, gram).groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("hits")).alias("hits"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     schema += ", kept binary" if with_text else ""
 
