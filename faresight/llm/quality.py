@@ -38,7 +38,7 @@ def measures(docs: DataFrame) -> DataFrame:
     d = d.withColumns({"tri": F.coalesce(tri, F.array().cast("array<bigint>")), "lines": lines})
     d = d.withColumn("sorted", F.when(
         F.size(F.array_distinct("tri")) < F.size("tri"),
-        F.array_sort(F.transform("tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+        F.sort_array(F.transform("tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     again = F.filter(
         F.transform("sorted", lambda x, j: F.when(
             (x["h"] == F.get("sorted", j - 1)["h"]) | (x["h"] == F.get("sorted", j + 1)["h"]), x["i"])),
@@ -92,7 +92,7 @@ def fit(votes: DataFrame, names: list[str], rounds: int = 20, tol: float = 1e-3)
     rule's rate of false alarms may be estimated above ``FALSE_ALARM``: without that, EM may take
     any large cluster of alike votes for a class.
     """
-    t = materialize(votes.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "quality-votes")
+    t = materialize(votes.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "quality-votes")
     p = F.when(F.least(*(F.col(r) for r in names)) < 0, F.lit(0.2)).otherwise(F.lit(0.95))
     prior, seen = 0.5, {r: {v: (1 / 3, 1 / 3) for v in (-1, 0, 1)} for r in names}
     for _ in range(rounds):
