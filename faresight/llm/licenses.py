@@ -4,6 +4,8 @@ Words that occur exactly once in the text and once in the template anchor the
 alignment; the longest increasing subsequence of the anchors keeps their order, and each gap between
 kept anchors is aligned again by the same rule with the words unique in that gap (common words at
 a gap's ends are taken first, as in the usual form of the method).
+Where copies of a template follow each other no word is unique; there a rare word of the
+template is pinned to each of its places in turn and both sides are aligned by the same rule.
 A template's coverage is the share of its words that are aligned; the best
 template of a text is reported when at least ``MIN_COVERAGE`` of it is found.
 
@@ -17,7 +19,7 @@ go to the longer one, then the name.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 
 import pyarrow as pa
@@ -79,8 +81,8 @@ def _rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
-    """Aligned (text place, template place) pairs, rising in both."""
+def align(text: list[str], template: list[str], at: int = 0, to: int = 0) -> list[tuple[int, int]]:
+    """Aligned (text place, template place) pairs, rising in both; places count from ``at`` and ``to``."""
     out, todo = [], [(0, len(text), 0, len(template))]
     while todo:
         a, b, c, d = todo.pop()
@@ -102,7 +104,7 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
             a, c = x + 1, y + 1
         if kept:
             todo.append((a, b, c, d))
-    return sorted(out)
+    return sorted((x + at, y + to) for x, y in out)
 
 
 def needed(templates: dict[str, list[str]], coverage: float) -> list[str]:
@@ -122,12 +124,64 @@ def needed(templates: dict[str, list[str]], coverage: float) -> list[str]:
     return sorted(out)
 
 
-def best_license(text: str, templates: dict[str, list[str]], coverage: float):
-    """(name, coverage, first aligned word, last aligned word + 1) or None.
+def _pinned(text: list[str], t: list[str], k: int, j: int, places: list[int], own: list[int]) -> list[tuple[int, int]]:
+    """Aligned pairs with text[k] on t[j]; ``places`` and ``own`` are where that word stands in the text and in ``t``.
+
+    Each side is aligned twice and the better result stays: on as many words as the template has there, and up to
+    the occurrence of the word that must belong to another copy (at most twice the template's length).
+    """
+    at, i, reach = bisect_left(places, k), own.index(j), 2 * len(t)
+    before, after = at - i - 1, at + len(own) - i
+    a = max(0, k - reach, places[before] + 1 if before >= 0 else 0)
+    b = min(len(text), k + reach + 1, places[after] if after < len(places) else len(text))
+    left = max((align(text[x:k], t[:j], x) for x in {max(0, k - j), a}), key=_worth)
+    right = max((align(text[k + 1:x], t[j + 1:], k + 1, j + 1) for x in {min(len(text), k + len(t) - j), b}), key=_worth)
+    return left + [(k, j)] + right
+
+
+def _worth(pairs: list[tuple[int, int]]) -> tuple[int, int]:
+    return len(pairs), pairs[0][0] - pairs[-1][0] if pairs else 0
 
-    A template is aligned where its words are dense: around every rarest word of it that the text holds,
-    as far as the template is long on either side (twice that, for inserted words).
+
+def _copies(words: list[str], at: dict[str, list[int]], t: list[str], must: list[str], coverage: float):
+    """(share, first aligned word, last aligned word + 1) of the copies of ``t`` that reach the coverage.
+
+    The template is aligned where its words are dense: around the rarest words of it that the text holds, as far as it
+    is long on either side (twice that, for inserted words). Copies that follow each other leave no
+    word unique in such a span, so the template is also aligned with each rarest word pinned to each of its places:
+    a copy that reaches the coverage holds at least one of these.
     """
+    size, times = len(t), Counter(t)
+    enough = lambda a, b: sum(min(n, times[w]) for w, n in Counter(words[a:b]).items() if w in times) >= coverage * size
+    reach, spans, out = 2 * size, [], []
+    for k in sorted(k for w in must for k in at.get(w, ())):
+        if spans and k - reach <= spans[-1][1]:
+            spans[-1][1] = k + reach
+        else:
+            spans.append([max(0, k - reach), k + reach])
+    for a, b in spans:
+        pairs = align(words[a:b], t, a)
+        if pairs and len(pairs) >= coverage * size:
+            out.append((len(pairs) / size, pairs[0][0], pairs[-1][0] + 1))
+    whole: list[tuple[int, int]] = []  # complete copies: their words need no other pin
+    for w in must:
+        own = [j for j, x in enumerate(t) if x == w]
+        for k in at.get(w, ()):
+            n = bisect_left(whole, (k + 1,)) - 1
+            if n >= 0 and k < whole[n][1] or not enough(max(0, k - reach), k + reach + 1):
+                continue
+            for j in own:
+                pairs = _pinned(words, t, k, j, at[w], own)
+                if len(pairs) >= coverage * size:
+                    out.append((len(pairs) / size, pairs[0][0], pairs[-1][0] + 1))
+                    if len(pairs) == size == pairs[-1][0] + 1 - pairs[0][0]:
+                        insort(whole, out[-1][1:])
+                        break
+    return out
+
+
+def best_license(text: str, templates: dict[str, list[str]], coverage: float):
+    """(name, coverage, first aligned word, last aligned word + 1) or None; of equal copies the densest, then the first."""
     words = license_words(text)
     at: dict[str, list[int]] = {}
     known = {w for t in templates.values() for w in t}
@@ -136,25 +190,13 @@ def best_license(text: str, templates: dict[str, list[str]], coverage: float):
             at.setdefault(w, []).append(k)
     best = None
     for name, t in templates.items():
-        must = needed({name: t}, coverage)
-        seeds = sorted(k for w in must for k in at.get(w, ()))
         if sum(n for w, n in Counter(t).items() if w in at) < coverage * len(t):
             continue
-        reach, spans = 2 * len(t), []
-        for k in seeds:
-            if spans and k - reach <= spans[-1][1]:
-                spans[-1][1] = k + reach
-            else:
-                spans.append([max(0, k - reach), k + reach])
-        for a, b in spans:
-            pairs = align(words[a:b], t)
-            share = len(pairs) / len(t)
-            if pairs and share >= coverage:
-                found = (share, len(t), name, a + pairs[0][0], a + pairs[-1][0] + 1)
-                if best is None or (found[0], found[1]) > (best[0], best[1]) or (
-                        (found[0], found[1]) == (best[0], best[1]) and found[2] < best[2]):
-                    best = found
-    return None if best is None else (best[2], best[0], best[3], best[4])
+        for share, a, b in _copies(words, at, t, needed({name: t}, coverage), coverage):
+            found = (-share, -len(t), name, b - a, a)
+            if best is None or found < best:
+                best = found
+    return None if best is None else (best[2], -best[0], best[4], best[4] + best[3])
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = MIN_COVERAGE) -> DataFrame:

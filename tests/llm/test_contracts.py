@@ -243,6 +243,24 @@ def test_op6_licenses(docs):
     assert licenses.align("a b c d".split(), "a x c d".split()) == [(0, 0), (2, 2), (3, 3)]
 
 
+@pytest.mark.parametrize("copies", [2, 3])
+@pytest.mark.parametrize("changed", [0, 12])
+def test_op6_finds_a_notice_that_stands_several_times(copies, changed):
+    t = {k: licenses.license_words(v) for k, v in licenses.TEMPLATES.items()}
+    for name, words in t.items():
+        notice = [w if not changed or k % changed != 5 or len(words) < 8 else "other" for k, w in enumerate(words)]
+        for between in (0, 2, len(words), 3 * len(words)):
+            text = ["foo", "corp"] + (notice + ["bar"] * between) * copies + ["qux"]
+            best = licenses.best_license(" ".join(text), {name: words}, 0.8)
+            share = sum(w != "other" for w in notice) / len(words)
+            assert best and best[0] == name and best[1] >= share, (name, between)
+            assert share < 1 or best[2:] == (2, 2 + len(words)), (name, between)
+    text = "Foo corp. All rights reserved. Bar baz. All rights reserved. Qux"
+    assert licenses.best_license(text, t, 0.8) == ("All rights reserved", 1.0, 2, 5)
+    inserted = [x for k, w in enumerate(t["MIT text"]) for x in ([w, "inserted"] if k % 5 == 4 else [w])]
+    assert licenses.best_license(" ".join((inserted + ["code"] * 30) * copies), t, 0.8)[:2] == ("MIT text", 1.0)
+
+
 def test_op7_secrets(docs):
     low = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
     keys = "|".join(low(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
