@@ -7,7 +7,8 @@ base-64 alphabets) are read through a window of 20 characters: one step adds the
 entering character's count and takes the leaving one's off, so the entropy is updated, never recounted.
 A candidate whose window reaches the threshold of its character class
 adds a span ``entropy`` from its first to its last such window, unless the
-allow-list knows it as harmless. Rule spans always stay.
+allow-list knows it as harmless. Stretches known as harmless (examples, alphabets) end a candidate, so a
+key joined to one keeps its span. Rule spans always stay.
 
 Everything happens in the row: no shuffle, no Python. Rows without any
 candidate skip the work. A null or empty text has no spans.
@@ -35,11 +36,15 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 # Character class of a candidate (first that matches it whole) and the entropy a window of it must reach (bits).
 CLASSES = [("hex", r"^[0-9a-fA-F]+$", 3.0), ("upper", r"^[A-Z0-9]+$", 3.5), ("base64", r"^.*$", 3.8)]
-# Candidates known as harmless: nothing but letters and joints (words, names), nothing but digits, UUIDs,
-# documentation examples, alphabets.
-ALLOW = [r"^[A-Za-z+/_=-]*$", r"^[0-9+/_=-]*$",
-         r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-         r"EXAMPLE|example|0123456789abcdef|0123456789ABCDEF|abcdefghijklmnop|ABCDEFGHIJKLMNOP"]
+# Candidates known as harmless: nothing but letters and joints (words, names; not letters whose case changes as in a
+# random key), nothing but digits, UUIDs.
+ALLOW = [r"^(?!.*[a-z][A-Z](?![a-z]{2}))[A-Za-z+/_=-]*$", r"^[0-9+/_=-]*$",
+         r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"]
+# Stretches known as harmless wherever they stand: documentation examples, alphabets from their start (longest first).
+# No window may touch one; what stands beside it is read as if it ended there.
+KNOWN = ["EXAMPLE", "example", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnop", "ABCDEFGHIJKLMNOP"]
+STRETCHES = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+             *(x[:k] for k in range(26, 16, -1) for x in (ALPHABET[:26], ALPHABET[26:52])), *reversed(KNOWN)]
 
 _PLOGP = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 2)]
 
@@ -71,6 +76,16 @@ def _window_span(text: Column, threshold: Column) -> Column:
     return F.aggregate(chars, start, step, lambda acc: F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi")))
 
 
+def _masked(text: Column) -> Column:
+    """The text, of the same length, with the known stretches in characters that no candidate holds."""
+    some, out = F.lit(False), text
+    for x in KNOWN:
+        some = some | F.contains(text, F.lit(x))
+    for x in STRETCHES:
+        out = F.replace(out, F.lit(x), F.lit(" " * len(x)))
+    return F.when(some, out).otherwise(text)
+
+
 def _spans(found: Column, kind: str) -> Column:
     return F.transform(found, lambda m: F.struct(m["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), m["e"].alias("e")))
 
@@ -101,20 +116,20 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_base`` (rule spans) and ``_all`` (all spans): array<struct<s,k,e>> by start, then kind."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast(_SPAN)
-    d = docs.withColumn("_t", t)
-    t = F.col("_t")
+    d = docs.withColumn("_t", t).withColumn("_m", _masked(F.col("_t")))
+    t, m = F.col("_t"), F.col("_m")
     d = d.withColumns({
         "_a": F.when(t.rlike(ASSIGN), F.filter(
             matches(t, ASSIGN, 2), lambda m: F.length(m["t"]) >= 6)),
         "_k": F.when(t.rlike(ACCESS), matches(t, ACCESS)),
         "_h": F.when(t.rlike(HEX), matches(t, HEX)),
-        "_c": F.when(t.rlike(CANDIDATE), matches(t, CANDIDATE)),
+        "_c": F.when(m.rlike(CANDIDATE), matches(m, CANDIDATE)),
     })
     d = d.withColumn("_base", F.array_sort(F.concat(
         *[F.coalesce(_spans(F.col(c), k).cast(_SPAN), none) for c, k in (("_a", "assign"), ("_k", "access"), ("_h", "hex"))])))
     d = d.withColumn("_more", F.coalesce(_entropy_spans(F.col("_c")).cast(_SPAN), none))
     d = d.withColumn("_all", F.when(F.size("_more") > 0, F.array_sort(F.concat("_base", "_more"))).otherwise(F.col("_base")))
-    return d.drop("_t", "_a", "_k", "_h", "_c", "_more")
+    return d.drop("_t", "_m", "_a", "_k", "_h", "_c", "_more")
 
 
 def _joined(col: str) -> Column:

@@ -284,6 +284,20 @@ def test_op7_secrets(docs):
     assert text[0][0] == _rows()[0][1] and text[3] == (None, None)
 
 
+def test_op7_keys_beside_known_stretches(spark):
+    key = "Zk9aB3dE5fG7hJ2kL1mN4pQ8rS6tU0"
+    letters = "qWzXrTyPaSdFgHjKlBvN"  # a random key without digits
+    full = secret_scan.ALPHABET
+    rows = [(0, f"see /example/{key} end"), (1, f"example_key={key}"), (2, f"{key}EXAMPLE"), (3, f"é {full[:26]}{key}"),
+            (4, f"k {letters} end"), (5, full), (6, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), (7, "0123456789ABCDEF" * 3),
+            (8, "/example/of/quick-brown-fox/jumpsOverLazy/dogs"), (9, f"example{key[:10]}example{key[10:20]}example")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    text = {r.doc_id: r.text for r in secret_scan.redact(d).collect()}
+    assert all("[SECRET]" in text[k] and key[2:-2] not in text[k] and letters not in text[k] for k in range(5))
+    assert "example" in text[0] and "EXAMPLE" in text[2] and text[3].startswith(f"é {full[:26]}")
+    assert all(text[k] == dict(rows)[k] for k in range(5, 10))
+
+
 def test_op8_languages(docs):
     got = language_id.identify(docs).collect()
     assert len(got) == docs.count()
