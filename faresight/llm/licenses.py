@@ -7,7 +7,8 @@ a gap's ends are taken first, as in the usual form of the method).
 Where copies of a template follow each other no word is unique; there a rare word of the
 template is pinned to each of its places in turn and both sides are aligned by the same rule.
 A template's coverage is the share of its words that are aligned; the best
-template of a text is reported when at least ``MIN_COVERAGE`` of it is found.
+template of a text is reported when at least ``MIN_COVERAGE`` of it is found, and beside it every notice that
+reaches that.
 
 Texts are read where they are, without a shuffle. A text can only cover enough of
 a template if it holds enough of its words, so the few rarest word sets
@@ -28,6 +29,12 @@ from pyspark.sql import functions as F
 
 MIN_COVERAGE = 0.8
 
+_GNU = (
+    "This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} Public "
+    "License as published by the Free Software Foundation; either version {version} of the License, or (at your option) "
+    "any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+    "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License "
+    "for more details.")
 # Short license notices as they are commonly written.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -50,6 +57,24 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
         "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
         "list of conditions and the following disclaimer."),
+    "BSD warranty": (
+        "This software is provided by the copyright holders and contributors \"as is\" and any express or implied "
+        "warranties, including, but not limited to, the implied warranties of merchantability and fitness for a "
+        "particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any "
+        "direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, "
+        "procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however "
+        "caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or "
+        "otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "GPL-2.0 header": _GNU.format(what="program", name="General", version="2"),
+    "GPL-3.0 header": _GNU.format(what="program", name="General", version="3"),
+    "LGPL-2.1 header": _GNU.format(what="library", name="Lesser General", version="2.1"),
+    "LGPL-3.0 header": _GNU.format(what="library", name="Lesser General", version="3"),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
@@ -180,40 +205,61 @@ def _copies(words: list[str], at: dict[str, list[int]], t: list[str], must: list
     return out
 
 
-def best_license(text: str, templates: dict[str, list[str]], coverage: float):
-    """(name, coverage, first aligned word, last aligned word + 1) or None; of equal copies the densest, then the first."""
+def all_licenses(text: str, templates: dict[str, list[str]], coverage: float):
+    """(name, coverage, first aligned word, last aligned word + 1) of every notice, the best first.
+
+    Copies of one template do not overlap; of equal ones the densest counts, then the first. Notices of
+    different templates may (a sentence of a longer notice, two versions of one license).
+    """
     words = license_words(text)
     at: dict[str, list[int]] = {}
     known = {w for t in templates.values() for w in t}
     for k, w in enumerate(words):
         if w in known:
             at.setdefault(w, []).append(k)
-    best = None
+    out = []
     for name, t in templates.items():
         if sum(n for w, n in Counter(t).items() if w in at) < coverage * len(t):
             continue
-        for share, a, b in _copies(words, at, t, needed({name: t}, coverage), coverage):
-            found = (-share, -len(t), name, b - a, a)
-            if best is None or found < best:
-                best = found
-    return None if best is None else (best[2], -best[0], best[4], best[4] + best[3])
+        own: list[tuple[int, int]] = []
+        for share, a, b in sorted(set(_copies(words, at, t, needed({name: t}, coverage), coverage)),
+                                  key=lambda c: (-c[0], c[2] - c[1], c[1])):
+            k = bisect_left(own, (a, b))
+            if (k == 0 or own[k - 1][1] <= a) and (k == len(own) or b <= own[k][0]):
+                own.insert(k, (a, b))
+                out.append((-share, -len(t), name, b - a, a))
+    return [(name, -share, a, a + n) for share, _, name, n, a in sorted(out)]
+
+
+def best_license(text: str, templates: dict[str, list[str]], coverage: float):
+    """The best of ``all_licenses``, or None."""
+    return next(iter(all_licenses(text, templates, coverage)), None)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = MIN_COVERAGE) -> DataFrame:
-    """(doc_id, license, coverage, start_word, end_word) per row of ``docs``; nulls where no license is found."""
+    """(doc_id, license, coverage, start_word, end_word, notices) per row of ``docs``.
+
+    The first four are of the best notice, null where no license is found; ``notices`` has all, by place.
+    """
     t = {k: license_words(v) for k, v in (templates or TEMPLATES).items()}
     must = needed(t, coverage)
     pattern = "|".join(re.escape(w) for w in must)
     d = docs.select("doc_id", "text", F.coalesce(F.lower("text").rlike(pattern), F.lit(False)).alias("may"))
     d = d.select("doc_id", F.when(F.col("may"), F.col("text")).alias("text"))
 
+    fields = ["license", "coverage", "start_word", "end_word"]
+    kind = pa.struct(list(zip(fields, (pa.string(), pa.float64(), pa.int64(), pa.int64()))))
+    struct = "license string, coverage double, start_word bigint, end_word bigint"
+
     def run(batches):
         for b in batches:
-            rows = [(None if x is None else best_license(x, t, coverage)) or (None,) * 4 for x in b.column(1).to_pylist()]
+            found = [[] if x is None else all_licenses(x, t, coverage) for x in b.column(1).to_pylist()]
+            rows = [f[0] if f else (None,) * 4 for f in found]
+            every = [[dict(zip(fields, c)) for c in sorted(f, key=lambda c: (c[2:], c[0]))] for f in found]
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()),
-                 pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
-                names=["doc_id", "license", "coverage", "start_word", "end_word"])
+                 pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(every, pa.list_(kind))],
+                names=["doc_id", *fields, "notices"])
 
-    return d.mapInArrow(run, "doc_id bigint, license string, coverage double, start_word bigint, end_word bigint")
+    return d.mapInArrow(run, f"doc_id bigint, {struct}, notices array<struct<{struct.replace(' ', ': ').replace(',: ', ', ')}>>")

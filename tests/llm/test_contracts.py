@@ -261,6 +261,18 @@ def test_op6_finds_a_notice_that_stands_several_times(copies, changed):
     assert licenses.best_license(" ".join((inserted + ["code"] * 30) * copies), t, 0.8)[:2] == ("MIT text", 1.0)
 
 
+def test_op6_reports_every_notice(spark):
+    t = {k: licenses.license_words(v) for k, v in licenses.TEMPLATES.items()}
+    text = " code here ".join(licenses.TEMPLATES[k] for k in ("MIT text", "All rights reserved", "Apache-2.0", "All rights reserved"))
+    d = spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licenses.scan(d).collect()}
+    assert [n.license for n in got[1].notices] == ["MIT text", "All rights reserved", "Apache-2.0", "All rights reserved"]
+    assert got[1].license == "MIT text" and all(n.coverage == 1.0 for n in got[1].notices)
+    assert got[2].notices == got[3].notices == [] and got[2].license is got[3].license is None
+    for name in ("LGPL-2.1 header", "LGPL-3.0 header", "MPL-2.0", "ISC", "GPL-2.0 header", "GPL-3.0 header", "BSD warranty"):
+        assert licenses.best_license("code " + licenses.TEMPLATES[name] + " code", t, 0.8)[:2] == (name, 1.0)
+
+
 def test_op7_secrets(docs):
     low = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
     keys = "|".join(low(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
