@@ -1,4 +1,4 @@
-"""Removal of repeated byte spans with longest-previous-factor arrays.
+"""Removal of repeated byte spans by sorted windows (no longest-previous-factor array is computed).
 
 A byte goes if a string of ``SPAN`` bytes that covers it also starts anywhere else in
 the corpus, so all copies go. A suffix array of the whole
@@ -11,9 +11,8 @@ corpus is not built in one place; equal windows of SPAN bytes are brought togeth
 2. Grams that occur once are dropped (most). Of the others, runs of equal content repeat as a whole.
 3. What is left are runs that share a gram but differ somewhere. One run per distinct content is
    read (texts joined in by doc_id, once) and the contents of a gram are compared
-   exactly: the suffixes at their window starts are sorted (a suffix array to depth SPAN); a neighbour that
-   agrees on SPAN bytes is an earlier match (longest previous factor >= SPAN, from the previous smaller
-   position in suffix order) or a later one (next smaller position).
+   exactly: the windows of SPAN bytes at their starts are sorted, and a neighbour that is equal is an
+   earlier match or a later one. Whether a longest previous factor reaches SPAN is all that is needed.
    Grams of more than ``CROWD`` distinct contents are not gathered: their windows
    are counted by 128-bit hash instead, which splits them over all tasks, exactly.
 4. Windows found repeated become byte intervals per document, merged and cut out of the text.
