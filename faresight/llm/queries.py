@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from faresight.llm import (fingerprints, hilbert, language_id, licenses, mixing, ngram_join, packing, quality, secret_scan,
-                           suffix_dedup)
+                           suffix_dedup, word_table)
 from faresight.llm.common import documents
 
 QUERIES: dict = {}
@@ -68,3 +68,8 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
+
+
+@query
+def op12_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_table.digests(documents(spark, sf_dir))
