@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faresight.llm import (fingerprints, hilbert, language_id, licenses, mixing, ngram_join, packing, quality, secret_scan,
-                           suffix_dedup, word_table)
+from faresight.llm import (alignment, fingerprints, hilbert, importance, language_id, licenses, mixing, ngram_join, packing,
+                           quality, secret_scan, suffix_dedup, word_table)
 from faresight.llm.common import documents
 
 QUERIES: dict = {}
@@ -70,6 +70,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+@query
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(documents(spark, sf_dir))
+
+
 @query
 def op12_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table.digests(documents(spark, sf_dir))
+
+
+@query
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return importance.resample(documents(spark, sf_dir), bench)

@@ -4,8 +4,8 @@
    blanks, equal chunks are split further once, and a block of documents becomes one row: its distinct words and the
    squeezed word codes of its documents in order (``blocks``).
 2. Word table. (block, code) places of every word meet by word: one row per distinct word of the corpus. Each is
-   encoded once. A word holds at most one place per block; lists are cut every 65,536 blocks so that no row grows
-   with the corpus.
+   encoded once. A word holds at most one place per block; a list ends after the blocks of 4,096
+   read tasks, so that no row grows with the corpus (a word is encoded anew after that).
 3. Decoding. The ids of each distinct word are joined with the id-to-piece table (one row per id of the
    vocabulary, the only table that is broadcast: 50,257 rows whatever the input) and the pieces are put together again.
 4. Ids and pieces go back to the blocks, a packed row per task and block, and there to their positions.
@@ -55,7 +55,7 @@ _SAFE = re.compile(f" (?=[^{WHITE}])")
 _WHITE = re.compile(f"[{WHITE}]")
 
 SLICE = 8 << 20       # bytes of text split at a time
-LIST = 16             # a list of places spans this many bits of blocks
+TASKS = 12            # a list of places spans the blocks of 2 ** TASKS read tasks
 BLOCKS = "block bigint, ids array<bigint>, counts array<bigint>, n_codes bigint, codes binary, words array<string>"
 PACKED = "block bigint, codes binary, sizes binary, ids binary, other binary, lengths binary"
 
@@ -240,16 +240,20 @@ def special_tokens(path: str) -> list[str]:
         return [t["content"] for t in json.load(f).get("added_tokens", [])]
 
 
-def piece_table(spark, path: str) -> DataFrame:
-    """(id, piece): the bytes of every id of a byte-level vocabulary."""
+def byte_pieces(path: str) -> dict[int, bytes]:
+    """The bytes of every id of a byte-level vocabulary, special tokens included."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]     # bytes written as themselves
     hidden = [b for b in range(256) if b not in set(shown)]                   # the others as U+0100 and on
     byte = {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
-    rows = {i: bytes(byte[c] for c in p) if all(c in byte for c in p) else p.encode() for p, i in spec["model"]["vocab"].items()}
-    rows |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
-    return spark.createDataFrame([(i, bytearray(p)) for i, p in rows.items()], "id int, piece binary")
+    out = {i: bytes(byte[c] for c in p) if all(c in byte for c in p) else p.encode() for p, i in spec["model"]["vocab"].items()}
+    return out | {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+
+
+def piece_table(spark, path: str) -> DataFrame:
+    """(id, piece) for every id of the vocabulary."""
+    return spark.createDataFrame([(i, bytearray(p)) for i, p in byte_pieces(path).items()], "id int, piece binary")
 
 
 def with_pieces(rows: DataFrame, path: str) -> DataFrame:
@@ -363,7 +367,7 @@ def word_table(blocks: DataFrame, path: str, ranks: str | None) -> DataFrame:
     at = at.select("word", (F.shiftleft("block", B.CODE_BITS) + F.col("code")).alias("place"))
     # equal words meet first, so that no partial lists travel
     at = at.repartition("word")
-    words = at.groupBy("word", F.shiftright("place", B.CODE_BITS + LIST).alias("span")).agg(F.collect_list("place").alias("places"))
+    words = at.groupBy("word", F.shiftright("place", B.CODE_BITS + B.TURN_BITS + TASKS).alias("span")).agg(F.collect_list("place").alias("places"))
 
     def run(batches):
         enc = Encoder.of(path, ranks)
