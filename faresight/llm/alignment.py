@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +36,9 @@ from faresight.llm import blocks as B
 from faresight.llm.common import byte_slices, materialize, text_buffers
 from faresight.llm.word_table import WHITE, Encoder, byte_pieces, ranks_path, vocabulary_path
 
-SLICE = 8 << 20      # bytes of text aligned at a time
-LANE = 4096          # A tokens of a lane, about
-CACHE = 600_000      # chunks kept per worker
+SLICE = 2 << 20      # bytes of text aligned at a time
+LANE = 1024          # A tokens of a lane, about
+CACHE = 250_000      # chunks kept per worker
 A_SHIFT = 20         # an id pair is one number: A's id above these bits, B's id in them
 
 GLUE = chr(0x2581)  # the model writes a blank so
@@ -106,12 +107,14 @@ class Tokens:
 
     def _learn(self, chunks: list[str]) -> None:
         new = [c for c in dict.fromkeys(chunks) if c not in self.chunks]
-        for c, a, b in zip(new, self.a(new), self._b_ids(new)):
-            raw = c.encode()
-            self.chunks[c] = len(self.good)
-            self.good.append(b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw)
-            self.ids[0].append(np.array(a, np.int32))
-            self.ids[1].append(np.array(b, np.int32))
+        for k in range(0, len(new), 10_000):
+            part = new[k:k + 10_000]
+            for c, a, b in zip(part, self.a(part), self._b_ids(part)):
+                raw = c.encode()
+                self.chunks[c] = len(self.good)
+                self.good.append(b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw)
+                self.ids[0].append(array("i", a).tobytes())
+                self.ids[1].append(array("i", b).tobytes())
 
     def _slow(self, text: str) -> list[str]:
         out, i, s = [], 0, " " + text
@@ -154,8 +157,8 @@ class Tokens:
         out = []
         for ids in self.ids:
             parts = [ids[k] for k in own.tolist()]
-            size = np.fromiter(map(len, parts), np.int64, len(parts))
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            size = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+            flat = np.frombuffer(b"".join(parts), np.int32)
             count = size[every]
             out += [flat[B.ranges((np.cumsum(size) - size)[every], count)], np.append(0, np.cumsum(count))[edge]]
         return out
@@ -285,8 +288,11 @@ def align(docs: DataFrame, a: str | None = None, ranks: str | None = None, b: st
 
 
 def _block(number: int, held: list[tuple]) -> pa.RecordBatch:
-    links = np.concatenate([h[-1] for h in held])
-    pairs, codes, times = np.unique(links, return_inverse=True, return_counts=True)
+    pairs, code = np.unique(np.concatenate([h[6] for h in held]), return_inverse=True)
+    edge = np.cumsum([0, *(len(h[6]) for h in held)])
+    code = code.astype(np.uint32)
+    codes = np.concatenate([code[s:e][h[7]] for h, s, e in zip(held, edge[:-1], edge[1:])])
+    times = np.bincount(codes, minlength=len(pairs))
     order, codes = B.by_frequency(codes, len(pairs))
     one = lambda x, t: pa.array([x], pa.list_(t))
     flat = [np.concatenate([h[k] for h in held]) for k in range(1, 5)]
@@ -308,8 +314,9 @@ def align_blocks(docs: DataFrame, paths: tuple, size: int = B.TEXT) -> DataFrame
                 yield _block(B.block_number(task, turn), held)
                 held, n, turn = [], 0, turn + 1
             al = Aligned(tk, texts)
-            pair = (al.a[al.link_a].astype(np.int64) << A_SHIFT) | al.b[al.link_b]
-            held.append((ids.to_pylist(), np.diff(al.oa), np.diff(al.ob), al.groups, np.diff(al.lo), al.digests(tk), pair))
+            pairs, code = np.unique((al.a[al.link_a].astype(np.int64) << A_SHIFT) | al.b[al.link_b], return_inverse=True)
+            held.append((ids.to_pylist(), np.diff(al.oa), np.diff(al.ob), al.groups, np.diff(al.lo), al.digests(tk), pairs,
+                         code.astype(np.uint32)))
             n += size_
         if held:
             yield _block(B.block_number(task, turn), held)

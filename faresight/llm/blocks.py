@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from faresight.llm.common import shuffle_parts
 from faresight.session import scratch_path
 
-TEXT = 32 << 20        # bytes of text of a block; a longer text makes a block of its own
+TEXT = 16 << 20        # bytes of text of a block; a longer text makes a block of its own
 _BUCKETS = 100_000     # Spark's own bound on buckets of a table
 # A place is one number: 20 bits of task, 17 of block within the task, 26 of dictionary code.
 CODE_BITS, TURN_BITS = 26, 17
@@ -49,8 +49,8 @@ def gather(blocks: DataFrame, entries: DataFrame) -> DataFrame:
 
 def squeeze(codes: np.ndarray) -> bytes:
     """Unsigned 32-bit codes, byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    planes = np.ascontiguousarray(codes.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes)
 
 
 def unsqueeze(raw: bytes, n: int) -> np.ndarray:
@@ -61,8 +61,8 @@ def unsqueeze(raw: bytes, n: int) -> np.ndarray:
 def by_frequency(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(the n dictionary entries from frequent to rare, ``codes`` numbered that way): small codes pack better."""
     order = np.argsort(-np.bincount(codes, minlength=n), kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
+    rank = np.empty(n, np.uint32)
+    rank[order] = np.arange(n, dtype=np.uint32)
     return order, rank[codes]
 
 

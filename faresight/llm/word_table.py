@@ -54,7 +54,7 @@ _CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _SAFE = re.compile(f" (?=[^{WHITE}])")
 _WHITE = re.compile(f"[{WHITE}]")
 
-SLICE = 8 << 20       # bytes of text split at a time
+SLICE = 4 << 20       # bytes of text split at a time
 TASKS = 12            # a list of places spans the blocks of 2 ** TASKS read tasks
 BLOCKS = "block bigint, ids array<bigint>, counts array<bigint>, n_codes bigint, codes binary, words array<string>"
 PACKED = "block bigint, codes binary, sizes binary, ids binary, other binary, lengths binary"
@@ -156,11 +156,17 @@ class Splitter:
         return out
 
     def block(self, number: int, ids: list, chunks: list[np.ndarray]) -> pa.RecordBatch:
+        self.chunks.clear()   # the words are all that is still needed
         size, flat = np.frombuffer(self.size, np.uint32).astype(np.int64), np.frombuffer(self.flat, np.uint32)
-        every = np.concatenate(chunks) if chunks else np.zeros(0, np.uint32)
-        count = size[every]
-        codes = flat[B.ranges((np.cumsum(size) - size)[every], count)]
-        upto = np.append(0, np.cumsum(count))[np.cumsum([0, *map(len, chunks)])]
+        begin = np.cumsum(size) - size
+        upto = np.cumsum([0, *(int(size[c].sum()) for c in chunks)])
+        codes = np.empty(upto[-1], np.uint32)
+        for c, s, e in zip(chunks, upto[:-1].tolist(), upto[1:].tolist()):
+            at = s
+            for part in _parts(c, 500_000):
+                got = flat[B.ranges(begin[part], size[part])]
+                codes[at:at + len(got)] = got
+                at += len(got)
         order, codes = B.by_frequency(codes, len(self.words))
         words = pa.array(list(self.words), pa.string()).take(pa.array(order))
         if len(words) >> B.CODE_BITS:
