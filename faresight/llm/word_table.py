@@ -54,10 +54,10 @@ _CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _SAFE = re.compile(f" (?=[^{WHITE}])")
 _WHITE = re.compile(f"[{WHITE}]")
 
-SLICE = 4 << 20       # bytes of text split at a time
+SLICE = 2 << 20       # bytes of text split at a time
 TASKS = 12            # a list of places spans the blocks of 2 ** TASKS read tasks
 BLOCKS = "block bigint, ids array<bigint>, counts array<bigint>, n_codes bigint, codes binary, words array<string>"
-PACKED = "block bigint, codes binary, sizes binary, ids binary, other binary, lengths binary"
+PACKED = "block bigint, n array<bigint>, codes binary, sizes binary, ids binary, other binary, lengths binary"
 
 
 def vocabulary_path() -> str:
@@ -73,7 +73,7 @@ def ranks_path() -> str:
 
 # ---------------------------------------------------------------- words
 class Splitter:
-    """Word codes of texts against a growing dictionary of one block."""
+    """Word codes of texts against a growing dictionary of one block; chunks are known for one slice of texts."""
 
     def __init__(self, special: list[str]):
         import regex
@@ -114,7 +114,23 @@ class Splitter:
                 i = j
         return np.frombuffer(out, np.uint32)
 
-    def chunk_codes(self, texts: pa.Array) -> list[np.ndarray]:
+    def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(word codes of all texts in order, words per text)."""
+        self.chunks, self.flat, self.size = {}, array("I"), array("I")
+        runs = self._chunks_of(texts)
+        size, flat = np.frombuffer(self.size, np.uint32).astype(np.int64), np.frombuffer(self.flat, np.uint32)
+        begin = np.cumsum(size) - size
+        counts = np.array([size[r].sum() for r in runs], np.int64)
+        out = np.empty(counts.sum(), np.uint32)
+        at = 0
+        for r in runs:
+            for part in _parts(r, 200_000):
+                got = flat[B.ranges(begin[part], size[part])]
+                out[at:at + len(got)] = got
+                at += len(got)
+        return out, counts
+
+    def _chunks_of(self, texts: pa.Array) -> list[np.ndarray]:
         """Chunk codes of each text. Where every blank is followed by something visible, texts are cut at blanks at once."""
         split = pc.split_pattern(texts, " ")
         off = split.offsets.to_numpy().astype(np.int64)
@@ -155,25 +171,14 @@ class Splitter:
                 out.append(x[1:])
         return out
 
-    def block(self, number: int, ids: list, chunks: list[np.ndarray]) -> pa.RecordBatch:
-        self.chunks.clear()   # the words are all that is still needed
-        size, flat = np.frombuffer(self.size, np.uint32).astype(np.int64), np.frombuffer(self.flat, np.uint32)
-        begin = np.cumsum(size) - size
-        upto = np.cumsum([0, *(int(size[c].sum()) for c in chunks)])
-        codes = np.empty(upto[-1], np.uint32)
-        for c, s, e in zip(chunks, upto[:-1].tolist(), upto[1:].tolist()):
-            at = s
-            for part in _parts(c, 500_000):
-                got = flat[B.ranges(begin[part], size[part])]
-                codes[at:at + len(got)] = got
-                at += len(got)
-        order, codes = B.by_frequency(codes, len(self.words))
+    def block(self, number: int, ids: list, codes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        order, codes = B.by_frequency(np.concatenate(codes), len(self.words))
         words = pa.array(list(self.words), pa.string()).take(pa.array(order))
         if len(words) >> B.CODE_BITS:
             raise ValueError("a block holds too many distinct words")
         one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, t))
         return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), one(ids, pa.int64()), one(np.diff(upto), pa.int64()), pa.array([len(codes)], pa.int64()),
+            [pa.array([number], pa.int64()), one(ids, pa.int64()), one(np.concatenate(counts), pa.int64()), pa.array([len(codes)], pa.int64()),
              pa.array([B.squeeze(codes)], pa.binary()), one(words, pa.string())],
             names=["block", "ids", "counts", "n_codes", "codes", "words"])
 
@@ -183,19 +188,21 @@ def split(docs: DataFrame, special: list[str], size: int = B.TEXT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, turn = TaskContext.get().partitionId(), 0
-        s, ids, chunks, held = Splitter(special), [], [], 0
+        s, ids, codes, counts, held = Splitter(special), [], [], [], 0
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
             _, off = text_buffers(texts)
             for i, j in byte_slices(off, min(size, SLICE)):
                 if ids and held + off[j] - off[i] > size:
-                    yield s.block(B.block_number(task, turn), ids, chunks)
-                    turn, s, ids, chunks, held = turn + 1, Splitter(special), [], [], 0
-                chunks += s.chunk_codes(texts.slice(i, j - i))
+                    yield s.block(B.block_number(task, turn), ids, codes, counts)
+                    turn, s, ids, codes, counts, held = turn + 1, Splitter(special), [], [], [], 0
+                c, n = s.codes(texts.slice(i, j - i))
+                codes.append(c)
+                counts.append(n)
                 ids += b.column(0).slice(i, j - i).to_pylist()
                 held += off[j] - off[i]
         if ids:
-            yield s.block(B.block_number(task, turn), ids, chunks)
+            yield s.block(B.block_number(task, turn), ids, codes, counts)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, BLOCKS)
 
@@ -330,9 +337,17 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         for block, rows in held.items():
+            codes, sizes, ids, other, lengths = (np.concatenate([r[k] for r in rows]) for k in range(5))
+            # in the order of their codes, which then differ by little
+            order = np.argsort(codes, kind="stable")
+            ids = ids[B.ranges((np.cumsum(sizes) - sizes)[order], sizes[order])]
+            width = np.maximum(lengths, 1) - 1
+            other = other[B.ranges((np.cumsum(width) - width)[order], width[order])]
+            parts = [np.diff(codes[order], prepend=0), sizes[order], ids, other, lengths[order]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), *(pa.array([b"".join(r[k] for r in rows)], pa.binary()) for k in range(5))],
-                names=["block", "codes", "sizes", "ids", "other", "lengths"])
+                [pa.array([block], pa.int64()), pa.array([[len(x) for x in parts]], pa.list_(pa.int64())),
+                 *(pa.array([B.squeeze(x)], pa.binary()) for x in parts)],
+                names=["block", "n", "codes", "sizes", "ids", "other", "lengths"])
 
     for w in _whole_rows(batches):
         head, n, ids, data, off = _joined(w)
@@ -356,12 +371,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
             r = row[s:e]
             far = r[length[r] > 0]
-            parts = [(place[s:e] & ((1 << B.CODE_BITS) - 1)).astype("<u4").tobytes(), n[r].astype("<u4").tobytes(),
-                     ids[B.ranges(head[r], n[r])].astype("<u4").tobytes(),
-                     data[B.ranges(off[far], np.diff(off)[far])].tobytes(), length[r].astype("<u4").tobytes()]
+            parts = [place[s:e] & ((1 << B.CODE_BITS) - 1), n[r], ids[B.ranges(head[r], n[r])].astype(np.uint32),
+                     data[B.ranges(off[far], np.diff(off)[far])], length[r]]
             held.setdefault(int(block[s]), []).append(parts)
-            size += sum(map(len, parts))
-        if size > SLICE:
+            size += sum(x.nbytes for x in parts)
+        if size > 16 * SLICE:
             yield from flush()
             held, size = {}, 0
     yield from flush()
@@ -393,9 +407,10 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = B.unsqueeze(get("codes"), n_codes)
             text, at = text_buffers(b.column("words")[k].values)
             entries = get("entries") or []
-            cat = lambda c, t: np.frombuffer(b"".join(e[c] for e in entries), t)  # noqa: E731, B023
-            code, n, ids, other, length = (cat("codes", "<u4"), cat("sizes", "<u4").astype(np.int64), cat("ids", "<u4"),
-                                           cat("other", np.uint8), cat("lengths", "<u4").astype(np.int64))
+            cat = lambda c, k: np.concatenate([B.unsqueeze(e[c], e["n"][k]) for e in entries] or [np.zeros(0, np.uint32)])  # noqa: E731, B023
+            code = np.concatenate([np.cumsum(B.unsqueeze(e["codes"], e["n"][0])) for e in entries] or [np.zeros(0, np.int64)]).astype(np.int64)
+            n, ids, other, length = cat("sizes", 1).astype(np.int64), cat("ids", 2), cat("other", 3).astype(np.uint8), cat("lengths", 4).astype(np.int64)
+            del entries
             if len(code) != len(at) - 1:
                 raise ValueError("a word of a block came back twice or not at all")
             # by dictionary code: where a word's ids begin and how many they are, where its bytes begin and how many
@@ -407,7 +422,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w_begin[code[far]] = len(text) + np.cumsum(length[far] - 1) - (length[far] - 1)
             data = np.concatenate([text, other]) if len(other) else text
             upto = np.append(0, np.cumsum(counts))
-            step = 500_000  # word occurrences put together at a time
+            step = 100_000  # word occurrences put together at a time
             i = 0
             while i < len(docs):
                 j = max(i + 1, int(np.searchsorted(upto, upto[i] + step, side="right")) - 1)

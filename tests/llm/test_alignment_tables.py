@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from faresight.llm import alignment, importance, word_table
+from faresight.llm import alignment, blocks, importance, word_table
 from test_contracts import _rows, by_id, docs, none  # noqa: F401
 
 ENC = word_table.Encoder(word_table.vocabulary_path(), word_table.ranks_path())
@@ -45,13 +45,9 @@ def test_ranges_that_are_split_further_agree_with_the_tokenizer():
 @given(TEXTS)
 def test_op12_words_give_the_tokenizers_ids(texts):
     s = word_table.Splitter(ENC.special)
-    chunks = s.chunk_codes(pa.array(texts, pa.string()))
-    words, size, flat = list(s.words), np.frombuffer(s.size, np.uint32), np.frombuffer(s.flat, np.uint32)
-    begin = np.cumsum(size) - size
-    got = []
-    for c in chunks:
-        w = [words[k] for x in c.tolist() for k in flat[begin[x]:begin[x] + size[x]].tolist()]
-        got.append([i for ids in ENC(w) for i in ids])
+    codes, counts = s.codes(pa.array(texts, pa.string()))
+    ids, edge = ENC(list(s.words)), np.cumsum([0, *counts.tolist()])
+    got = [[i for k in codes[x:y].tolist() for i in ids[k]] for x, y in zip(edge[:-1], edge[1:])]
     assert got == [e.ids for e in ENC.tk.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -72,8 +68,8 @@ def test_op12_round_trip(spark, docs, size):  # noqa: F811
 
 
 def test_op12_each_word_is_encoded_once(spark, docs):  # noqa: F811
-    blocks = word_table.split(docs, ENC.special, 2000)
-    words = [r.word for r in word_table.word_table(blocks, word_table.vocabulary_path(), None).select("word").collect()]
+    split = word_table.split(docs, ENC.special, 2000)
+    words = [r.word for r in word_table.word_table(split, word_table.vocabulary_path(), None).select("word").collect()]
     assert len(words) == len(set(words)) and " the" in words and "<|endoftext|>" in words
 
 
@@ -88,15 +84,15 @@ def test_op12_decode_joins_pieces_and_mends_broken_utf8(spark):
 
 def test_op12_other_pieces_travel_as_bytes():
     """A word whose pieces spell something else comes back with those bytes."""
-    import pyarrow.compute as pc
     cols = {"word": ["ab", None, "c"], "places": [[(3 << 26) + 1], None, [(3 << 26), (4 << 26)]], "n": [2, 2, 1], "pos": [0, 1, 0],
             "id": [7, 8, 9], "piece": [b"a", b"b", b"XY"]}
     types = [pa.string(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), types)], names=list(cols))
     out = {b.column("block")[0].as_py(): {c: b.column(c)[0].as_py() for c in b.schema.names[1:]}
            for b in word_table._pack(iter([batch.slice(0, 1), batch.slice(1)]))}
-    assert np.frombuffer(out[3]["codes"], "<u4").tolist() == [0, 1] and out[3]["other"] == b"XY"
-    assert np.frombuffer(out[3]["lengths"], "<u4").tolist() == [3, 0] and np.frombuffer(out[4]["ids"], "<u4").tolist() == [9]
+    back = lambda b, c, k: blocks.unsqueeze(out[b][c], out[b]["n"][k]).tolist()
+    assert np.cumsum(back(3, "codes", 0)).tolist() == [0, 1] and bytes(back(3, "other", 3)) == b"XY"
+    assert back(3, "lengths", 4) == [3, 0] and back(3, "ids", 2) == [9, 7, 8] and back(4, "ids", 2) == [9]
 
 
 # ---------------------------------------------------------------- 11
