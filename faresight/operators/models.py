@@ -1,9 +1,9 @@
 """Baselines and ``pyspark.ml`` models, with explanation helpers.
 
 Baselines are aggregates joined back (global / group means fitted on the
-train split, global-mean fallback for unseen groups). Linear and boosted-
-tree models are ``pyspark.ml`` estimators over a ``VectorAssembler``;
-training is distributed by Spark ML. Explanations stay distributed too:
+train split, global-mean fallback for unseen groups). Linear models are
+``pyspark.ml`` estimators over a ``VectorAssembler``; boosted trees come
+from ``boosting``. Explanations stay distributed too:
 permutation importance scores every (feature, repeat) permutation in one
 batch job, and linear attributions are a closed-form projection.
 """
@@ -14,11 +14,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faresight.functions.expressions import portable_bucket
+from faresight.operators.boosting import BoostedModel, fit_boosted
 from faresight.operators.features import FOLD_KEY
 from faresight.operators.metrics import regression_metrics
 from faresight.schema import RIDGE_ALPHA, SEED, TARGET, BoostParams
@@ -61,22 +62,12 @@ def fit_ridge(train: DataFrame, features: Sequence[str], target: str = TARGET,
     return Pipeline(stages=[assembler(features), lr]).fit(train.filter(F.col(target).isNotNull()))
 
 
-def fit_gbt(train: DataFrame, features: Sequence[str], target: str = TARGET,
-            params: BoostParams = BoostParams(), validation_col: str | None = None) -> PipelineModel:
-    """Boosted regression trees (depth, learning rate, row subsampling and
-    per-node feature sampling from ``params``). With ``validation_col``,
-    boosting ends with the first round that lowers the validation error by
-    less than ``params.validation_tol`` of it. Spark has no patience of
-    several rounds: one weak round ends it."""
-    kw = dict(featuresCol="features", labelCol=target, predictionCol="prediction",
-              maxIter=params.max_iter, maxDepth=params.max_depth, stepSize=params.step_size,
-              subsamplingRate=params.subsampling_rate, featureSubsetStrategy=params.feature_subset,
-              maxBins=params.max_bins, seed=params.seed)
-    if validation_col:
-        kw["validationIndicatorCol"] = validation_col
-        kw["validationTol"] = params.validation_tol
-    gbt = GBTRegressor(**kw)
-    return Pipeline(stages=[assembler(features), gbt]).fit(train.filter(F.col(target).isNotNull()))
+def fit_gbt(train: DataFrame, features: Sequence[str], target: str = TARGET, params: BoostParams = BoostParams(),
+            validation_col: str | None = None) -> BoostedModel:
+    """Boosted regression trees (depth or leaves, learning rate, row and feature sampling from ``params``). With
+    ``validation_col``, boosting ends after ``params.patience`` rounds without a better validation error, and the model
+    keeps the trees up to the best round."""
+    return fit_boosted(train, features, target, params, validation_col)
 
 
 MODEL_FACTORIES: dict[str, Callable] = {
@@ -92,17 +83,16 @@ def fit_model(name: str, train: DataFrame, features: Sequence[str], target: str
     return MODEL_FACTORIES[name](train, features, target, **kw)
 
 
-def importances(model: PipelineModel, features: Sequence[str], train: DataFrame | None = None,
+def importances(model: PipelineModel | BoostedModel, features: Sequence[str], train: DataFrame | None = None,
                 model_name: str = "model") -> DataFrame:
-    """``(model, feature, importance)``: tree impurity importances, or for a
+    """``(model, feature, importance)``: shares in the gain of a tree model's splits, or for a
     linear model ``|β_j|·std(x_j)`` (needs ``train``)."""
     spark = train.sparkSession if train is not None else None
-    last = model.stages[-1]
-    if hasattr(last, "featureImportances"):
-        vals = [float(v) for v in last.featureImportances.toArray()]
-        rows = [(model_name, f, v) for f, v in zip(features, vals)]
+    if isinstance(model, BoostedModel):
+        rows = [(model_name, f, float(v)) for f, v in zip(model.features, model.importances())]
         spark = spark or _active()
         return spark.createDataFrame(rows, "model string, feature string, importance double")
+    last = model.stages[-1]
     coefs = [float(c) for c in last.coefficients.toArray()]
     stds = train.agg(*[F.stddev_samp(f).alias(f) for f in features])
     return stds.select(F.inline(F.array(*[
@@ -122,7 +112,7 @@ def top_features(imp: DataFrame, n: int = 20, model_col: str = "model") -> DataF
     return imp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str],
+def permutation_importance(model: PipelineModel | BoostedModel, df: DataFrame, features: Sequence[str],
                            target: str = TARGET, n_repeats: int = 5, seed: int = SEED,
                            key_cols: Sequence[str] = FOLD_KEY, block_rows: int = 50_000) -> DataFrame:
     """Mean drop in R² when one feature's values are permuted among rows.
@@ -130,9 +120,10 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     All rows of ``df`` are scored (pass a sample to score fewer). Rows fall
     into random blocks of about ``block_rows`` by their hash, and values are
     permuted within a block, so no step orders all rows in one task; a
-    random block has the distribution of the whole. Every (feature, repeat)
-    permutation is scored in one batch: rows are replicated per (feature,
-    repeat), each takes the donor row at its place in the repeat's order.
+    random block has the distribution of the whole. A row meets its donor once
+    per repeat (the row at its place in the repeat's order); only then, without
+    another shuffle, is the pair spread over the features, one of which comes
+    from the donor. All permutations are scored in one batch.
     """
     s = df.filter(F.col(target).isNotNull()).select(*key_cols, target, *features)
     order = [F.col(k) for k in key_cols]
@@ -144,10 +135,8 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
                           F.xxhash64(F.col("_r"), F.lit(seed), *order), *order)))
                   .select("_r", "_b", "_i", *[F.col(f).alias(f"_d_{f}") for f in features]))
     base = base.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
-    grid = F.explode(F.array(*[F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r"))
-                               for f in features for r in range(n_repeats)]))
-    rep = base.select("*", grid.alias("_g")).select("*", "_g._f", "_g._r").drop("_g")
-    joined = rep.join(donors, ["_r", "_b", "_i"])
+    turns = base.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
+    joined = turns.join(donors, ["_r", "_b", "_i"]).withColumn("_f", F.explode(F.array(*[F.lit(f) for f in features])))
     permuted = joined.select(target, "_f", "_r", *[
         F.when(F.col("_f") == F.lit(f), F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features])
     scored = model.transform(permuted).select("_f", "_r", F.col(target).alias("y"), "prediction")
@@ -174,3 +163,26 @@ def linear_attributions(model: PipelineModel, df: DataFrame, features: Sequence[
     return row.select(F.inline(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.lit(c).alias("coefficient"), F.col(f).alias("mean_abs_attribution"))
         for f, c in zip(features, coefs)])))
+
+
+def tree_attributions(model: BoostedModel, df: DataFrame) -> DataFrame:
+    """Mean size of each feature's exact additive share in the predictions of a tree model: (feature, mean_abs_attribution)."""
+    phi = model.attributions(df.select(*model.features))
+    row = phi.agg(*[F.avg(F.abs(F.col(f"phi_{f}"))).alias(f) for f in model.features])
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).alias("mean_abs_attribution")) for f in model.features])))
+
+
+def stacked_baselines(train: DataFrame, df: DataFrame, keys: Sequence[str], groups: dict[str, str], target: str = TARGET) -> DataFrame:
+    """(*keys, model, y, prediction): the global mean and the mean per each of ``groups`` (name -> column), from one aggregate of
+    ``train`` over all group columns and one pass over ``df``."""
+    per = train.groupBy(*groups.values()).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
+    mean = lambda: F.try_divide(F.sum("_s"), F.sum("_n"))
+    g = per.agg(mean()).scalar()
+    out = df.select(*keys, *groups.values(), F.col(target).alias("y"))
+    for name, col in groups.items():
+        means = per.where(F.col(col).isNotNull()).groupBy(col).agg(mean().alias(f"_m_{name}"))
+        out = out.join(means, col, "left")
+    rows = [F.struct(F.lit("global_mean").alias("model"), g.alias("prediction"))]
+    rows += [F.struct(F.lit(name).alias("model"), F.coalesce(F.col(f"_m_{name}"), g).alias("prediction")) for name in groups]
+    return out.select(*keys, "y", F.explode(F.array(*rows)).alias("_r")).select(*keys, "y", "_r.model", "_r.prediction")

@@ -529,3 +529,31 @@ ORACLE["scenarios_carrier_demand"] = with_market_extra(
     _scen_cte(SCEN_VALUES).replace("sum(Pax)", "sum(CarrierPax)"), f"SELECT {SCEN_OUT} FROM rsv")
 ORACLE["scan_csv_recursive"] = ORACLE["scan_csv"]
 ORACLE["preview_routes"] = with_market("SELECT DISTINCT ODPairID FROM market ORDER BY ODPairID LIMIT 50")
+
+# ---------------------------------------------------------------- boosted trees
+MODEL_COLS = ["MktCoupons", "NonStopMiles", "RoundTrip", "Pax", "CarrierPax", "Market_share", "Market_HHI",
+              "LCC_Comp", "Multi_Airport", "Circuity", "Slot", "Non_Stop", "MktMilesFlown"]
+_LONG = " UNION ALL ".join(f"SELECT {k} AS f, '{c}' AS feature, CAST({c} AS DOUBLE) AS x, g FROM t" for k, c in enumerate(MODEL_COLS))
+ORACLE["boost_first_split"] = with_market(f"""
+SELECT feature, floor(threshold * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS threshold, left_rows, right_rows,
+       floor(gain_share * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS gain_share
+FROM (
+  WITH s AS (SELECT *, CAST(Average_Fare AS DOUBLE) AS y FROM market WHERE {BUCKET100} < 70 AND Average_Fare IS NOT NULL),
+  t AS (SELECT s.*, (SELECT avg(y) FROM s) - y AS g FROM s),
+  l AS ({_LONG}),
+  r AS (SELECT f, min(x) AS lo, max(x) AS hi, sum(g) AS sg, count(*) AS n FROM l GROUP BY f),
+  e AS (SELECT DISTINCT f, lo + (hi - lo) * k / 32.0::DOUBLE AS edge FROM r, range(1, 32) u(k)),
+  b AS (SELECT l.f, l.feature, l.x, sum(l.g) AS g, count(*) AS n FROM l GROUP BY ALL),
+  c AS (SELECT b.f, any_value(b.feature) AS feature, e.edge AS threshold, sum(b.g) AS gl, sum(b.n)::BIGINT AS nl
+        FROM b JOIN e ON b.f = e.f AND b.x <= e.edge GROUP BY b.f, e.edge)
+  SELECT c.f, c.feature, c.threshold, c.nl AS left_rows, (r.n - c.nl)::BIGINT AS right_rows,
+         (gl * gl / (nl + 1) + (sg - gl) * (sg - gl) / (n - nl + 1) - sg * sg / (n + 1)) / (SELECT sum(g * g) FROM t) AS gain_share
+  FROM c JOIN r ON c.f = r.f WHERE r.n - c.nl >= 1
+) ORDER BY gain_share DESC, f, threshold LIMIT 1""")
+
+ORACLE["ordered_target_stat"] = with_market(f"""
+SELECT {KEY}, floor(te * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS Carrier_ordered_te
+FROM (
+  SELECT {KEY}, (coalesce(sum(Average_Fare) OVER w, 0) + (SELECT avg(Average_Fare) FROM market)) / (count(Average_Fare) OVER w + 1) AS te
+  FROM market
+  WINDOW w AS (PARTITION BY Carrier ORDER BY {ROW_HASH.format(seed=42)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")

@@ -389,13 +389,9 @@ def q_baseline_route_mean(spark, sf):
 
 
 def _baseline_long(spark, sf):
-    parts = []
-    for name, kind in [("global_mean", "global_mean"), ("carrier_mean", "Carrier"), ("route_mean", "ODPairID")]:
-        parts.append(_baseline_preds(spark, sf, kind).withColumn("model", F.lit(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    df = _split(spark, sf)
+    return MD.stacked_baselines(df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test"), ROW_KEY,
+                                {"carrier_mean": "Carrier", "route_mean": "ODPairID"})
 
 
 @register("regression_metrics")
@@ -411,10 +407,11 @@ def q_model_comparison(spark, sf):
 
 
 # ---------------------------------------------------------------- pyspark.ml models
-from faresight.schema import BoostParams  # noqa: E402
+from faresight.operators import boosting as BO  # noqa: E402
+from faresight.operators.target_stats import ordered_target_statistic  # noqa: E402
+from faresight.schema import LEAF_WISE, SEED, SYMMETRIC, BoostParams  # noqa: E402
 
-# The library defaults: up to 1000 rounds; the validation split ends boosting with the first round that lowers its
-# error by less than 0.1 % of it.
+# The library defaults: up to 1000 rounds, patience of 50 rounds on the validation split.
 QUERY_BOOST = BoostParams()
 _MODELS: dict[tuple, object] = {}
 
@@ -446,7 +443,7 @@ def q_ridge(spark, sf):
 
 @register("gbt")
 def q_gbt(spark, sf):
-    """M4: boosted regression trees (depth 6, lr 0.05, subsample 0.8); test predictions."""
+    """M4: boosted regression trees (depth 6, lr 0.05, subsample 0.8, patience 50); test predictions."""
     return _model_preds(spark, sf, "gbt")
 
 
@@ -467,7 +464,7 @@ def _importances(spark, sf):
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
-    """M8: tree impurity importances and ridge standardized |coefficients|."""
+    """M8: shares in the gain of all splits and ridge standardized |coefficients|."""
     return _importances(spark, sf)
 
 
@@ -491,6 +488,58 @@ def q_linear_attributions(spark, sf):
     return MD.linear_attributions(_fitted(spark, sf, "ridge"), test, MODEL_FEATURES)
 
 
+@register("gbt_curve")
+def q_gbt_curve(spark, sf):
+    """M4: train and validation error after every round, and which rounds the model keeps."""
+    return _fitted(spark, sf, "gbt").curve(spark)
+
+
+@register("tree_attributions")
+def q_tree_attributions(spark, sf):
+    """Exact additive attributions of the boosted trees on the test split, mean size per feature."""
+    test = _split(spark, sf).filter(F.col("split") == "test")
+    return MD.tree_attributions(_fitted(spark, sf, "gbt"), test)
+
+
+FIRST_SPLIT_BINS = 32
+
+
+@register("boost_first_split")
+def q_boost_first_split(spark, sf):
+    """M4: the split of the first tree's root over bins of equal width, all rows and features;
+    the gain as a share of the squared error."""
+    train = _split(spark, sf).filter(F.col("split") == "train")
+    s, edges, total = BO.first_split(train, MODEL_FEATURES, "Average_Fare", FIRST_SPLIT_BINS, QUERY_BOOST)
+    row = (MODEL_FEATURES[s.feature], float(edges[s.feature][s.at]), int(s.left[1]), int(s.right[1]), 2 * s.gain / total)
+    return spark.createDataFrame([row], "feature string, threshold double, left_rows bigint, right_rows bigint, gain_share double")
+
+
+def _one_tree(spark, sf, params):
+    import dataclasses
+    p = dataclasses.replace(params, max_iter=1, step_size=1.0, subsampling_rate=1.0, feature_subset="1.0")
+    train = _split(spark, sf).filter(F.col("split") == "train")
+    return BO.fit_boosted(train, MODEL_FEATURES, "Average_Fare", p).tree_table(spark)
+
+
+@register("leafwise_tree")
+def q_leafwise_tree(spark, sf):
+    """M4: the nodes of one tree grown best first to 63 leaves."""
+    return _one_tree(spark, sf, LEAF_WISE)
+
+
+@register("symmetric_tree")
+def q_symmetric_tree(spark, sf):
+    """M4: the nodes of one symmetric tree (one split per level)."""
+    return _one_tree(spark, sf, SYMMETRIC)
+
+
+@register("ordered_target_stat")
+def q_ordered_target_stat(spark, sf):
+    """M4: each row's carrier encoded by the fares of the rows before it in a seeded order."""
+    out = ordered_target_statistic(market(spark, sf), "Carrier", "Average_Fare", FE.FOLD_KEY, seed=SEED)
+    return out.select(*ROW_KEY, "Carrier_ordered_te")
+
+
 # ---------------------------------------------------------------- sources / sinks
 from faresight.schema import MARKET_SCHEMA  # noqa: E402
 from faresight.session import scratch_path  # noqa: E402

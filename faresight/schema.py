@@ -75,17 +75,26 @@ RIDGE_ALPHA = 1.0
 
 @dataclass(frozen=True)
 class BoostParams:
-    """Boosted-tree defaults (depth 6, lr 0.05, subsample 0.8, 1000 rounds)."""
+    """Boosted-tree defaults (depth 6, lr 0.05, subsample 0.8, 1000 rounds, patience 50)."""
     max_iter: int = 1000
     max_depth: int = 6
     step_size: float = 0.05
     subsampling_rate: float = 0.8
     feature_subset: str = "0.8"
-    max_bins: int = 256
-    validation_tol: float = 1e-3
+    max_bins: int = 255
+    patience: int = 50
+    growth: str = "level"          # "level", "leaf" or "symmetric"
+    max_leaves: int = 63
+    l2: float = 1.0
+    min_child: float = 1.0         # rows on either side of a split
     seed: int = SEED
 
 
+# the three growing strategies with the regularisation each is known for
+LEAF_WISE = BoostParams(growth="leaf", l2=0.0, min_child=20.0)
+SYMMETRIC = BoostParams(growth="symmetric", subsampling_rate=1.0, feature_subset="1.0", l2=3.0)
+
+
 @dataclass(frozen=True)
 class Settings:
     target: str = TARGET
