@@ -137,6 +137,22 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, method: str =
     return wide.orderBy("_o").select("statistic", *cols)
 
 
+def describe_all(df: DataFrame) -> DataFrame:
+    """Long describe of every column: (column, dtype, count, null_count, mean, std, min, p25, p50, p75, max, min_text, max_text).
+
+    Numbers have moments and quartiles; other columns the extremes of their text."""
+    num = set(numeric_columns(df))
+    other = [c for c in df.columns if c not in num]
+    out = profile_columns(df).select("column", "dtype", (F.col("row_count") - F.col("null_count")).alias("count"), "null_count", "mean", "std", "min",
+                                     "p25", "p50", "p75", "max")
+    if not other:
+        return out.select("*", *[F.lit(None).cast("string").alias(c) for c in ("min_text", "max_text")])
+    row = df.agg(*[g(F.col(c).cast("string")).alias(f"{n}{k}") for k, c in enumerate(other) for n, g in (("a", F.min), ("b", F.max))])
+    texts = row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"a{k}").alias("min_text"), F.col(f"b{k}").alias("max_text"))
+                                          for k, c in enumerate(other)])))
+    return out.join(F.broadcast(texts), "column", "left")     # one row per column
+
+
 # ------------------------------------------------------------------ B6
 def cardinality(df: DataFrame, top: int | None = 20, approx: bool = False) -> DataFrame:
     """Distinct values per column (NULL counts as a value), largest first,

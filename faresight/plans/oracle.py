@@ -557,3 +557,41 @@ FROM (
   SELECT {KEY}, (coalesce(sum(Average_Fare) OVER w, 0) + (SELECT avg(Average_Fare) FROM market)) / (count(Average_Fare) OVER w + 1) AS te
   FROM market
   WINDOW w AS (PARTITION BY Carrier ORDER BY {ROW_HASH.format(seed=42)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
+
+
+# ---------------------------------------------------------------- profiles of files and of all columns
+_BIGINT_COLS = ["MktCoupons", "OriginCityMarketID", "DestCityMarketID", "OriginAirportID", "DestAirportID", "RoundTrip", "ODPairID", "Pax",
+                "CarrierPax", "LCC_Comp", "Multi_Airport", "Slot", "Non_Stop"]
+
+
+def _file_profile_sql(group: str, label: str) -> str:
+    six = lambda e, a: f"floor(({e}) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS {a}"
+    parts = []
+    for c in MARKET_COLS:
+        x = "CAST(NULL AS DOUBLE)" if c == "Carrier" else f"CAST({c} AS DOUBLE)"
+        kind = "string" if c == "Carrier" else "bigint" if c in _BIGINT_COLS else "double"
+        parts.append(f"SELECT {label}'{c}' AS column, '{kind}' AS dtype, count(*) AS row_count, count(*) - count({c}) AS null_count, "
+                     f"{six(f'avg({x})', 'mean')}, {six(f'stddev_samp({x})', 'std')}, {six(f'min({x})', 'min')}, {six(f'max({x})', 'max')} "
+                     f"FROM market_dirty {group}")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["file_profiles"] = with_dirty(_file_profile_sql("GROUP BY l_linenumber", "CAST(l_linenumber AS INTEGER) AS line, "))
+ORACLE["file_profiles_merged"] = with_dirty(_file_profile_sql("", ""))
+
+
+def _describe_all_sql() -> str:
+    six = lambda e, a: f"floor(({e}) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS {a}"
+    parts = []
+    for c in MARKET_COLS:
+        x = "CAST(NULL AS DOUBLE)" if c == "Carrier" else f"CAST({c} AS DOUBLE)"
+        kind = "string" if c == "Carrier" else "bigint" if c in _BIGINT_COLS else "double"
+        text = (f"min({c}) AS min_text, max({c}) AS max_text" if c == "Carrier" else "CAST(NULL AS VARCHAR) AS min_text, CAST(NULL AS VARCHAR) AS max_text")
+        parts.append(f"SELECT '{c}' AS column, '{kind}' AS dtype, count({c}) AS count, count(*) - count({c}) AS null_count, "
+                     + ", ".join([six(f"avg({x})", "mean"), six(f"stddev_samp({x})", "std"), six(f"min({x})", "min"),
+                                  *(six(f"quantile_cont({x}, {q})", f"p{round(100 * q)}") for q in (0.25, 0.5, 0.75)), six(f"max({x})", "max")])
+                     + f", {text} FROM market_dirty")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["describe_all"] = with_dirty(_describe_all_sql())

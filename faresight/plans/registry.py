@@ -542,6 +542,7 @@ def q_ordered_target_stat(spark, sf):
 
 # ---------------------------------------------------------------- sources / sinks
 from faresight.schema import MARKET_SCHEMA  # noqa: E402
+from faresight.operators import file_profile as FP  # noqa: E402
 from faresight.session import scratch_path  # noqa: E402
 from faresight.sources import files as FS  # noqa: E402
 
@@ -630,7 +631,7 @@ def q_importance_export(spark, sf):
 
 @register("file_manifest")
 def q_file_manifest(spark, sf):
-    """Manifest of the input folder from file metadata."""
+    """Manifest of the input folder from file metadata: a row per file and one for all."""
     return FS.file_manifest(spark, sf, "market-source")
 
 
@@ -658,6 +659,38 @@ def q_export_bundle(spark, sf):
     return FS.read_csv(spark, f"{out}/route_summary", route_summary(m).schema)
 
 
+def _market_files(spark, sf):
+    """The damaged market as CSV text files, one folder and file per line number."""
+    path = scratch_path(spark, "market-by-line")
+    (market_dirty(spark, sf).withColumn("line", F.col("l_linenumber")).repartition("line").write.partitionBy("line")
+     .option("header", True).csv(path))
+    return spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
+
+
+@register("file_profiles")
+def q_file_profiles(spark, sf):
+    """B1: type, nulls and numeric statistics of every column of every file."""
+    cols = [f.name for f in MARKET_SCHEMA.fields]
+    rows = FP.profile_files(_market_files(spark, sf), cols)
+    return rows.select(F.regexp_extract("path", "line=([0-9]+)", 1).cast("int").alias("line"), "column", "dtype", "row_count", "null_count",
+                       "mean", FP.std(), "min", "max")
+
+
+@register("file_profiles_merged")
+def q_file_profiles_merged(spark, sf):
+    """B1: the profile of all files from the stored rows of each (sketches left out: they are estimates)."""
+    cols = [f.name for f in MARKET_SCHEMA.fields]
+    store = scratch_path(spark, "profile-store")
+    FP.profile_files(_market_files(spark, sf), cols).write.parquet(store)
+    return FP.merge_profiles(spark.read.parquet(store)).select("column", "dtype", "row_count", "null_count", "mean", "std", "min", "max")
+
+
+@register("describe_all")
+def q_describe_all(spark, sf):
+    """Describe of every column; text columns have counts and extremes."""
+    return P.describe_all(market_dirty(spark, sf).select(*[f.name for f in MARKET_SCHEMA.fields]))
+
+
 @register("file_profile", rounded=False)
 def q_file_profile(spark, sf):
     """B1 (per-file part): the market table as several CSV files; per file

@@ -84,18 +84,16 @@ def read_json_maps(spark: SparkSession, path: str, name_col: str = "model", key_
 
 
 def file_manifest(spark: SparkSession, directory: str, dataset: str | None = None) -> DataFrame:
-    """Dataset manifest (name, files, bytes, MB, file list, timestamp) from
-    file metadata only: the ``content`` column is never read."""
+    """Dataset manifest from file metadata only (the ``content`` column is never read): a row per file, and one
+    with a NULL path for all of them."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
                   .select("path", "length", "modificationTime"))
-    return files.agg(
-        F.count(F.lit(1)).alias("total_files"),
-        F.sum("length").alias("total_size_bytes"),
-        F.array_sort(F.collect_list(F.regexp_extract("path", r"([^/]+)$", 1))).alias("files"),
-        F.max("modificationTime").alias("latest_modified"),
-    ).select(F.lit(dataset or directory.rstrip("/").split("/")[-1]).alias("dataset"), "total_files",
-             "total_size_bytes", (F.col("total_size_bytes") / F.lit(1024.0 * 1024.0)).alias("total_size_mb"),
-             "files", "latest_modified", F.current_timestamp().alias("created_at"))
+    both = files.rollup("path").agg(F.count(F.lit(1)).alias("total_files"), F.sum("length").alias("total_size_bytes"),
+                                    F.max("modificationTime").alias("latest_modified"))
+    return both.select(F.lit(dataset or directory.rstrip("/").split("/")[-1]).alias("dataset"), "path",
+                       F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "total_files", "total_size_bytes",
+                       (F.col("total_size_bytes") / F.lit(1024.0 * 1024.0)).alias("total_size_mb"),
+                       "latest_modified", F.current_timestamp().alias("created_at"))
 
 
 def file_summary(df: DataFrame, directory: str) -> DataFrame:

@@ -54,8 +54,10 @@ def test_json_maps_roundtrip_and_manifest(spark):
         f.write('{"a": 1.5,\n "b": 2.5}')
     stem = FS.read_json_maps(spark, os.path.join(d, "*_feature_importance.json")).collect()
     assert {r.model for r in stem} == {"xgb"} and len(stem) == 2
-    man = FS.file_manifest(spark, d + "/imp").first()
-    assert man.total_files >= 2 and man.total_size_bytes > 0
+    man = FS.file_manifest(spark, d + "/imp").collect()
+    whole, = [r for r in man if r.path is None]
+    assert whole.total_files == len(man) - 1 >= 2 and whole.total_size_bytes == sum(r.total_size_bytes for r in man if r.path)
+    assert all(r.total_files == 1 and r.path.endswith(r.file) and r.dataset == "imp" for r in man if r.path)
 
 
 def test_recursive_discovery_and_file_summary(spark):
