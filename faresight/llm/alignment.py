@@ -69,9 +69,7 @@ class Tokens:
 
     def __init__(self, a: str, ranks: str | None, b: str):
         import sentencepiece
-        self.a = Encoder(a, ranks)
-        self.a.tk.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.a.special = []
+        self.a = Encoder(a, ranks, as_text=True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         pieces = byte_pieces(a)
         self.a_bytes = [pieces.get(i, b"") for i in range(max(pieces) + 1)]

@@ -39,7 +39,7 @@ END = 2
 ISLAND = 8_000        # pieces of an island
 ROUNDS = 3            # of dealing out; each packs what the last left in poorly filled bins
 POOR = 0.985          # a bin filled less is dissolved before the next round
-CACHE = 1_000_000     # chunks kept per worker (about 200 MB)
+CACHE = 400_000       # chunks kept per worker (about 80 MB)
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 

@@ -25,6 +25,7 @@ text itself is); other columns, whatever their names, are not read.
 from __future__ import annotations
 
 import base64
+import functools
 import json
 import os
 import re
@@ -54,7 +55,7 @@ _CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _SAFE = re.compile(f" (?=[^{WHITE}])")
 _WHITE = re.compile(f"[{WHITE}]")
 
-SLICE = 2 << 20       # bytes of text split at a time
+SLICE = 1 << 20       # bytes of text split at a time
 TASKS = 12            # a list of places spans the blocks of 2 ** TASKS read tasks
 BLOCKS = "block bigint, ids array<bigint>, counts array<bigint>, n_codes bigint, codes binary, words array<string>"
 PACKED = "block bigint, n array<bigint>, codes binary, sizes binary, ids binary, other binary, lengths binary"
@@ -220,13 +221,9 @@ class Encoder:
             cls._made[path, ranks] = cls(path, ranks)
         return cls._made[path, ranks]
 
-    def __init__(self, path: str, ranks: str | None = None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tk = Tokenizer.from_file(path)
-        self.tk.no_truncation()
-        self.tk.no_padding()
-        self.special = [t.content for t in self.tk.get_added_tokens_decoder().values()]
+    def __init__(self, path: str, ranks: str | None = None, as_text: bool = False):
+        self.path, self.as_text = path, as_text     # as_text: special tokens' strings are ordinary text
+        self.special = [] if as_text else special_tokens(path)
         self.fast = None
         if ranks:
             import tiktoken
@@ -234,6 +231,17 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
+    @functools.cached_property
+    def tk(self):
+        """The tokenizer itself, loaded when a word needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        tk = Tokenizer.from_file(self.path)
+        tk.no_truncation()
+        tk.no_padding()
+        tk.encode_special_tokens = self.as_text
+        return tk
+
     def __call__(self, words: list[str]) -> list[list[int]]:
         out, rare, fast = [None] * len(words), [], self.fast
         for k, w in enumerate(words):
@@ -375,7 +383,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                      data[B.ranges(off[far], np.diff(off)[far])], length[r]]
             held.setdefault(int(block[s]), []).append(parts)
             size += sum(x.nbytes for x in parts)
-        if size > 16 * SLICE:
+        if size > 24 * SLICE:
             yield from flush()
             held, size = {}, 0
     yield from flush()
