@@ -39,7 +39,7 @@ END = 2
 ISLAND = 8_000        # pieces of an island
 ROUNDS = 3            # of dealing out; each packs what the last left in poorly filled bins
 POOR = 0.985          # a bin filled less is dissolved before the next round
-CACHE = 400_000       # chunks kept per worker (about 80 MB)
+CACHE = 300_000       # chunks kept per worker (about 60 MB)
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -159,7 +159,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, end
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
             _, off = text_buffers(texts)
-            for i, j in byte_slices(off, 8 << 20):
+            for i, j in byte_slices(off, 2 << 20):
                 rows, ids = ([], [], [], [], []), []
                 for k, x in zip(range(i, j), enc.batch(texts.slice(i, j - i))):
                     x = np.append(x, np.uint32(end)).astype("<u4")
