@@ -12,9 +12,9 @@ and the smallest hashes among all spans of 24 code points (a sample that does no
 ``likeness`` of two: 1 exactly for equal texts (up to 62-bit collisions), else the larger of the common
 prefix and suffix over the longer length and the Dice estimate of the span samples, below 1.
 
-``neighbour_report`` needs each document's successor by id: one range partitioning by
-id, a look-ahead within each sorted partition, and one row per partition
-boundary handed over through a small written table. Texts are shuffled once.
+``neighbour_report`` needs each document's successor by id. Ranges of (id, text hash) are learned from those two
+numbers alone; each range goes to one partition, and its first document also to the partition before it, so that
+every successor is at hand. Texts are shuffled once, and nothing is written.
 """
 
 from __future__ import annotations
@@ -22,17 +22,20 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faresight.llm.common import U64, materialize, mix64, shuffle_parts
+from faresight.llm.common import U64, mix64, shuffle_parts
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244353)
 SPAN = 24
 SAMPLE = 24
 STEPS = 8  # prefix lengths per doubling
+BLOCK = 1 << 18  # code points hashed at a time
+NO_ID = -(1 << 63)  # stands for a null id in the order
 
 
 def _ladder(n: int) -> np.ndarray:
@@ -62,7 +65,7 @@ POWERS = Powers()
 
 
 def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 class PrefixHash:
@@ -98,26 +101,50 @@ class PrefixHash:
         return lo
 
 
+def _smallest(v: np.ndarray) -> np.ndarray:
+    """The SAMPLE smallest distinct values."""
+    if len(v) > 4 * SAMPLE:
+        # they are among the smallest few unless values repeat a lot
+        few = np.unique(np.partition(v, 4 * SAMPLE - 1)[:4 * SAMPLE])
+        return (few if len(few) >= SAMPLE else np.unique(v))[:SAMPLE]
+    return np.unique(v)[:SAMPLE]
+
+
+def _scan(points: np.ndarray, places: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Prefix sums and inverse powers (per prime) at ``places``, and the smallest span hashes, block by block."""
+    n, s = len(points), min(SPAN, len(points))
+    sums = [np.zeros(len(places), U64) for _ in PRIMES]
+    downs = [np.zeros(len(places), U64) for _ in PRIMES]
+    total, small = [0] * len(PRIMES), np.zeros(0, U64)
+    for lo in range(0, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        h = PrefixHash(points[lo:min(n, hi + s - 1)])
+        starts = min(hi, n - s + 1) - lo
+        if starts > 0:
+            small = _smallest(np.concatenate([small, mix64(h.spans(np.arange(starts), s) + U64(0x632BE59BD9B4E019)) >> U64(32)]))
+        here = np.flatnonzero((places >= lo) & ((places < hi) | (places == n) & (hi == n)))
+        for k, (p, b) in enumerate(zip(PRIMES, BASES)):
+            up, down = pow(b, lo, p), pow(b, -lo, p)
+            at = places[here] - lo
+            sums[k][here] = (U64(total[k]) + h.prefix[k][at] % U64(p) * U64(up)) % U64(p)
+            downs[k][here] = POWERS.down[k][at] * U64(down) % U64(p)
+            total[k] = (total[k] + int(h.prefix[k][hi - lo]) % p * up) % p
+    return sums, downs, small
+
+
 def fingerprint(points: np.ndarray) -> str:
     """length.whole.prefixes.suffixes.sample, in hex."""
-    h = PrefixHash(points)
-    steps = _ladder(h.n)
-    low = lambda x: "".join(f"{v:04x}" for v in (mix64(x) & U64(0xFFFF)).tolist())
-    front = low(h.spans(np.zeros(len(steps), np.int64), steps)) if h.n else ""
-    back = low(h.spans(h.n - steps, steps)) if h.n else ""
-    s = min(SPAN, h.n)
-    small = ""
-    if h.n:
-        v = mix64(h.spans(np.arange(h.n - s + 1), s) + U64(0x632BE59BD9B4E019)) >> U64(32)
-        if len(v) > 4 * SAMPLE:
-            # the smallest distinct ones are among the smallest few unless spans repeat a lot
-            few = np.unique(np.partition(v, 4 * SAMPLE - 1)[:4 * SAMPLE])
-            v = few if len(few) >= SAMPLE else np.unique(v)
-        else:
-            v = np.unique(v)
-        small = "".join(f"{x:08x}" for x in v[:SAMPLE].tolist())
-    whole = int(h.spans(0, h.n)) if h.n else 0
-    return f"{h.n:x}.{whole:016x}.{front}.{back}.{small}"
+    n = len(points)
+    if not n:
+        return f"0.{0:016x}..."
+    steps = _ladder(n)
+    m = len(steps)
+    sums, downs, small = _scan(points, np.concatenate([steps, n - steps, [n]]))
+    front = [x[:m] for x in sums]
+    back = [(x[-1] + U64(p) - x[m:-1]) % U64(p) * d[m:-1] % U64(p) for x, d, p in zip(sums, downs, PRIMES)]
+    low = lambda x: "".join(f"{v:04x}" for v in (mix64(x[0] << U64(31) | x[1]) & U64(0xFFFF)).tolist())
+    whole = int(sums[0][-1]) << 31 | int(sums[1][-1])
+    return f"{n:x}.{whole:016x}.{low(front)}.{low(back)}.{''.join(f'{x:08x}' for x in small.tolist())}"
 
 
 def likeness(a: str, b: str) -> float:
@@ -154,10 +181,9 @@ def edited(text: str, following: str) -> str:
 
 
 class _Rows:
-    NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
-             "pid", "role", "text"]
     SCHEMA = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-              "near_edited double, near_next double, pid int, role string, text string")
+              "near_edited double, near_next double")
+    TYPES = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
 
     def __init__(self):
         self.rows = []
@@ -166,65 +192,65 @@ class _Rows:
         e = edited(one[1], two[1])
         fe = fingerprint(code_points(e))
         sha = hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest()
-        self.rows.append((one[0], len(one[1]), sha, one[2], fe, likeness(one[2], fe), likeness(one[2], two[2]),
-                          None, "done", None))
+        self.rows.append((one[0], len(one[1]), sha, one[2], fe, likeness(one[2], fe), likeness(one[2], two[2])))
 
-    def edge(self, one, pid, role):
-        self.rows.append((one[0], len(one[1]), None, one[2], None, None, None, pid, role, one[1]))
-
-    def flush(self, ids):
-        types = [ids, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
-        b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.rows), types)], names=self.NAMES)
+    def flush(self):
+        names = [x.split(" ")[0] for x in self.SCHEMA.split(", ")]
+        b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.rows), self.TYPES)], names=names)
         self.rows = []
         return b
 
 
+def _ranges(keys: DataFrame) -> np.ndarray:
+    """The first (k, h) of each range, ascending: at most one per shuffle partition, so its size is the setting's."""
+    parts = max(shuffle_parts(keys.sparkSession), 1)
+    first = (keys.repartitionByRange(parts, "k", "h").groupBy(F.spark_partition_id().alias("pid"))
+             .agg(F.min(F.struct("k", "h")).alias("first")).select("first.*").collect())
+    return np.array(sorted((r["k"], r["h"]) for r in first), dtype=[("k", "i8"), ("h", "i8")])
+
+
 def neighbour_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row.
 
-    A null text counts as empty. The successor is the next row by doc_id (rows of equal id by text), the last
-    row's the first one; a single row follows itself. An empty table gives an empty result.
+    A null text counts as empty. The successor is the next row by doc_id (null ids first, rows of equal id by a hash of
+    their text), the last row's the first one; a single row follows itself. Rows equal in both follow each other and
+    share a partition. Very long texts are hashed in blocks. An empty table gives an empty result.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(shuffle_parts(docs.sparkSession), 1)
-    d = (d.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-         .withColumn("pid", F.spark_partition_id()))
+    d = d.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint").alias("k"), F.xxhash64("text").alias("h"))
+    first = _ranges(d.select("k", "h"))
+    n = max(1, len(first))
+
+    @F.pandas_udf("int")
+    def target(k: pd.Series, h: pd.Series) -> pd.Series:
+        """2 * range, plus 1 for the first row of a range."""
+        at = np.zeros(len(k), first.dtype)
+        at["k"], at["h"] = k.to_numpy(), h.to_numpy()
+        pid = np.searchsorted(first, at, side="right") - 1
+        return pd.Series((2 * pid + (first[pid] == at)).astype(np.int32))
+
+    t = F.col("t")
+    pid = (t / 2).cast("int")
+    own = F.struct(pid.alias("pid"), F.lit(0).alias("next"))
+    copy = F.struct(((pid + (n - 1)) % n).alias("pid"), F.lit(1).alias("next"))
+    d = (d.withColumn("t", target("k", "h"))
+         .select("doc_id", "text", "k", "h", F.inline(F.when(t % 2 == 0, F.array(own)).otherwise(F.array(own, copy))))
+         .repartitionById(n, F.col("pid")).sortWithinPartitions("next", "k", "h").select("doc_id", "text", "next"))
 
     def run(batches):
-        out, last, pid = _Rows(), None, 0
+        out, last = _Rows(), None
         for b in batches:
-            pids = b.column(2)
-            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            for k in range(b.num_rows):
+                i, t, copied = (c[k].as_py() for c in b.columns)
+                if copied and last is None:
+                    continue  # the successor is known already
                 now = (i, t, fingerprint(code_points(t)))
-                pid = pids[0].as_py()
-                if last is None:
-                    out.edge(now, pid, "first")
-                else:
+                if last is not None:
                     out.done(last, now)
-                last = now
+                last = None if copied else now
                 if len(out.rows) >= 2000:
-                    yield out.flush(pa.int64())
-        if last is not None:
-            out.edge(last, pid, "last")
-            yield out.flush(pa.int64())
-
-    got = materialize(d.mapInArrow(run, _Rows.SCHEMA), "fingerprints")
-    # one first and one last row per partition; the last of one is followed by the first of the next
-    order = Window.orderBy("pid")
-    first = got.where("role = 'first'").withColumn("k", F.row_number().over(order))
-    last = got.where("role = 'last'").withColumn("k", F.row_number().over(order))
-    n = F.max("k").over(Window.partitionBy())
-    last = last.withColumn("k", F.col("k") % n + 1)
-    pair = last.select("doc_id", "text", "fingerprint", "k").join(
-        first.select("k", F.col("text").alias("t2"), F.col("fingerprint").alias("f2")), "k")
-
-    def close(batches):
-        for b in batches:
-            out = _Rows()
-            for i, t, f, t2, f2 in zip(*(c.to_pylist() for c in b.columns)):
-                out.done((i, t, f), (None, t2, f2))
-            if out.rows:
-                yield out.flush(pa.int64())
-
-    ends = pair.select("doc_id", "text", "fingerprint", "t2", "f2").mapInArrow(close, _Rows.SCHEMA)
-    return got.where("role = 'done'").unionByName(ends).drop("pid", "role", "text")
+                    yield out.flush()
+        if out.rows:
+            yield out.flush()
+
+    return d.mapInArrow(run, _Rows.SCHEMA)
