@@ -1,4 +1,4 @@
-"""Removal of repeated byte spans by sorted windows (no longest-previous-factor array is computed).
+"""Removal of repeated byte spans by windows split by context (no longest-previous-factor array is computed).
 
 A byte goes if a string of ``SPAN`` bytes that covers it also starts anywhere else in
 the corpus, so all copies go. A suffix array of the whole
@@ -10,11 +10,12 @@ corpus is not built in one place; equal windows of SPAN bytes are brought togeth
    A run is (gram hash, content hash, place) - a few numbers, no text.
 2. Grams that occur once are dropped (most). Of the others, runs of equal content repeat as a whole.
 3. What is left are runs that share a gram but differ somewhere. One run per distinct content is
-   read (texts joined in by doc_id, once) and the contents of a gram are compared
-   exactly: the windows of SPAN bytes at their starts are sorted, and a neighbour that is equal is an
-   earlier match or a later one. Whether a longest previous factor reaches SPAN is all that is needed.
-   Grams of more than ``CROWD`` distinct contents are not gathered: their windows
-   are counted by 128-bit hash instead, which splits them over all tasks, exactly.
+   read (texts joined in by doc_id, once). Equal windows hold the gram at the same distance from their start, so
+   the windows of a content are cut into blocks of 64 neighbouring distances. All windows of a block share its core (137 bytes
+   or more): a core that only one kind of block has cannot repeat and goes. Blocks that are equal in all
+   their bytes repeat as a whole; one of them goes on as a partner. What is left is cut into blocks of 16, then 4, then
+   single windows, whose core is the window. This is one way for groups of any size: a gram in a third of all documents
+   is split by its surroundings, its rows meet as counts by hash only, and a content has about one open block per edge of a repeat.
 4. Windows found repeated become byte intervals per document, merged and cut out of the text.
 
 Groups are only ever counted by partial aggregation; copies collapse to
@@ -36,7 +37,8 @@ from faresight.llm.common import U64, byte_slices, materialize, mix64, text_buff
 
 SPAN = 200
 GRAM = 40
-CROWD = 1_000
+SLICE = 1 << 19  # bytes hashed at a time
+WIDTHS = (64, 16, 4, 1)  # gram distances per block, round by round
 NO_ID = -(1 << 63)  # stands for a null id inside
 
 _BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -108,6 +110,17 @@ def runs(data: np.ndarray, off: np.ndarray, span: int = SPAN, gram: int = GRAM):
     return text[first], lo - off[text[first]], n, g[at], c, at - lo
 
 
+def _pieces(off: np.ndarray, limit: int, span: int):
+    """(first row, end row, start, end) of slices; a text over ``limit`` bytes in pieces that overlap by span - 1 bytes."""
+    for i, j in byte_slices(off, limit):
+        size = int(off[j] - off[i])
+        if size <= limit:
+            yield i, j, 0, None
+        else:
+            for p in range(0, max(1, size - span + 1), limit):
+                yield i, j, p, min(size, p + limit + span - 1)
+
+
 def _files(docs: DataFrame, span: int, gram: int) -> DataFrame:
     """One row per run: doc_id, digest, lo, n (windows), g (gram hash), c (content hash), at (the gram's place)."""
     names = ["doc_id", "digest", "lo", "n", "g", "c", "at"]
@@ -115,9 +128,11 @@ def _files(docs: DataFrame, span: int, gram: int) -> DataFrame:
     def run(batches):
         for b in batches:
             data, off = text_buffers(b.column(2))
-            for i, j in byte_slices(off, 1 << 19):
-                text, lo, n, g, c, at = runs(data[off[i]:off[j]], off[i:j + 1] - off[i], span, gram)
+            for i, j, p, q in _pieces(off, SLICE, span):
+                inner = off[i:j + 1] - off[i] if q is None else np.array([0, q - p])
+                text, lo, n, g, c, at = runs(data[off[i]:off[j]][p:q], inner, span, gram)
                 if len(text):
+                    lo = lo + p
                     rows = pa.array(text + i)
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).take(rows), b.column(1).take(rows), pa.array(lo.astype(np.int32)),
@@ -127,38 +142,70 @@ def _files(docs: DataFrame, span: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, digest bigint, lo int, n int, g bigint, c bigint, at smallint")
 
 
-def factor_flags(contents: list[bytes], places: list[int], groups: list[int], span: int = SPAN) -> tuple[list, list]:
-    """Per content, for each window start: (an earlier equal window, a later equal one), by suffix order.
+def blocks(width: int, span: int = SPAN, gram: int = GRAM):
+    """Arrow function: contents with stretches of window starts in, blocks of ``width`` gram distances out.
+
+    In: g, c, at, content, parts (stretches [a, b) of starts, alive). Out: g, c, a, b, alive, core (hash of the bytes
+    that all windows of the block share), u1 and u2 (128-bit hash of all bytes of the windows at hand).
+    """
+    names = ["g", "c", "a", "b", "alive", "core", "u1", "u2"]
+
+    def run(batches):
+        for batch in batches:
+            data, off = text_buffers(batch.column(3))
+            at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            parts = batch.column(4)
+            for i, j in byte_slices(off, 1 << 19):
+                lists = parts.slice(i, j - i)
+                flat = lists.flatten()
+                row = np.repeat(np.arange(i, j), lists.value_lengths().to_numpy(zero_copy_only=False))
+                a, b = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+                alive = flat.field(2).to_numpy(zero_copy_only=False).astype(bool)
+                near, far = at[row] - b + 1, at[row] - a  # smallest and largest distance to the gram
+                n = far // width - near // width + 1
+                up = np.repeat(np.arange(len(row)), n)
+                k = np.arange(len(up)) - np.repeat(np.cumsum(n) - n, n) + (near // width)[up]
+                lo, hi = k * width, np.minimum(k * width + width - 1, span - gram)
+                near, far, row = np.maximum(near[up], lo), np.minimum(far[up], hi), row[up]
+                h = _Hash(data[off[i]:off[j]], 2)
+                zero = off[row] - off[i] + at[row]
+                core = h.spans(zero - lo, span - (hi - lo)) ^ mix64((lo + 1).astype(U64))
+                mark = mix64((near * 1024 + far + 1).astype(U64))
+                u = [h.spans(zero - far, span + far - near, x) ^ mark for x in (0, 1)]
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at[row] - far).astype(np.int32)),
+                     pa.array((at[row] - near + 1).astype(np.int32)), pa.array(alive[up]), pa.array(core.view(np.int64)),
+                     *(pa.array(x.view(np.int64)) for x in u)], names=names)
+
+    return run
+
+
+BLOCKS = "g bigint, c bigint, a int, b int, alive boolean, core bigint, u1 bigint, u2 bigint"
+
+
+def shared_windows(contents: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """(g, c, a, b): stretches of window starts, of contents with ``once``, that also stand in another content.
 
-    Suffixes are sorted to a depth of ``span`` bytes, ties by position, so the previous smaller position
-    with which a suffix shares at least ``span`` bytes is its neighbour before it in that order, and the next
-    smaller position the one after it. Only contents of one group (one gram) are compared, and only windows at
-    the same distance from the gram can be equal; the sort key starts with both.
+    ``contents``: g, c, at, content, once; distinct in (g, c).
     """
-    starts = np.array([max(0, len(c) - span + 1) for c in contents])
-    begin = np.cumsum(starts) - starts
-    total = int(starts.sum())
-    width = span + 8
-    keys = np.zeros((total, width), np.uint8)
-    for c, n, at in zip(contents, starts, begin):
-        keys[at:at + n, 8:] = np.lib.stride_tricks.sliding_window_view(np.frombuffer(c, np.uint8), span)[:n]
-    inside = np.arange(total) - np.repeat(begin, starts)
-    head = (np.repeat(np.array(groups, np.int64), starts) << 32) | (np.repeat(np.array(places, np.int64), starts) - inside + (1 << 24))
-    keys[:, :8] = head.astype(">u8").view(np.uint8).reshape(total, 8)
-    order = np.argsort(keys.view(f"V{width}").ravel(), kind="stable")
-    same = np.zeros(max(0, total - 1), bool)
-    for k in range(0, total - 1, 100_000):
-        part = keys[order[k:k + 100_001]]
-        same[k:k + 100_000] = (part[1:] == part[:-1]).all(axis=1)
-    earlier, later = np.zeros(total, bool), np.zeros(total, bool)
-    earlier[order[1:]] = same
-    later[order[:-1]] = same
-    return np.split(earlier, begin[1:]), np.split(later, begin[1:])
-
-
-def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+    texts = contents.select("g", "c", "at", "content")
+    n = (F.octet_length("content") - (span - 1)).cast("int")
+    asked = contents.select("g", "c", "at", "content", F.array(F.struct(F.lit(0).alias("a"), n.alias("b"), F.col("once").alias("alive")))
+                            .alias("parts"))
+    union, found = ["core", "u1", "u2"], None
+    for width in WIDTHS:
+        rows = materialize(asked.mapInArrow(blocks(width, span, gram), BLOCKS), "span-blocks")
+        kinds = materialize(rows.groupBy(*union).agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("g", "c", "a", "b", "alive")).alias("r")),
+                            "span-unions")
+        hits = rows.where("alive").join(kinds.where("m > 1").select(*union), union, "left_semi").select("g", "c", "a", "b")
+        found = hits if found is None else found.unionByName(hits)
+        if width > 1:
+            shared = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("v")).where("v > 1").select("core")
+            left = kinds.join(shared, "core", "left_semi").select(
+                "r.g", "r.c", F.struct("r.a", "r.b", (F.col("r.alive") & (F.col("m") == 1)).alias("alive")).alias("part"))
+            asked = texts.join(left.groupBy("g", "c").agg(F.collect_list("part").alias("parts")), ["g", "c"])
+    return found
 
 
 def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -175,78 +222,35 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Dat
     whole = kinds.where("k > 1").select("g", "c")
     # one run of each distinct content of a gram that has several
     differ = (kinds.join(many.where("v > 1"), "g")
-              .select("g", "c", "k", "v", "r.doc_id", "r.digest", "r.lo", "r.n", "r.at"))
+              .select("g", "c", "k", "r.doc_id", "r.digest", "r.lo", "r.n", "r.at"))
     asked = (differ.groupBy("doc_id", "digest")
-             .agg(F.collect_list(F.struct("g", "c", "k", "v", "lo", "n", "at")).alias("asked")))
+             .agg(F.collect_list(F.struct("g", "c", "k", "lo", "n", "at")).alias("asked")))
 
     def read(batches):
         for b in batches:
             rows = []
             for text, asked_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = text.encode("utf-8", "surrogatepass")
-                rows += [(x["g"], x["c"], x["k"], x["v"], x["at"], raw[x["lo"]:x["lo"] + x["n"] + span - 1]) for x in asked_]
+                rows += [(x["g"], x["c"], x["k"], x["at"], raw[x["lo"]:x["lo"] + x["n"] + span - 1]) for x in asked_]
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())],
-                    names=["g", "c", "k", "v", "at", "content"])
+                    [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())],
+                    names=["g", "c", "k", "at", "content"])
 
     joined = docs.join(asked.hint("shuffle_hash"), ["doc_id", "digest"]).select("text", "asked")
     # equal rows (id and digest) read the same content twice: one is enough
-    contents = materialize(joined.mapInArrow(read, "g bigint, c bigint, k bigint, v bigint, at bigint, content binary")
+    contents = materialize(joined.mapInArrow(read, "g bigint, c bigint, k bigint, at bigint, content binary")
                            .dropDuplicates(["g", "c"]), "span-contents")
 
-    def compare(batches):
-        # sorted by gram: chunks of many grams are compared at once, each gram whole in one chunk
-        held, size = [], 0
-
-        def flush():
-            g, c, at, raw, k = (list(x) for x in zip(*held))
-            number = np.cumsum(np.concatenate([[0], np.array(g[1:]) != np.array(g[:-1])])).tolist()
-            earlier, later = factor_flags(raw, at, number, span)
-            # contents that occur more than once repeat as a whole anyway
-            rows = [(x, y, *zip(*s)) for x, y, e, l, n in zip(g, c, earlier, later, k) if n == 1 and (s := _stretches(e | l))]
-            cols = list(zip(*rows)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:2]),
-                                               *(pa.array(x, pa.list_(pa.int32())) for x in cols[2:])], names=["g", "c", "a", "b"])
-
-        for b in batches:
-            for row in zip(*(x.to_pylist() for x in b.columns)):
-                if size > 150_000 and held[-1][0] != row[0]:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3]) - span + 1
-        if held:
-            yield flush()
-
-    part = "g bigint, c bigint, a array<int>, b array<int>"
-    small = (contents.where(F.col("v") <= CROWD).select("g", "c", "at", "content", "k")
-             .repartition("g").sortWithinPartitions("g", "c").mapInArrow(compare, part))
-
-    def windows(batches):
-        for b in batches:
-            for g, c, k, content in zip(*(x.to_pylist() for x in b.columns)):
-                raw = np.frombuffer(content, np.uint8)
-                n = len(raw) - span + 1
-                h = _Hash(raw, 2)
-                s = np.arange(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, g)), pa.array(np.full(n, c)), pa.array(s.astype(np.int32)),
-                     pa.array(h.spans(s, span).view(np.int64)), pa.array(h.spans(s, span, 1).view(np.int64)),
-                     pa.array(np.full(n, k))], names=["g", "c", "a", "h1", "h2", "k"])
-
-    each = contents.where(F.col("v") > CROWD).select("g", "c", "k", "content").mapInArrow(
-        windows, "g bigint, c bigint, a int, h1 bigint, h2 bigint, k bigint")
-    twice = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h1", "h2")
-    large = (each.where("k = 1").join(twice, ["h1", "h2"], "left_semi").groupBy("g", "c")
-             .agg(F.collect_set("a").alias("a")).select("g", "c", "a", F.transform("a", lambda x: x + 1).alias("b")))
-    partly = materialize(small.unionByName(large), "span-parts")
+    # contents that occur more than once repeat as a whole anyway, and only serve as partners
+    parts = shared_windows(contents.withColumn("once", F.col("k") == 1), span, gram)
+    partly = materialize(parts.groupBy("g", "c").agg(F.collect_list(F.struct("a", "b")).alias("s")), "span-parts")
     lo = F.col("lo")
     return (cand.join(whole, ["g", "c"], "left_semi")
             .select("doc_id", "digest", F.array(F.struct(lo.alias("a"), (lo + F.col("n")).alias("b"))).alias("hits"))
             .unionByName(cand.join(partly, ["g", "c"]).select(
-                "doc_id", "digest", F.transform(F.arrays_zip("a", "b"), lambda x: F.struct(
+                "doc_id", "digest", F.transform("s", lambda x: F.struct(
                     (lo + x["a"]).alias("a"), (lo + x["b"]).alias("b"))).alias("hits"))))
 
 

@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +142,52 @@ def test_op2_fingerprints_and_extensions():
     assert fingerprints.likeness(f(a), f(b)) < 0.1 and fingerprints.likeness(f(""), f("")) == 1.0
 
 
+def test_op2_blocks_give_the_same_fingerprint(monkeypatch):
+    texts = [_words(1, 900), "x" * 5000, "ab" * 64, "é" * 129, "", "q", _words(7, 25)]
+    whole = [fingerprints.fingerprint(fingerprints.code_points(t)) for t in texts]
+    for block in (64, 37):
+        monkeypatch.setattr(fingerprints, "BLOCK", block)
+        assert whole == [fingerprints.fingerprint(fingerprints.code_points(t)) for t in texts]
+
+
+def test_op2_likeness_follows_common_extensions(docs):
+    # the estimate from fingerprints against the exact longest common prefix and suffix
+    texts = [t or "" for _, t, *_ in _rows()]
+    for a, b in zip(texts, texts[1:] + texts[:1]):
+        for x, y in ((a, b), (a, fingerprints.edited(a, b))):
+            p, q = (fingerprints.code_points(t) for t in (x, y))
+            near = fingerprints.likeness(fingerprints.fingerprint(p), fingerprints.fingerprint(q))
+            if x == y or not x or not y:
+                assert near == float(x == y)
+                continue
+            h, r = fingerprints.PrefixHash, slice(None, None, -1)
+            least = h(p).extension(0, h(q), 0), h(p[r].copy()).extension(0, h(q[r].copy()), 0)
+            exact = min(len(x), len(y), sum(least)) / max(len(x), len(y))
+            assert 0 <= near < 1 and near >= 0.9 * exact - 0.01
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_op2_near_columns_and_successors(spark, docs, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        distinct = {i: t or "" for i, t, *_ in _rows() if i is not None}
+        d = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+        got = {r.doc_id: r for r in fingerprints.neighbour_report(d).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    ids = sorted(distinct)
+    f = lambda t: fingerprints.fingerprint(fingerprints.code_points(t))
+    assert sorted(got) == ids
+    for i, j in zip(ids, ids[1:] + ids[:1]):
+        e = fingerprints.edited(distinct[i], distinct[j])
+        r = got[i]
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(distinct[i]), f(distinct[i]), f(e))
+        assert r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+        assert r.near_edited == fingerprints.likeness(f(distinct[i]), f(e))
+        assert r.near_next == fingerprints.likeness(f(distinct[i]), f(distinct[j]))
+
+
 def test_op3_pieces_and_packing(docs):
     from tokenizers import Tokenizer
     import numpy as np
@@ -193,9 +241,7 @@ def _cut(texts, span):
     return out
 
 
-@pytest.mark.parametrize("crowd", [1000, 1])
-def test_op4_removes_repeats(docs, crowd, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+def test_op4_removes_repeats(docs):
     rows = [(i, (t or "").encode()) for i, t, *_ in _rows()]
     want = collections.defaultdict(list)
     for (i, _), r in zip(rows, _cut([t for _, t in rows], 200)):
@@ -204,6 +250,57 @@ def test_op4_removes_repeats(docs, crowd, monkeypatch):
     assert got == {k: sorted(v, key=repr) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("copies", [1, 2, 40, 1500])
+def test_op4_shared_passages_of_every_length(spark, copies):
+    # passages around 200 bytes between texts of their own: groups of contents that share a gram and differ beside it
+    rng = random.Random(copies)
+    own = lambda n: bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz     ", k=n))
+    lengths = (120, 150, 198, 199, 200, 201, 215, 330) if copies < 100 else (190, 201)
+    shared = [own(n) for n in lengths]
+    texts = [own(30) + p + own(40) + own(rng.randrange(3)) for p in shared for _ in range(copies)]
+    texts += [own(400) + shared[-1][3:] + shared[0], b"xy" * 260]
+    d = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    got = by_id(suffix_dedup.remove_repeats(d), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == {k: [r] for k, r in enumerate(_cut(texts, 200))}
+
+
+def test_op4_work_grows_with_the_group_not_with_its_square(spark):
+    # every content is cut into the same few blocks whatever the size of its group
+    rng = random.Random(3)
+    own = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    line = own(180)
+    filed = []
+    for n in (50, 1000):
+        d = spark.createDataFrame([(k, own(60) + line + own(60)) for k in range(n)], "doc_id bigint, text string")
+        rows = [(1, k, 80, (r.text).encode(), True) for k, r in enumerate(d.collect())]
+        c = spark.createDataFrame(rows, "g bigint, c bigint, at bigint, content binary, once boolean")
+        whole = c.select("g", "c", "at", "content", F.expr("array(struct(0 as a, 81 as b, true as alive))"))
+        filed.append(whole.mapInArrow(suffix_dedup.blocks(64), suffix_dedup.BLOCKS).count() / n)
+        assert suffix_dedup.shared_windows(c).count() == 0
+    assert filed[0] == filed[1] <= 3
+
+
+def test_op4_long_texts_in_pieces(spark, monkeypatch):
+    rng = random.Random(5)
+    own = lambda n: bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz     ", k=n))
+    p, q = own(900), own(230)
+    texts = [own(3000) + p + own(1500) + q + own(700), own(10) + p + own(20), q + own(5000) + p, own(100)]
+    monkeypatch.setattr(suffix_dedup, "SLICE", 1000)
+    pieces = list(suffix_dedup._pieces(np.array([0, 100, 5000, 5100]), 1000, 200))
+    assert pieces[0] == (0, 1, 0, None) and pieces[1] == (1, 2, 0, 1199) and pieces[-1] == (2, 3, 0, None)
+    found = []
+    off = np.cumsum([0] + [len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    for i, j, a, b in suffix_dedup._pieces(off, 1000, 200):
+        inner = off[i:j + 1] - off[i] if b is None else np.array([0, b - a])
+        text, lo, n, *_ = suffix_dedup.runs(data[off[i]:off[j]][a:b], inner)
+        found += [(i + t, x + a + k) for t, x, m in zip(text, lo, n) for k in range(m)]
+    assert sorted(found) == [(i, k) for i, t in enumerate(texts) for k in range(max(0, len(t) - 199))]
+    d = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = by_id(suffix_dedup.remove_repeats(d), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == {k: [r] for k, r in enumerate(_cut(texts, 200))}
+
+
 def test_op5_mix(docs):
     got = mixing.mix(docs).collect()
     size = expect(lambda t: (len(WORD.findall(t)),))
