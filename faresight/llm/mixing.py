@@ -101,10 +101,13 @@ def repeat_by_plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """``docs`` with each row as often as the mix takes it: whole repetitions, then the fractional one.
 
     A document cut by the fraction comes with its first words (joined by
-    blanks) and its own n_chars. Columns stay (names that start with an underscore are reserved). Texts are not shuffled: whole
+    blanks) and its own n_chars. Columns stay, whatever the others are named. Texts are not shuffled: whole
     repetitions and buckets clear of the cut follow from the source alone; only the bucket at
     each source's cut (about 1 row in 4,096) is ranked.
     """
+    given = docs.columns
+    read = ("doc_id", "text", "source", "n_chars")  # the others get names that cannot clash with the added ones
+    docs = docs.toDF(*[c if c in read else f"c{i}" for i, c in enumerate(given)])
     base = _sizes(docs, seed)
     sources, buckets = _cuts(base)
     at_cut = materialize(buckets.where("below < rest and rest < below + bucket_size"), "mix-cuts")
@@ -140,7 +143,7 @@ def repeat_by_plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.when(short, F.length("text").cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))
-    return whole.unionByName(got.select(*docs.columns))
+    return whole.unionByName(got.select(*docs.columns)).toDF(*given)
 
 
 MIX_SQL = """

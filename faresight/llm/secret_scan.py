@@ -113,7 +113,10 @@ _SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` (rule spans) and ``_all`` (all spans): array<struct<s,k,e>> by start, then kind."""
+    """``docs`` with ``_base`` (rule spans) and ``_all`` (all spans): array<struct<s,k,e>> by start, then kind.
+
+    Names of ``docs`` that start with an underscore are reserved; ``redact`` and ``scan`` take any.
+    """
     t = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast(_SPAN)
     d = docs.withColumn("_t", t).withColumn("_m", _masked(F.col("_t")))
@@ -153,9 +156,12 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mark`` (overlapping spans by one); all rows and columns stay.
 
-    ``n_chars``, where there is one, follows the new text.
+    ``n_chars``, where there is one, follows the new text. Null and empty texts, repeated rows and rows without
+    a span come out as they are, an empty table empty; other columns may have any names.
     """
-    d = with_spans(docs)
+    read = ("text", "n_chars")  # the others get names that cannot clash with the added ones
+    names = [c if c in read else f"c{i}" for i, c in enumerate(docs.columns)]
+    d = with_spans(docs.toDF(*names))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
@@ -170,4 +176,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         d = d.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return d.select(*docs.columns)
+    return d.select(*names).toDF(*docs.columns)
