@@ -9,9 +9,9 @@ it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +20,40 @@ from faresight.schema import DISTANCE_COLUMNS, FREQ_ENCODED_COLUMNS, MIN_CIRCUIT
 INT32_MIN, INT32_MAX = -(2 ** 31), 2 ** 31
 
 
-def _count_if(cond) -> F.Column:
-    return F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("bigint")
+def _count_if(cond, rows) -> F.Column:
+    return F.coalesce(F.sum(F.when(cond, rows).otherwise(F.lit(0))), F.lit(0)).cast("bigint")
+
+
+def _counters(cols: set, rows: F.Column, target: str, distance_cols: Sequence[str], circuity: str,
+              min_circuity: float) -> list[F.Column]:
+    """The counting checks as aggregates, where one row stands for ``rows`` rows; checks without their column count 0."""
+    t = F.col(target) if target in cols else F.lit(0.5)
+    c = F.col(circuity) if circuity in cols else F.lit(min_circuity)
+    return [F.coalesce(F.sum(rows), F.lit(0)).cast("bigint").alias("total_rows"),
+            _count_if(t < 0, rows).alias("negative_fares"), _count_if(t == 0, rows).alias("zero_fares"),
+            _count_if(t.isNull(), rows).alias("missing_target"),
+            *[_count_if(F.col(d) < 0, rows).alias(f"_neg_{d}") for d in distance_cols if d in cols],
+            _count_if(c < min_circuity, rows).alias("impossible_circuity")]
+
+
+def _record(rec: DataFrame, target: str, circuity: str) -> DataFrame:
+    """The validation record of one row of counters (with ``n_distinct``)."""
+    far = [c for c in rec.columns if c.startswith("_neg_")]
+    total = F.lit(0).cast("bigint")
+    for c in far:
+        total = total + F.col(c)
+    rec = (rec.withColumn("negative_distances", total.cast("bigint"))
+              .withColumn("duplicate_rows", (F.col("total_rows") - F.col("n_distinct")).cast("bigint")))
+    checks = [("negative_fares", f"rows with negative {target}"), ("zero_fares", f"rows with zero {target}"),
+              ("missing_target", f"rows with missing {target}"),
+              *[(c, f"rows with negative {c[len('_neg_'):]}") for c in far],
+              ("impossible_circuity", f"rows with impossibly low {circuity}"), ("duplicate_rows", "duplicate rows")]
+    issues = [F.when(F.col(c) > 0, F.format_string(f"%d {text}", F.col(c))) for c, text in checks]
+    rec = rec.withColumn("issues", F.filter(F.array(*issues), lambda x: x.isNotNull()))
+    rec = rec.withColumn("is_clean", F.size("issues") == 0)
+    return rec.select("total_rows", "negative_fares", "zero_fares", "missing_target",
+                      "negative_distances", "impossible_circuity", "duplicate_rows",
+                      "issues", "is_clean")
 
 
 def validate(df: DataFrame, target: str = TARGET, distance_cols: Sequence[str] = DISTANCE_COLUMNS,
@@ -33,43 +65,40 @@ def validate(df: DataFrame, target: str = TARGET, distance_cols: Sequence[str] =
     duplicate_rows, issues (array<string>, in check order), is_clean.
     Checks whose column is absent count 0 and add no issue.
     """
-    cols = set(df.columns)
-    zero = F.lit(0).cast("bigint")
-    aggs = [F.count(F.lit(1)).alias("total_rows")]
-    has_t = target in cols
-    aggs.append(_count_if(F.col(target) < 0).alias("negative_fares") if has_t else zero.alias("negative_fares"))
-    aggs.append(_count_if(F.col(target) == 0).alias("zero_fares") if has_t else zero.alias("zero_fares"))
-    aggs.append(_count_if(F.col(target).isNull()).alias("missing_target") if has_t else zero.alias("missing_target"))
-    dist_present = [c for c in distance_cols if c in cols]
-    for c in dist_present:
-        aggs.append(_count_if(F.col(c) < 0).alias(f"_neg_{c}"))
-    aggs.append(_count_if(F.col(circuity) < min_circuity).alias("impossible_circuity")
-                if circuity in cols else zero.alias("impossible_circuity"))
     n_distinct = df.distinct().select(F.count(F.lit(1))).scalar()
-    rec = df.agg(*aggs)
-    neg_total = zero
-    for c in dist_present:
-        neg_total = neg_total + F.col(f"_neg_{c}")
-    rec = rec.withColumn("negative_distances", neg_total.cast("bigint")) \
-             .withColumn("duplicate_rows", (F.col("total_rows") - n_distinct).cast("bigint"))
-
-    def issue(count_col: str, text: str) -> F.Column:
-        return F.when(F.col(count_col) > 0, F.format_string(f"%d {text}", F.col(count_col)))
-
-    issues = []
-    if has_t:
-        issues += [issue("negative_fares", f"rows with negative {target}"),
-                   issue("zero_fares", f"rows with zero {target}"),
-                   issue("missing_target", f"rows with missing {target}")]
-    issues += [issue(f"_neg_{c}", f"rows with negative {c}") for c in dist_present]
-    if circuity in cols:
-        issues.append(issue("impossible_circuity", f"rows with impossibly low {circuity}"))
-    issues.append(issue("duplicate_rows", "duplicate rows"))
-    rec = rec.withColumn("issues", F.filter(F.array(*issues), lambda x: x.isNotNull()))
-    rec = rec.withColumn("is_clean", F.size("issues") == 0)
-    return rec.select("total_rows", "negative_fares", "zero_fares", "missing_target",
-                      "negative_distances", "impossible_circuity", "duplicate_rows",
-                      "issues", "is_clean")
+    rec = df.agg(*_counters(set(df.columns), F.lit(1), target, distance_cols, circuity, min_circuity))
+    return _record(rec.withColumn("n_distinct", n_distinct), target, circuity)
+
+
+def clean_and_validate(df: DataFrame, write: Callable[[DataFrame], None], target: str = TARGET,
+                       drop_freq_encoded: bool = True, distance_cols: Sequence[str] = DISTANCE_COLUMNS,
+                       circuity: str = "Circuity", min_circuity: float = MIN_CIRCUITY) -> DataFrame:
+    """Hand the cleaned rows (not narrowed) to ``write``, which runs one job, and return the record of ``validate(df)``.
+
+    The input is read once: rows are grouped by the columns that stay, with
+    their number and that of the distinct whole rows among them, and the checks are
+    observed on those groups. They are observed behind the last shuffle, in the stage that writes, whose
+    tasks Spark counts once each, also after executors were lost.
+    """
+    stay = drop_columns(df, FREQ_ENCODED_COLUMNS if drop_freq_encoded else [])
+    gone = [F.col(c) for c in df.columns if c not in stay.columns]
+    copies, whole = (_free(name, df.columns) for name in ("copies", "whole"))
+    groups = stay.columns
+    counted = df.groupBy(*groups).agg(F.count(F.lit(1)).alias(copies),
+                                      (F.count_distinct(F.struct(*gone)) if gone else F.lit(1).cast("bigint")).alias(whole))
+    seen = Observation()
+    counted = counted.observe(seen, *_counters(set(groups), F.col(copies), target, distance_cols, circuity, min_circuity),
+                              F.coalesce(F.sum(whole), F.lit(0)).alias("n_distinct"))
+    write(_valid(counted, target, distance_cols).select(*groups))
+    got = seen.get
+    schema = T.StructType([T.StructField(k, T.LongType()) for k in got])
+    return _record(df.sparkSession.createDataFrame([tuple(got.values())], schema), target, circuity)
+
+
+def _free(name: str, taken: Sequence[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -117,15 +146,19 @@ def clean(df: DataFrame, target: str = TARGET, drop_freq_encoded: bool = True,
     narrow numeric types."""
     to_drop = (list(FREQ_ENCODED_COLUMNS) if drop_freq_encoded else []) + list(extra_drop or [])
     out = drop_columns(df, to_drop)
-    if target in out.columns:
-        out = out.filter(F.col(target).isNotNull() & (F.col(target) > 0))
-    for c in distance_cols:
-        if c in out.columns:
-            out = out.filter(F.col(c) >= 0)
-    out = out.distinct()
+    out = _valid(out, target, distance_cols).distinct()
     return downcast(out) if narrow else out
 
 
+def _valid(df: DataFrame, target: str, distance_cols: Sequence[str]) -> DataFrame:
+    if target in df.columns:
+        df = df.filter(F.col(target).isNotNull() & (F.col(target) > 0))
+    for c in distance_cols:
+        if c in df.columns:
+            df = df.filter(F.col(c) >= 0)
+    return df
+
+
 def clean_strict(df: DataFrame, target: str = TARGET, miles: str = "NonStopMiles",
                  min_fare: float = 1.0) -> DataFrame:
     """Stricter variant: target present and ``>= min_fare``, miles ``> 0``,

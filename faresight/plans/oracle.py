@@ -510,6 +510,11 @@ FROM mets""")
 _MARKET_KEYED = f"SELECT {KEY}, {rounded_cols(MARKET_COLS)} FROM market"
 ORACLE["scan_csv"] = with_market(_MARKET_KEYED)
 ORACLE["concat_files"] = with_market(_MARKET_KEYED)
+ORACLE["concat_files_drift"] = with_market(f"""
+SELECT {KEY}, {rounded_cols(MARKET_COLS)} FROM (
+  SELECT * REPLACE (CASE WHEN RoundTrip <> 1 THEN Slot END AS Slot, CASE WHEN RoundTrip = 1 THEN Circuity END AS Circuity)
+  FROM market)""")
+ORACLE["ingest_validated"] = ORACLE["validate_market"]
 ORACLE["incremental_ingest"] = with_market(_MARKET_KEYED)
 ORACLE["row_count"] = with_market("SELECT CAST(count(*) AS BIGINT) AS row_count FROM market")
 ORACLE["parquet_roundtrip"] = with_dirty(f"""

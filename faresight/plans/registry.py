@@ -572,6 +572,26 @@ def q_concat_files(spark, sf):
     return FS.concat_files(spark, [a, b]).select(*[F.col(f.name).cast(f.dataType) for f in _keyed_schema().fields])
 
 
+@register("concat_files_drift")
+def q_concat_files_drift(spark, sf):
+    """A2 + U1: many CSV files of two layouts (other columns, other order), matched by name in one scan."""
+    m = market(spark, sf)
+    a, b = scratch_path(spark, "drift-rt"), scratch_path(spark, "drift-ow")
+    FS.write_csv(m.filter(F.col("RoundTrip") == 1).drop("Slot").repartition(6), a)
+    FS.write_csv(m.filter(F.col("RoundTrip") != 1).select(*reversed(m.columns)).drop("Circuity").repartition(6), b)
+    return FS.concat_files(spark, [a, b]).select(*[F.col(f.name).cast(f.dataType) for f in _keyed_schema().fields])
+
+
+@register("ingest_validated")
+def q_ingest_validated(spark, sf):
+    """C1 within the write: the record observed while the cleaned table is written (one scan of the raw files)."""
+    from faresight.plans.jobs import ingest_validated
+    raw, out = scratch_path(spark, "raw-parquet"), scratch_path(spark, "validated")
+    FS.write_parquet(_dirty_table(spark, sf), raw)
+    record = ingest_validated(spark.read.parquet(raw), out)
+    return record.withColumn("issues", F.concat_ws("; ", "issues"))
+
+
 @register("row_count")
 def q_row_count(spark, sf):
     """A5: row count of the market table."""

@@ -7,12 +7,15 @@ output is a small aggregate (``single_file``).
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faresight.session import scratch_path
+
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None,
              header: bool = True, recursive: bool = False) -> DataFrame:
@@ -24,22 +27,64 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructTy
     return r.csv(list(paths) if not isinstance(paths, str) else paths)
 
 
+# How a cell reads, narrowest first; a column takes the widest of its cells (whole numbers beyond 18 digits stay strings).
+WHOLE = r"^[+-]?\d{1,18}$"
+REAL = r"^([+-]?(\d{1,18}(\.\d*)?|\.\d+|\d+\.\d*)([eE][+-]?\d+)?|NaN|[+-]?Inf(inity)?)$"
+WIDENING = ["string", "bigint", "double", "string"]  # no cell, whole numbers, numbers, anything
+
+
 def concat_files(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None,
                  header: bool = True) -> DataFrame:
-    """Vertical concatenation of several CSV inputs in sorted path order.
+    """Vertical concatenation of several CSV inputs.
 
-    With a declared schema it is a single scan; without one, each input is
-    read on its own and the frames are unioned by column name (columns a
-    file lacks become NULL), which tolerates schema drift between files.
+    With a declared schema it is a single scan. Without one, files may hold
+    different columns in different orders: columns are matched by name
+    (without header lines by position), those a file lacks are NULL, and each gets the narrowest of
+    bigint, double and string that holds all its cells. One plan reads all files, however many:
+    a small written table says where each file keeps each column.
     """
     ordered = sorted(paths)
     if schema is not None:
         return read_csv(spark, ordered, schema, header)
-    frames = [read_csv(spark, p, None, header) for p in ordered]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    columns, places, width = _layouts(spark, ordered, header)
+    if not columns:
+        return spark.createDataFrame([], T.StructType([]))
+    cells = T.StructType([T.StructField(f"p{i}", T.StringType()) for i in range(width)])
+    raw = spark.read.schema(cells).option("header", header).csv(ordered)
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.array(*cells.names).alias("cells"))
+    rows = raw.join(places, "path").select(*[F.get("cells", F.get("at", F.lit(i))).alias(f"c{i}") for i in range(len(columns))])
+    kinds = [F.max(F.when(F.col(c).isNull(), 0).when(F.col(c).rlike(WHOLE), 1).when(F.col(c).rlike(REAL), 2).otherwise(3)).alias(c)
+             for c in rows.columns]
+    widest = rows.agg(*kinds).first()
+    return rows.select(*[F.col(c).cast(WIDENING[widest[c] or 0]) for c in rows.columns]).toDF(*columns)
+
+
+def _layouts(spark: SparkSession, paths: Sequence[str], header: bool) -> tuple[list[str], DataFrame, int]:
+    """(all columns, a written table of each file's path and the place of every column in it or -1, widest file).
+
+    A file's layout is its first line that is not blank; only distinct layouts come to the driver, which has
+    to know the columns of the result."""
+    lines = spark.read.text(paths).where((F.col("_metadata.file_block_start") == 0) & (F.btrim("value") != ""))
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("line"))
+    heads = scratch_path(spark, "csv-heads")
+    lines.groupBy("path").agg(F.min_by("value", "line").alias("head")).write.parquet(heads)
+    heads = spark.read.parquet(heads)
+    layouts = {r.head: _names(r.head, header) for r in heads.groupBy("head").agg(F.min("path").alias("path")).orderBy("path").collect()}
+    columns = list(dict.fromkeys(c for names in layouts.values() for c in names))
+    known = spark.createDataFrame([(head, [names.index(c) if c in names else -1 for c in columns]) for head, names in layouts.items()],
+                                  "head string, at array<int>")
+    places = scratch_path(spark, "csv-places")
+    heads.join(known, "head").select("path", "at").write.parquet(places)
+    return columns, spark.read.parquet(places), max(map(len, layouts.values()), default=0)
+
+
+def _names(head: str, header: bool) -> list[str]:
+    """Column names of a header line; a missing one is named by its place, a repeated one gets its place appended."""
+    cells = next(csv.reader([head.lstrip("\ufeff")]))
+    if not header:
+        return [f"_c{i}" for i in range(len(cells))]
+    lower = [c.lower() for c in cells]
+    return [(c + str(i) if lower.count(c.lower()) > 1 else c) or f"_c{i}" for i, c in enumerate(cells)]
 
 
 def row_count(df: DataFrame) -> DataFrame:

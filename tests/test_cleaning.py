@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from faresight.operators.clean import clean, clean_strict, downcast, downcast_plan, validate
+from faresight.operators.clean import clean, clean_and_validate, clean_strict, downcast, downcast_plan, validate
+from faresight.schema import FREQ_ENCODED_COLUMNS
 
 
 def _v(spark, data, schema):
@@ -72,3 +73,32 @@ def test_clean_strict(spark):
     df = spark.createDataFrame([(0.5, 100.0), (None, 100.0), (10.0, 0.0), (10.0, 100.0), (10.0, 100.0)],
                                "Average_Fare double, NonStopMiles double")
     assert clean_strict(df).count() == 1
+
+
+def test_validation_within_the_write(spark, sample_df, tmp_path):
+    """One scan: the record equals ``validate``, the table equals ``clean``; also with dropped columns and clashing names."""
+    base = sample_df.drop("rid")
+    some = base.limit(20)
+    damaged = (base.unionByName(some).unionByName(some.withColumn("Average_Fare", -F.col("Average_Fare")))
+               .unionByName(some.withColumn("NonStopMiles", F.lit(-1.0))).unionByName(some.withColumn("Average_Fare", F.lit(None).cast("double")))
+               .unionByName(some.withColumn("Circuity", F.lit(0.1))))
+    encoded = FREQ_ENCODED_COLUMNS[0]
+    cases = {"plain": damaged, "dropped": damaged.withColumn(encoded, (F.col("Pax") % 3).cast("double")).withColumn("copies", F.lit(1)),
+             "twice": damaged.crossJoin(spark.createDataFrame([(1.0,), (2.0,), (2.0,)], f"{encoded} double")),
+             "narrow": damaged.drop("Average_Fare", "Circuity", "NonStopMiles"), "empty": damaged.limit(0)}
+    for name, df in cases.items():
+        df.write.parquet(f"{tmp_path}/in-{name}")
+        raw = spark.read.parquet(f"{tmp_path}/in-{name}")
+        plans = []
+
+        def write(out):
+            plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+            out.write.parquet(f"{tmp_path}/out-{name}")
+
+        record = clean_and_validate(raw, write)
+        assert record.collect() == validate(raw).collect(), name
+        assert plans[0].count(" parquet") == 1
+        got = spark.read.parquet(f"{tmp_path}/out-{name}")
+        want = clean(raw, narrow=False)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr), name

@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 CHECK = ["route_features", "carrier_features", "market_features", "target_encode", "validate_market",
          "clean_market", "describe_numeric", "correlation_matrix", "fare_histogram", "carrier_fare_box",
-         "top_routes", "hash_sample", "revenue_ranking", "route_sequences", "model_comparison", "build_features"]
+         "top_routes", "hash_sample", "revenue_ranking", "route_sequences", "model_comparison", "build_features",
+         "concat_files", "concat_files_drift", "ingest_validated"]
 
 
 @pytest.fixture(scope="module")

@@ -84,3 +84,33 @@ def test_streaming_restart_processes_only_new_files(spark):
     assert table.count() == 250 and table.select("a").distinct().count() == 250
     ledger = spark.read.parquet(out["ledger"]).collect()
     assert sum(r.rows for r in ledger) == 250
+
+
+def test_concat_of_many_files_is_one_scan(spark, tmp_path):
+    """2,000 files of four layouts; types widen over all files, blank lines and quoted names are read."""
+    heads = [["a", "b", "n, m"], ["n, m", "a"], ["b", "x", "a"], ["x"]]
+    want = []
+    for k in range(2000):
+        names = heads[k % 4]
+        row = {"a": k, "b": k / 2, "n, m": "word" if k == 1001 else str(k), "x": k if k % 3 else None}
+        with open(tmp_path / f"f{k:04d}.csv", "w") as f:
+            f.write("\n" * (k % 2) + ",".join(f'"{c}"' for c in names) + "\n")
+            f.write(",".join("" if row[c] is None else str(row[c]) for c in names) + "\n" * (names != ["x"] or row["x"] is not None))
+        if names != ["x"] or row["x"] is not None:  # a blank line is no row
+            want.append(tuple(row[c] if c in names else None for c in ("a", "b", "n, m", "x")))
+    out = FS.concat_files(spark, [str(tmp_path)])
+    assert dict(out.dtypes) == {"a": "bigint", "b": "double", "n, m": "string", "x": "bigint"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" csv") == 1 and "Union" not in plan
+    assert sorted(map(tuple, out.select("a", "b", "`n, m`", "x").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_concat_edge_cases(spark, tmp_path):
+    for name, body in {"a": "k,k,,v\n1,2,3,9999999999999999999\n", "b": "v\n", "c": "", "d": "v,extra\n007,1e3\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(body)
+    out = FS.concat_files(spark, [str(tmp_path / f"{n}.csv") for n in "abcd"])
+    assert out.dtypes == [("k0", "bigint"), ("k1", "bigint"), ("_c2", "bigint"), ("v", "string"), ("extra", "double")]
+    assert sorted(map(tuple, out.collect()), key=repr) == [(1, 2, 3, "9999999999999999999", None), (None, None, None, "007", 1000.0)]
+    assert FS.concat_files(spark, [str(tmp_path / "c.csv")]).count() == 0
+    plain = FS.concat_files(spark, [str(tmp_path / "a.csv"), str(tmp_path / "d.csv")], header=False)
+    assert plain.columns == ["_c0", "_c1", "_c2", "_c3"] and plain.count() == 4
