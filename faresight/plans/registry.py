@@ -546,6 +546,11 @@ from faresight.operators import file_profile as FP  # noqa: E402
 from faresight.session import scratch_path  # noqa: E402
 from faresight.sources import files as FS  # noqa: E402
 
+def _files(df, least: int) -> int:
+    """How many files to write a table as: ``least``, or a file for each part of its scan once there are more."""
+    return max(least, df.rdd.getNumPartitions())
+
+
 def _keyed_schema():
     from pyspark.sql import types as T
     key = [T.StructField("l_orderkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()),
@@ -576,9 +581,10 @@ def q_concat_files(spark, sf):
 def q_concat_files_drift(spark, sf):
     """A2 + U1: many CSV files of two layouts (other columns, other order), matched by name in one scan."""
     m = market(spark, sf)
+    n = _files(m, 6)
     a, b = scratch_path(spark, "drift-rt"), scratch_path(spark, "drift-ow")
-    FS.write_csv(m.filter(F.col("RoundTrip") == 1).drop("Slot").repartition(6), a)
-    FS.write_csv(m.filter(F.col("RoundTrip") != 1).select(*reversed(m.columns)).drop("Circuity").repartition(6), b)
+    FS.write_csv(m.filter(F.col("RoundTrip") == 1).drop("Slot").repartition(n), a)
+    FS.write_csv(m.filter(F.col("RoundTrip") != 1).select(*reversed(m.columns)).drop("Circuity").repartition(n), b)
     return FS.concat_files(spark, [a, b]).select(*[F.col(f.name).cast(f.dataType) for f in _keyed_schema().fields])
 
 
@@ -620,7 +626,8 @@ def q_incremental_ingest(spark, sf):
     """A4: CSV files ingested as bounded micro-batches (availableNow), read back."""
     from faresight.streaming.ingest import ingest_csv_stream
     src = scratch_path(spark, "ingest-src")
-    FS.write_csv(market(spark, sf).repartition(6), src)
+    m = market(spark, sf)
+    FS.write_csv(m.repartition(_files(m, 6)), src)
     out = ingest_csv_stream(spark, src, _keyed_schema(), scratch_path(spark, "ingest-table"),
                             scratch_path(spark, "ingest-ckpt"), max_files_per_trigger=2)
     return spark.read.parquet(out["table"]).drop("batch_id")
@@ -716,7 +723,8 @@ def q_file_profile(spark, sf):
     """B1 (per-file part): the market table as several CSV files; per file
     its name, size, rows and columns."""
     path = scratch_path(spark, "market-files")
-    FS.write_csv(market(spark, sf).repartition(4), path)
+    m = market(spark, sf)
+    FS.write_csv(m.repartition(_files(m, 4)), path)
     return FS.file_summary(FS.read_csv(spark, path, _keyed_schema()), path)
 
 
