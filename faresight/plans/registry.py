@@ -572,8 +572,8 @@ def q_concat_files(spark, sf):
     """A2 + U1: two CSV inputs (round-trip / one-way rows) concatenated by name."""
     m = market(spark, sf)
     a, b = scratch_path(spark, "part-rt"), scratch_path(spark, "part-ow")
-    FS.write_csv(m.filter(F.col("RoundTrip") == 1), a)
-    FS.write_csv(m.filter(F.col("RoundTrip") != 1), b)
+    FS.write_csv(m.filter(F.col("RoundTrip") == 1), a, compression="gzip")
+    FS.write_csv(m.filter(F.col("RoundTrip") != 1), b, compression="gzip")
     return FS.concat_files(spark, [a, b]).select(*[F.col(f.name).cast(f.dataType) for f in _keyed_schema().fields])
 
 
@@ -617,7 +617,7 @@ def q_csv_export(spark, sf):
     """A8 + R6: revenue scenarios exported as CSV and read back."""
     path = scratch_path(spark, "scenarios-csv")
     scen = R.revenue_scenarios(market(spark, sf))
-    FS.write_csv(scen, path)
+    FS.write_csv(scen, path, compression="gzip")
     return FS.read_csv(spark, path, scen.schema)
 
 
@@ -747,8 +747,8 @@ def q_scan_csv_recursive(spark, sf):
     """A3: CSV files in nested folders scanned as one table."""
     path = scratch_path(spark, "market-nested")
     m = market(spark, sf)
-    FS.write_csv(m.filter(F.col("RoundTrip") == 1), f"{path}/a")
-    FS.write_csv(m.filter(F.col("RoundTrip") != 1), f"{path}/b/c")
+    FS.write_csv(m.filter(F.col("RoundTrip") == 1), f"{path}/a", compression="gzip")
+    FS.write_csv(m.filter(F.col("RoundTrip") != 1), f"{path}/b/c", compression="gzip")
     return FS.read_csv(spark, path, _keyed_schema(), recursive=True)
 
 
