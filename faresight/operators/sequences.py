@@ -7,7 +7,9 @@ target over *all* its rows (groups with a NULL mean are skipped).
 ``row_number() <= seq_len`` lets Spark insert a partial window-group limit
 before the shuffle, so every map task forwards at most ``seq_len`` rows per
 group: a hot group never ships more than ``seq_len × map tasks`` rows, and
-the ``collect_list`` that follows is bounded by ``seq_len``.
+the ``collect_list`` that follows is bounded by ``seq_len``. It is a window over
+the same order, so the rows are sorted once on each side of one shuffle; the
+targets join the groups while these are short, and the padding comes last.
 """
 
 from __future__ import annotations
@@ -33,20 +35,19 @@ def route_sequences(df: DataFrame, feature_cols: Sequence[str], order_cols: Sequ
     ranked = (df.select(group_col, *order_cols, F.array(*[_clean_float(c) for c in feature_cols]).alias("_vec"))
                 .withColumn("_pos", F.row_number().over(w))
                 .filter(F.col("_pos") <= seq_len))
-    seqs = ranked.groupBy(group_col).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_vec"))).alias("_items"))
+    seqs = (ranked.withColumn("_items", F.collect_list("_vec").over(w.rowsBetween(Window.currentRow, seq_len - 1)))
+                  .filter(F.col("_pos") == 1).select(group_col, "_items"))
+    targets = (df.groupBy(group_col).agg(F.avg(target).alias("target"))
+                 .filter(F.col("target").isNotNull()))
     n = F.size("_items")
     zero_vec = F.array_repeat(F.lit(0.0).cast("float"), k)
     pad = F.lit(seq_len) - n
-    seqs = seqs.select(
+    return seqs.join(targets, group_col, "inner").select(
         group_col,
-        F.concat(F.transform("_items", lambda x: x["_vec"]), F.array_repeat(zero_vec, pad)).alias("features"),
+        F.concat("_items", F.array_repeat(zero_vec, pad)).alias("features"),
         F.concat(F.array_repeat(F.lit(1.0).cast("float"), n),
                  F.array_repeat(F.lit(0.0).cast("float"), pad)).alias("mask"),
-        n.alias("length"))
-    targets = (df.groupBy(group_col).agg(F.avg(target).alias("target"))
-                 .filter(F.col("target").isNotNull()))
-    return seqs.join(targets, group_col, "inner")
+        n.alias("length"), "target")
 
 
 def flatten_sequences(seqs: DataFrame, feature_cols: Sequence[str], group_col: str = ROUTE) -> DataFrame:

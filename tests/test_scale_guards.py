@@ -62,6 +62,15 @@ def test_sequence_plan_limits_before_shuffle(spark):
     assert plan.count("WindowGroupLimit") >= 2   # partial (before the exchange) and final
 
 
+def test_sequences_are_padded_behind_the_join(spark):
+    """No sort or list aggregation holds padded groups: rows are listed in the window's order, targets joined, then padded."""
+    plan = E.queries()["route_sequences_nested"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    lines = plan.splitlines()
+    padded = [i for i, x in enumerate(lines) if "array_repeat" in x]
+    assert padded and max(padded) < min(i for i, x in enumerate(lines) if "Join" in x)
+
+
 def test_market_scan_is_pruned(spark):
     df = E.queries()["top_routes"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
