@@ -687,20 +687,22 @@ def q_export_bundle(spark, sf):
 
 
 def _market_files(spark, sf):
-    """The damaged market as CSV text files, one folder and file per line number."""
+    """The damaged market as CSV text files, one folder per line number.
+
+    Each task writes its rows to the folders as it reads them: nothing is shuffled or sorted, and as a folder holds a packed
+    file of every task, reading spreads as writing does."""
     path = scratch_path(spark, "market-by-line")
-    (market_dirty(spark, sf).withColumn("line", F.col("l_linenumber")).repartition("line").write.partitionBy("line")
-     .option("header", True).csv(path))
+    FS.write_csv_folders(market_dirty(spark, sf).withColumn("line", F.col("l_linenumber")), path, "line", compression="gzip")
     return spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
 
 
 @register("file_profiles")
 def q_file_profiles(spark, sf):
-    """B1: type, nulls and numeric statistics of every column of every file."""
+    """B1: type, nulls and numeric statistics of every column of every line number's files: each file profiled, then merged."""
     cols = [f.name for f in MARKET_SCHEMA.fields]
     rows = FP.profile_files(_market_files(spark, sf), cols)
-    return rows.select(F.regexp_extract("path", "line=([0-9]+)", 1).cast("int").alias("line"), "column", "dtype", "row_count", "null_count",
-                       "mean", FP.std(), "min", "max")
+    rows = rows.withColumn("line", F.regexp_extract("path", "line=([0-9]+)", 1).cast("int"))
+    return FP.merge_profiles(rows, ["line"]).select("line", "column", "dtype", "row_count", "null_count", "mean", "std", "min", "max")
 
 
 @register("file_profiles_merged")

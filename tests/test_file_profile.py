@@ -1,14 +1,18 @@
 """Stored per-file profiles, and ingest batches bounded in rows and bytes."""
 
+import glob
 import math
 import os
 import statistics
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from faresight.operators import file_profile as FP
 from faresight.operators import profile as P
+from faresight.plans import registry
+from faresight.sources import files as FS
 from faresight.streaming.ingest import ingest_csv_stream
 
 
@@ -85,3 +89,45 @@ def test_one_large_file_is_ingested_in_bounded_chunks(spark, how):
     ingest_csv_stream(spark, src, schema, d + "/table", d + "/ckpt", max_rows=4_000, **kw)     # a restart reads the new file only
     assert spark.read.parquet(out["table"]).count() == 25_301
     assert spark.read.parquet(out["table"]).select("k").distinct().count() == 25_000
+
+
+def test_profiles_merge_by_group(spark, tmp_path):
+    """Files of one group count together, others and the null group apart."""
+    _write(f"{tmp_path}/g=1/a.csv", ["k,x", "1,0.5", "2,"])
+    _write(f"{tmp_path}/g=1/b.csv", ["k,x", "3.5,4"])
+    _write(f"{tmp_path}/g=2/a.csv", ["k,x", "7,1"])
+    _write(f"{tmp_path}/other.csv", ["k,x", "9,NaN"])
+    rows = FP.profile_files(spark.read.option("header", True).option("recursiveFileLookup", True).csv(str(tmp_path)))
+    rows = rows.withColumn("g", F.nullif(F.regexp_extract("path", "g=([0-9]+)", 1), F.lit("")))
+    got = {(r.g, r.column): r for r in FP.merge_profiles(rows, ["g"]).collect()}
+    assert len(got) == 6 and rows.count() == 8
+    k, x = got["1", "k"], got["1", "x"]
+    assert (k.dtype, k.row_count, k.null_count, k.min, k.max) == ("double", 3, 0, 1.0, 3.5)
+    assert math.isclose(k.mean, 6.5 / 3) and math.isclose(k.std, statistics.stdev([1, 2, 3.5]))
+    assert (x.row_count, x.null_count, x.mean) == (3, 1, 2.25) and got["2", "k"].dtype == "bigint"
+    assert (got[None, "k"].row_count, got[None, "x"].mean) == (1, None)
+
+
+def test_folders_are_written_without_shuffle_or_sort(spark, tmp_path):
+    """Every task writes to every folder, and the session's setting comes back."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    df = spark.range(0, 60, 1, 3).selectExpr("id", "cast(id % 4 as int) line")
+    FS.write_csv_folders(df.withColumn("line", F.when(F.col("line") > 0, F.col("line"))), f"{tmp_path}/t", "line", compression="gzip")
+    assert spark.conf.get(key) == before
+    files = glob.glob(f"{tmp_path}/t/line=*/*.csv.gz")
+    assert len(files) == 12 and len({os.path.dirname(f) for f in files}) == 4      # three tasks, three values and null
+    back = spark.read.option("header", True).csv(f"{tmp_path}/t")
+    assert sorted((int(r.id), r.line) for r in back.collect()) == [(i, i % 4 or None) for i in range(60)]
+
+
+def test_line_files_spread_over_tasks(spark):
+    """The rows of one line number are not gathered in one file by one task."""
+    parts = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = registry._market_files(spark, "/root/testdata/sf0.001")
+        lines = [f.split("line=")[1].split("/")[0] for f in df.inputFiles()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", parts)
+    assert len(set(lines)) == 7 and len(lines) > 7
