@@ -104,3 +104,17 @@ def test_pipeline_on_an_awkward_table(spark, tmp_path):
 
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, _table(spark.createDataFrame([], SCHEMA), tmp_path)).collect() == []
+
+
+def test_pipeline_sends_python_small_batches(spark, tmp_path):
+    """Whole texts go to Python a few MB at a time; a smaller choice of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = _table(spark.createDataFrame([], SCHEMA), tmp_path)
+    try:
+        for given, then in (("64m", "4194304"), ("1m", "1m")):
+            spark.conf.set(key, given)
+            corpus_pipeline.keep_known_languages(spark, spark.read.parquet(f"{docs}/documents.parquet"), docs)
+            assert spark.conf.get(key) == then
+    finally:
+        spark.conf.set(key, before)
