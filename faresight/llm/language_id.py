@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faresight.llm.common import byte_slices, text_buffers
+from faresight.llm.common import byte_slices, text_buffers, trimmed
 
 # Language families by ISO 639-1 code; any other code is a family of its own.
 FAMILIES = {
@@ -58,27 +58,30 @@ def _features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         a, b = off[k], off[k + 1] - 2
         if b > a:
             out[k] = np.bincount(idx[a:b], minlength=DIM)
-    out = np.sqrt(out)
+    np.sqrt(out, out=out)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return out / np.maximum(norm, 1e-9)
+    out /= np.maximum(norm, 1e-9)
+    return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Linear SVM (squared hinge, L2) by accelerated gradient steps; classes weigh alike."""
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
+def _svm(x1: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Linear SVM (squared hinge, L2) by accelerated gradient steps; classes weigh alike.
+
+    The last column of ``x1`` is all ones (the bias). No step copies the matrix.
+    """
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w = np.zeros(x1.shape[1], np.float32)
     v, t, rate = w.copy(), 1.0, 1.0 / (4.0 + reg)
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (x1 @ v))
-        grad = -2 * x1.T @ (weight * slack * y) + reg * v
+        grad = x1.T @ (-2 * weight * slack * y) + reg * v
         new, t2 = v - rate * grad, (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / t2 * (new - w), new, t2
     return w[:-1].astype(np.float32), float(w[-1])
 
 
 def _fit(x: np.ndarray, lang: np.ndarray) -> list[tuple[str, str, np.ndarray, float]]:
-    """(winner, loser, weights, bias) of every model; a family model has the loser ''."""
+    """(winner, loser, weights, bias) of every model; a family model has the loser ''. The last column of ``x`` is all ones."""
     langs = sorted(set(lang))
     fams = np.array([FAMILY_OF.get(c, c) for c in lang])
     models = []
@@ -113,7 +116,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
     chosen = d.where(keep).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h"))
 
     def sparse(batches):
-        for b in batches:
+        for b in trimmed(batches):
             data, off = text_buffers(b.column(1))
             idx, val = [], []
             for i, j in byte_slices(off):
@@ -131,7 +134,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
         rows = rows.groupby("lang").head(per_language)
         if not len(rows):
             return
-        x = np.zeros((len(rows), DIM), np.float32)
+        x = np.zeros((len(rows), DIM + 1), np.float32)
+        x[:, DIM] = 1
         for k, (i, v) in enumerate(zip(rows["idx"], rows["val"])):
             x[k, np.frombuffer(i, np.uint16)] = np.frombuffer(v, np.float32)
         m = _fit(x, rows["lang"].to_numpy())
@@ -193,7 +197,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     at = names.index(text_col)
 
     def score(batches):
-        for b in batches:
+        for b in trimmed(batches):
             data, off = text_buffers(b.column(at))
             letter = np.asarray(b.column(len(names)).to_numpy(zero_copy_only=False), bool)
             lang, conf = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)

@@ -32,14 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faresight.llm.common import byte_slices, materialize, text_buffers
+from faresight.llm.common import byte_slices, materialize, text_buffers, trimmed
 
 SEQUENCE = 1024
 END = 2
 ISLAND = 8_000        # pieces of an island
 ROUNDS = 3            # of dealing out; each packs what the last left in poorly filled bins
 POOR = 0.985          # a bin filled less is dissolved before the next round
-CACHE = 300_000       # chunks kept per worker (about 60 MB)
+CACHE = 100_000       # chunks kept per worker and lead (about 20 MB)
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -156,7 +156,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, end
 
     def run(batches):
         enc = Encoder.of(path, ranks)
-        for b in batches:
+        for b in trimmed(batches):
             texts = pc.fill_null(b.column(1), "")
             _, off = text_buffers(texts)
             for i, j in byte_slices(off, 2 << 20):

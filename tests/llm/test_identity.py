@@ -1,11 +1,13 @@
 """Rows and ids that are not one to one, clashing column names, and the whole pipeline on awkward tables."""
 import collections
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from faresight.llm import mixing, ngram_join, secret_scan
+from faresight.llm import common, language_id, mixing, ngram_join, secret_scan
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -118,3 +120,35 @@ def test_pipeline_sends_python_small_batches(spark, tmp_path):
             assert spark.conf.get(key) == then
     finally:
         spark.conf.set(key, before)
+
+
+def test_fitting_a_language_model_copies_no_matrix():
+    """The steps work on the matrix as given, whose last column is the bias."""
+    rng = np.random.default_rng(3)
+    x = np.hstack([rng.random((300, language_id.DIM), np.float32), np.ones((300, 1), np.float32)])
+    y = np.where(np.arange(300) % 2, 1, -1).astype(np.float32)
+    tracemalloc.start()
+    try:
+        w, _ = language_id._svm(x, y, steps=3)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(w) == language_id.DIM and most < x.nbytes / 2
+
+
+def test_workers_give_back_memory_between_batches(monkeypatch):
+    """What Arrow's pool holds unused goes back after every batch, also after the last one."""
+    said = []
+
+    class Pool:
+        def __init__(self, name):
+            self.name = name
+
+        def release_unused(self):
+            said.append(self.name)
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: Pool("arrow"))
+    monkeypatch.setattr(common.pa, "system_memory_pool", lambda: Pool("malloc"))
+    for b in common.trimmed(iter([1, 2])):
+        said.append(b)
+    assert said == [1, "arrow", "malloc", 2, "arrow", "malloc"]
