@@ -39,7 +39,7 @@ END = 2
 ISLAND = 8_000        # pieces of an island
 ROUNDS = 3            # of dealing out; each packs what the last left in poorly filled bins
 POOR = 0.985          # a bin filled less is dissolved before the next round
-CACHE = 100_000       # chunks kept per worker and lead (about 20 MB)
+CACHE = 300_000       # chunks kept per worker and lead (about 60 MB)
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -68,10 +68,11 @@ class Encoder:
     _made: dict = {}
 
     @classmethod
-    def of(cls, path: str, ranks: str | None) -> "Encoder":
+    def of(cls, path: str, ranks: str | None, cache: int | None = None) -> "Encoder":
         """One encoder per worker process, so that its cache serves all tasks there."""
         if (path, ranks) not in cls._made:
             cls._made[path, ranks] = cls(path, ranks)
+        cls._made[path, ranks].cache = cache
         return cls._made[path, ranks]
 
     def __init__(self, path: str, ranks: str | None = None):
@@ -80,7 +81,7 @@ class Encoder:
         self.tk = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tk.get_added_tokens_decoder().values()]
         self.known: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
-        self.fast = None
+        self.fast, self.cache = None, None
         if ranks:
             import base64
             import tiktoken
@@ -94,7 +95,7 @@ class Encoder:
     def _ids(self, chunks: list[str], lead: str) -> list[bytes]:
         """Ids of ``lead`` + chunk for every chunk, from the cache of that lead."""
         known = self.known[lead]
-        if len(known) > CACHE:
+        if len(known) > (self.cache or CACHE):
             known.clear()
         out, rare, fast = [], [], self.fast
         for c in chunks:
@@ -149,13 +150,13 @@ class Encoder:
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, end: int = END,
-           with_ids: bool = False, ranks: str | None = None) -> DataFrame:
+           with_ids: bool = False, ranks: str | None = None, cache: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) per piece; only the first piece of a cut document is shorter."""
     if path is None:
         path, ranks = tokenizer_path(), ranks_path()
 
     def run(batches):
-        enc = Encoder.of(path, ranks)
+        enc = Encoder.of(path, ranks, cache)
         for b in trimmed(batches):
             texts = pc.fill_null(b.column(1), "")
             _, off = text_buffers(texts)
@@ -318,9 +319,9 @@ def pack_pieces(items: DataFrame, length: int = SEQUENCE, island: int = ISLAND,
     return done.drop("fill")
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) per piece of all ``docs``."""
-    return pack_pieces(materialize(pieces(docs, path, length, end), "pack-pieces"), length)
+def pack(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, end: int = END, cache: int | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) per piece of all ``docs``; ``cache``: chunks kept, in place of CACHE."""
+    return pack_pieces(materialize(pieces(docs, path, length, end, cache=cache), "pack-pieces"), length)
 
 
 def sequences(docs: DataFrame, packed: DataFrame, path: str | None = None, length: int = SEQUENCE, end: int = END) -> DataFrame:
