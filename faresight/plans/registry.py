@@ -543,7 +543,7 @@ def q_ordered_target_stat(spark, sf):
 # ---------------------------------------------------------------- sources / sinks
 from faresight.schema import MARKET_SCHEMA  # noqa: E402
 from faresight.operators import file_profile as FP  # noqa: E402
-from faresight.session import scratch_path  # noqa: E402
+from faresight.session import scratch_path, shuffles_freed  # noqa: E402
 from faresight.sources import files as FS  # noqa: E402
 
 def _files(df, least: int) -> int:
@@ -627,7 +627,9 @@ def q_incremental_ingest(spark, sf):
     from faresight.streaming.ingest import ingest_csv_stream
     src = scratch_path(spark, "ingest-src")
     m = market(spark, sf)
-    FS.write_csv(m.repartition(_files(m, 6)), src)
+    files = _files(m, 6)
+    with shuffles_freed(spark):   # a scan of as many parts needs no shuffle; files stay unpacked, as a batch has two and splits them
+        FS.write_csv(m if files == m.rdd.getNumPartitions() else m.repartition(files), src)
     out = ingest_csv_stream(spark, src, _keyed_schema(), scratch_path(spark, "ingest-table"),
                             scratch_path(spark, "ingest-ckpt"), max_files_per_trigger=2)
     return spark.read.parquet(out["table"]).drop("batch_id")
